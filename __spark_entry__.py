@@ -32,7 +32,7 @@ EARLIER, LATER = "2024-02-01 00:00:00", "2024-02-02 12:30:00"
 def query(name: str, sql: str) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(configure(spark), sf_dir)
+            return fn(configure(spark, __file__), sf_dir)
 
         _QUERIES[name], _SQL[name] = run, sql
         return fn
@@ -42,7 +42,7 @@ def query(name: str, sql: str) -> Callable[[Query], Query]:
 
 def entry(spark: SparkSession) -> DataFrame:
     """The next frontier: allowed links of the stored pages that have not been visited."""
-    return next_frontier(configure(spark), "/root/testdata/sf0.001")
+    return next_frontier(configure(spark, __file__), "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Query]:
@@ -60,6 +60,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.spread(table(spark, sf_dir, "pages"))
+
+
 def timestamp(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
@@ -105,7 +109,7 @@ def sql_text(expression: str) -> str:
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.resolve_links(links.extract_links(table(spark, sf_dir, "pages")))
+    return links.resolve_links(links.extract_links(pages_of(spark, sf_dir)))
 
 
 # Scans and sources
@@ -157,7 +161,7 @@ def fetch_stored_pages(spark, sf_dir):
 
 @query("l1_extract_links", f"with {SQL_LINKS} select url, pos, href from links")
 def extract_links(spark, sf_dir):
-    return links.extract_links(table(spark, sf_dir, "pages"))
+    return links.extract_links(pages_of(spark, sf_dir))
 
 
 @query("l2_resolve_links", f"with {SQL_LINKS} select url, pos, href, dst from links")
@@ -184,7 +188,7 @@ def filter_allowed_domains(spark, sf_dir):
                   where ends_with('.' || regexp_extract(dst, '^https?://([^/?#]+)', 1), '.' || domain))""",
 )
 def filter_allowed_domain_table(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").filter(F.col("url").startswith("http:") & F.col("url").contains("/es/"))
+    pages = pages_of(spark, sf_dir).filter(F.col("url").startswith("http:") & F.col("url").contains("/es/"))
     domains = pages.select(F.regexp_extract("url", r"([^./]+\.[^./]+)(/|$)", 1).alias("domain"))
     return links.filter_allowed_domains(page_links(spark, sf_dir), domains).select("url", "pos", "dst")
 
@@ -226,7 +230,7 @@ def shop_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(src.alias("src"), dst.alias("dst"))
 
     four = F.array(edge(part, supplier), edge(supplier, part), edge(supplier, order), edge(part, flag))
-    return table(spark, sf_dir, "lineitem").select(F.inline(four))
+    return tables.spread(table(spark, sf_dir, "lineitem")).select(F.inline(four))
 
 
 def shop_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +273,8 @@ def expand_frontier(spark, sf_dir):
     from reach group by url""",
 )
 def crawl_bounded(spark, sf_dir):
-    return crawl.crawl_bounded(shop_seeds(spark, sf_dir), shop_edges(spark, sf_dir), DOMAINS, max_depth=3)
+    edges = stage(shop_edges(spark, sf_dir), "shop-edges")
+    return crawl.crawl_bounded(shop_seeds(spark, sf_dir), edges, DOMAINS, max_depth=3)
 
 
 # Canonical URLs
@@ -282,7 +287,7 @@ def crawl_bounded(spark, sf_dir):
     union all select url, url as href, {SQL_CANONICAL_PAGE} as canonical from pages""",
 )
 def canonicalize_urls(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
+    pages = pages_of(spark, sf_dir)
     hrefs = links.extract_links(pages).select("url", "href").union(pages.select("url", "url"))
     return links.canonicalize_urls(hrefs, ignore_params=["ref"])
 
@@ -307,7 +312,7 @@ def strip_tracking_params(spark, sf_dir):
         end as page_id from links""",
 )
 def assign_page_id(spark, sf_dir):
-    found = links.extract_links(table(spark, sf_dir, "pages"))
+    found = links.extract_links(pages_of(spark, sf_dir))
     some = found.withColumn("href", F.when(~F.col("href").contains("th"), F.col("href")))
     return links.assign_page_id(some, row_key=["pos"]).select("url", "pos", "page_id")
 
@@ -319,7 +324,7 @@ def assign_page_id(spark, sf_dir):
         from (select page_id, url, html, {SQL_CANONICAL_PAGE} as canonical from pages)) where n = 1""",
 )
 def dedupe_by_canonical_url(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
+    pages = pages_of(spark, sf_dir)
     return links.dedupe_by_canonical_url(pages, order=["page_id"], ignore_params=["ref"]).select(
         "page_id", "url", "html", "canonical"
     )
@@ -343,7 +348,7 @@ SQL_TAGLESS_ARTICLE = "regexp_replace(regexp_extract(html, '</h1>(.*?)</article>
 )
 def extract_cards(spark, sf_dir):
     fields = {"title": extract.Field("h1"), "description": extract.Field("p", trim=True)}
-    cards = extract.extract_cards(table(spark, sf_dir, "pages"), container="article", fields=fields)
+    cards = extract.extract_cards(pages_of(spark, sf_dir), container="article", fields=fields)
     return cards.drop("skills")
 
 
@@ -355,7 +360,7 @@ SQL_CLEAN_TEXT = rf"""array_to_string(list_filter(list_transform(
 
 @query("e2_clean_html_text", f"select page_id, url, {SQL_CLEAN_TEXT} as text from pages")
 def clean_html_text(spark, sf_dir):
-    return extract.clean_html_text(table(spark, sf_dir, "pages"))
+    return extract.clean_html_text(pages_of(spark, sf_dir))
 
 
 SQL_PROMPT = "'" + extract.PROMPT.replace("'", "''") + "'"
@@ -367,7 +372,7 @@ SQL_PROMPT = "'" + extract.PROMPT.replace("'", "''") + "'"
     union all select page_id, true as cleaned, {SQL_PROMPT} || {SQL_CLEAN_TEXT} as prompt from pages""",
 )
 def build_prompts(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = pages_of(spark, sf_dir).select("page_id", "html")
     stored = extract.build_prompts(pages).select("page_id", F.lit(False).alias("cleaned"), "prompt")
     clean = extract.build_prompts(pages, use_clean=True).select("page_id", F.lit(True).alias("cleaned"), "prompt")
     return stored.union(clean)
@@ -398,7 +403,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("```json\n \n```"))
     )
     url = F.concat(F.lit("https://talk.example.com/"), "conv_id", F.lit("/"), "turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", url.alias("url"), answer.alias("response"))
+    talk = tables.spread(table(spark, sf_dir, "conversations"))
+    return talk.select("conv_id", "turn", url.alias("url"), answer.alias("response"))
 
 
 SQL_STATUS = "case conv_id % 5 when 0 then 'ok' when 1 then 'no_json' when 4 then 'empty' else 'bad_json' end"
@@ -434,7 +440,7 @@ def parse_model_responses(spark, sf_dir):
 )
 def unescape_links(spark, sf_dir):
     title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
-    found = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/find?t="), title).alias("link"))
+    found = pages_of(spark, sf_dir).select("page_id", F.concat(F.lit("/find?t="), title).alias("link"))
     return extract.unescape_links(found)
 
 
@@ -490,7 +496,7 @@ SQL_AD = sql_text("""regexp_extract(html, '<div class="ad">(.*?)</div>', 1, 's')
 )
 def select_page_content(spark, sf_dir):
     site = extract.SiteConfig(listing_selectors=("a.job-link", "nav a"), data_selectors=("article h1", ".ad", "#job"))
-    found = extract.select_page_content(table(spark, sf_dir, "pages"), site)
+    found = extract.select_page_content(pages_of(spark, sf_dir), site)
     return found.select("page_id", "listing_pos", "data_pos", "content_id", "body", "status")
 
 
@@ -502,7 +508,7 @@ def select_page_content(spark, sf_dir):
     select url, {sql_text("body")} as body, cast(200 as integer) as status from texts where href like '%th%'""",
 )
 def select_title_links(spark, sf_dir):
-    found = extract.select_title_links(table(spark, sf_dir, "pages"), "a[href*='th']")
+    found = extract.select_title_links(pages_of(spark, sf_dir), "a[href*='th']")
     return found.select("url", "body", "status")
 
 
@@ -519,7 +525,7 @@ def shout(batches):
     "select conv_id, turn, length(text) as n_chars, length(text) - length(replace(text, 'e', '')) as n_letter_e from conversations",
 )
 def extract_with(spark, sf_dir):
-    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    talk = tables.spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "text")
     return extract.extract_with(talk, shout, "conv_id long, turn long, n_chars long, n_letter_e long")
 
 
@@ -681,10 +687,10 @@ def fetch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<p><a href="../part/'), "l_partkey", F.lit('">p</a><a href=//orders.example.com/order/'),
         "l_orderkey", F.lit(">o</a>"),
     )
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = tables.spread(table(spark, sf_dir, "lineitem")).select(
         F.inline(F.array(result(part, of_part), result(supplier, of_supplier)))
     )
-    pages = table(spark, sf_dir, "pages").select("url", F.col("url").alias("result_url"), F.col("html").alias("body"))
+    pages = pages_of(spark, sf_dir).select("url", F.col("url").alias("result_url"), F.col("html").alias("body"))
     return lines.unionByName(pages)
 
 
@@ -704,7 +710,7 @@ def fetch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     where regexp_matches(url, '^https?://([^/?#]+\\.)?example\\.com[/?#]')""",
 )
 def crawl_to_raw(spark, sf_dir):
-    seeds = shop_seeds(spark, sf_dir).union(table(spark, sf_dir, "pages").select("url"))
+    seeds = shop_seeds(spark, sf_dir).union(pages_of(spark, sf_dir).select("url"))
     done = jobs.crawl_to_raw(
         seeds, fetch_results(spark, sf_dir), DOMAINS, order=["body"], max_depth=3, now=timestamp(LATER)
     )
@@ -777,7 +783,7 @@ def parse_as_stream(spark, sf_dir):
 )
 def cards_to_extracted(spark, sf_dir):
     merged = jobs.cards_to_extracted(
-        table(spark, sf_dir, "pages"),
+        pages_of(spark, sf_dir),
         spark.createDataFrame([], EXTRACTED_JOBS),
         order=["page_id"],
         container="nav li",
@@ -793,6 +799,6 @@ def cards_to_extracted(spark, sf_dir):
     where regexp_matches(dst, '^https?://([^/?#]+\\.)?example\\.com(/|$)') and dst not in (select url from pages)""",
 )
 def next_frontier(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
+    pages = pages_of(spark, sf_dir)
     allowed = links.filter_allowed_domains(page_links(spark, sf_dir), DOMAINS)
     return crawl.mark_visited(allowed.select(F.col("dst").alias("url")), pages.select("url"))

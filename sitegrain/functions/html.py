@@ -83,10 +83,11 @@ def attributes(source: str) -> dict[str, str]:
     return found
 
 
-def tags(page: str) -> Iterator[tuple[str, str, str]]:
+def tags(page: str, text: bool = True) -> Iterator[tuple[str, str, str]]:
     """Yield ``(kind, name, data)``: text (``"#"``), start tags (``""``) and end tags (``"/"``).
 
     Text is as written; ``name`` then tells the raw-text element it stands in, if any.
+    Without ``text`` only tags are yielded.
     """
     if "\r" in page:
         page = page.replace("\r\n", "\n").replace("\r", "\n")
@@ -98,7 +99,7 @@ def tags(page: str) -> Iterator[tuple[str, str, str]]:
             at += 1  # a lone "<" is text
             continue
         stop = at if match else size
-        if stop > start:
+        if text and stop > start:
             yield "#", "", page[start:stop]
         if match is None:
             return
@@ -111,15 +112,15 @@ def tags(page: str) -> Iterator[tuple[str, str, str]]:
         if not closing and (name in RAW_TEXT or name in ESCAPABLE_RAW_TEXT):
             end = _RAW_END[name].search(page, at) if name in _RAW_END else None
             start = at = end.start() if end else size
-            if at > match.end():
+            if text and at > match.end():
                 yield "#", name, page[match.end() : at]
 
 
 def hrefs(page: str) -> list[str]:
     """``href`` of every ``a[href]`` in document order, repeats and empty values included."""
     found = []
-    for kind, name, data in tags(page):
-        if name == "a" and kind == "":
+    for kind, name, data in tags(page, text=False):
+        if name == "a" and not kind:
             href = attributes(data).get("href")
             if href is not None:
                 found.append(href)

@@ -32,6 +32,7 @@ _SPLIT = re.compile(
 _AUTHORITY = re.compile(
     rf"""(?:({_USER_CLASS}*)@)?(\[[^\[\]@/?#\s]*\]|(?:{_HOST_CLASS}|[^\x00-\x7f]|%[89A-Fa-f][0-9A-Fa-f])*)(?::([0-9]*))?""",
 )
+_ABSOLUTE = re.compile(f"{_SCHEME}:")
 _CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 _BAD = re.compile(_BAD_ESCAPE)
 _PLAIN_PATH = re.compile(r"[A-Za-z0-9._~!$&'()*+,;=:@/\[\]%-]*")
@@ -53,7 +54,6 @@ class Url(NamedTuple):
     opaque: bool
 
 
-@lru_cache(maxsize=4096)
 def split_url(text: str) -> Url | None:
     """Split a URL reference; None when it is not one."""
     scheme, with_scheme, without, path, query, fragment = _SPLIT.fullmatch(text).groups()
@@ -73,6 +73,10 @@ def split_url(text: str) -> Url | None:
     return Url((scheme or "").lower(), user, host, port, authority is not None, path, query, fragment or "", opaque)
 
 
+# Rows of one page follow each other, so their base is split once.
+_split_base = lru_cache(maxsize=1024)(split_url)
+
+
 def _render(raw: str, plain: re.Pattern, safe: str) -> str:
     return raw if plain.fullmatch(raw) else quote(unquote_to_bytes(raw), safe=safe)
 
@@ -138,7 +142,9 @@ def to_text(url: Url) -> str:
 
 def resolve(base: str, href: str) -> str:
     """Absolute form of ``href`` on page ``base``; absolute and unparseable hrefs come back as they are."""
-    parent = split_url(base)
+    if _ABSOLUTE.match(href):
+        return href
+    parent = _split_base(base)
     if parent is None:
         return href
     if not parent.opaque and len(href) > 1 and _SIMPLE_HREF.fullmatch(href):
@@ -146,7 +152,7 @@ def resolve(base: str, href: str) -> str:
         if authority and parent.scheme:
             return f"{parent.scheme}://{authority}{href}"
     ref = split_url(href)
-    if ref is None or ref.scheme:
+    if ref is None:
         return href
     return to_text(join(parent, ref))
 
@@ -186,7 +192,7 @@ def canonicalize(base: str, href: str, dropped: frozenset[str], root_prefixes: S
         prefixes = tuple(prefix for prefix in (p.strip(SPACE) for p in root_prefixes) if prefix)
         if prefixes and href.startswith(prefixes):
             href = "/" + href
-    parent, ref = split_url(base), split_url(href)
+    parent, ref = _split_base(base), split_url(href)
     if parent is None or ref is None:
         return None
     url = join(parent, ref)
@@ -204,27 +210,33 @@ def canonicalize(base: str, href: str, dropped: frozenset[str], root_prefixes: S
 
 # Column expressions
 
-_HOST_OF_URL = (
-    rf"^(?:{_SCHEME}:)?//(?:{_USER_CLASS}*@)?"
-    rf"\[?((?<=\[)[^\[\]@/?#\s]*(?=\])|{_HOST_CLASS[:-2]}%\x{{80}}-\x{{10FFFF}}-]*)\]?(?::[0-9]*)?(?=[/?#]|\z)"
-)
+_BEFORE_HOST = rf"^(?:{_SCHEME}:)?//(?:{_USER_CLASS}*@)?\[?"
+_AFTER_HOST = r"\]?(?::[0-9]*)?(?=[/?#]|\z)"
+_HOST = rf"(?<=\[)[^\[\]@/?#\s]*(?=\])|{_HOST_CLASS[:-2]}%\x{{80}}-\x{{10FFFF}}-]*"
+_SUSPECT = r"[\x00-\x1f\x7f%]"
 _NOT_A_URL = (
     rf"^[^#]*[\x00-\x1f\x7f]|^[^?#]*{_BAD_ESCAPE}|#(?s:.)*{_BAD_ESCAPE}"
     rf"|^(?:{_SCHEME}:)?//(?:[^/?#]*@)?[^/?#@]*%(?![89A-Fa-f])"
 )
 
 
+def _parses(url: Column) -> Column:
+    """False for URLs with control characters or bad escapes; few need the full pattern."""
+    return ~(url.rlike(_SUSPECT) & url.rlike(_NOT_A_URL))
+
+
 def url_host(url: Column) -> Column:
     """Host without port or user; empty when the URL has none or does not parse."""
-    return F.when(url.rlike(_NOT_A_URL), F.lit("")).otherwise(F.regexp_extract(url, _HOST_OF_URL, 1))
+    return F.when(_parses(url), F.regexp_extract(url, f"{_BEFORE_HOST}({_HOST}){_AFTER_HOST}", 1)).otherwise("")
 
 
-def host_in(host: Column, domains: Iterable[str]) -> Column:
-    """True where the host equals a domain or lies under it; case matters."""
-    allowed = F.lit(False)
-    for domain in domains:
-        allowed = allowed | (host == F.lit(domain)) | F.endswith(host, F.lit("." + domain))
-    return F.coalesce(allowed, F.lit(False))
+def on_domain(url: Column, domains: Iterable[str]) -> Column:
+    """True where the URL's host equals a domain or lies under it; case matters."""
+    names = "|".join(rf"\Q{domain}\E" for domain in domains)
+    if not names:
+        return F.lit(False)
+    under = rf"(?:{_HOST_CLASS[:-2]}%\x{{80}}-\x{{10FFFF}}-]*\.)?(?:{names})"
+    return F.coalesce(url.rlike(_BEFORE_HOST + under + _AFTER_HOST) & _parses(url), F.lit(False))
 
 
 def _form_encode(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.functions import urls
+from sitegrain.operators.links import with_udf
 from sitegrain.session import stage
 
 
@@ -33,10 +34,6 @@ def is_visited(candidates: DataFrame, visited: DataFrame, url: str = "url", to:
     return candidates.join(known, url, "left").withColumn(to, F.coalesce(F.col(to), F.lit(False)))
 
 
-def _allowed(url, domains: Iterable[str]):
-    return urls.host_in(urls.url_host(url), domains)
-
-
 def expand_frontier(
     frontier: DataFrame, edges: DataFrame, allowed_domains: Iterable[str], visited: DataFrame
 ) -> DataFrame:
@@ -44,20 +41,19 @@ def expand_frontier(
 
     ``edges`` is ``(src, dst)`` or ``(src, dsts)``. The second keeps one row per page through the
     join and fans out after it. Rows without depth left or off the domains expand to nothing, but
-    what they link from elsewhere is still returned, and so counts as visited.
+    being linked to still counts as visited. A frontier may bring the domain test as ``allowed``.
     """
-    active = frontier.filter((F.col("depth") > 0) & _allowed(F.col("url"), allowed_domains))
-    reached = edges.join(active.withColumnRenamed("url", "src"), "src")
+    if "allowed" not in frontier.columns:
+        # Behind a generator, so that Spark does not repeat the test on the source of every edge.
+        frontier = with_udf(frontier, "allowed", urls.on_domain(F.col("url"), allowed_domains))
+    active = frontier.filter("depth > 0 and allowed").select(F.col("url").alias("src"), "depth")
+    reached = edges.join(active, "src")
     target = F.explode("dsts") if "dsts" in edges.columns else F.col("dst")
     children = reached.select(target.alias("url"), (F.col("depth") - 1).alias("depth"))
     fresh = children.filter(F.col("url").isNotNull()).groupBy("url").agg(F.max("depth").alias("depth"))
     return fresh.join(visited.select("url"), "url", "left_anti")
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
 def crawl_bounded(
     seeds: DataFrame,
     edges: DataFrame,
@@ -70,31 +66,33 @@ def crawl_bounded(
 
     Pages at hops ``0 .. max_depth - 1`` are fetched; hop ``max_depth`` is only discovered. Each
     hop is one job written to the staging folder, so plans stay short and the sizes of frontier
-    and visited set are known to the planner. ``stored(url)`` tells which pages exist; by default
+    and visited set are known to the planner. ``edges`` is read at each hop, so stage it first when
+    it is costly to compute. ``stored(url)`` tells which pages exist; by default
     those with edges. URLs in ``visited`` are never entered.
     """
     domains = list(allowed_domains)
-    level = seeds.select("url").filter(F.col("url").isNotNull()).distinct()
+
+    def staged(level: DataFrame, hop: int) -> DataFrame:
+        return stage(level.withColumn("allowed", urls.on_domain(F.col("url"), domains)), f"hop-{hop}")
+
+    start = seeds.select("url").filter(F.col("url").isNotNull()).distinct()
     if visited is not None:
-        level = level.join(visited.select("url"), "url", "left_anti")
-    level = stage(level.withColumn("depth", F.lit(max_depth)), "hop-0")
-    levels, known = [level], [level] if visited is None else [level, visited]
+        start = start.join(visited.select("url"), "url", "left_anti")
+    levels = [staged(start.withColumn("depth", F.lit(max_depth)), 0)]
+    before = [] if visited is None else [visited.select("url")]
     for hop in range(1, max_depth + 1):
-        seen = _union([frame.select("url") for frame in known])
-        level = stage(expand_frontier(level, edges, domains, seen), f"hop-{hop}")
+        seen = reduce(DataFrame.union, [level.select("url") for level in levels] + before)
+        level = staged(expand_frontier(levels[-1], edges, domains, seen), hop)
         if level.isEmpty():
             break
         levels.append(level)
-        known.append(level)
-    reached = _union(levels)
+    reached = reduce(DataFrame.unionByName, levels)
     known_pages = edges.select(F.col("src").alias("url")) if stored is None else stored.select("url")
-    in_reach = reached.filter("depth > 0").select("url", _allowed(F.col("url"), domains).alias("_allowed"))
-    found = (
-        known_pages.join(in_reach.filter("_allowed"), "url", "left_semi").distinct().withColumn("_found", F.lit(True))
-    )
+    to_fetch = reached.filter("depth > 0 and allowed").select("url")
+    found = known_pages.join(to_fetch, "url", "left_semi").distinct().withColumn("_found", F.lit(True))
     outcome = (
         F.when(F.col("depth") <= 0, "depth_exhausted")
-        .when(~_allowed(F.col("url"), domains), "off_domain")
+        .when(~F.col("allowed"), "off_domain")
         .when(F.col("_found"), "fetched")
         .otherwise("no_page")
     )

@@ -83,7 +83,7 @@ def filter_allowed_domains(
     one of any length: it is then matched by equi-joins on each distinct host's dotted suffixes.
     """
     if not isinstance(domains, DataFrame):
-        return links.filter(urls.host_in(urls.url_host(F.col(url)), domains))
+        return links.filter(urls.on_domain(F.col(url), domains))
     hosts = links.select(urls.url_host(F.col(url)).alias("_host")).distinct()
     labels = F.split("_host", r"\.")
     suffix = F.transform(

@@ -48,7 +48,7 @@ def crawl_to_raw(
     domains = list(allowed_domains)
     if "result_url" not in results.columns:
         results = results.withColumn("result_url", F.col("url"))
-    reachable = results.filter(urls.host_in(urls.url_host(F.col("url")), domains))
+    reachable = results.filter(urls.on_domain(F.col("url"), domains))
     edges = stage(links.page_targets(reachable, body="body"), "edges")
     visited = stage(crawl.crawl_bounded(seeds, edges, domains, max_depth), "visited")
     fetched = crawl.fetch_stored_pages(visited.filter("outcome = 'fetched'"), reachable)

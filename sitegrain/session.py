@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +24,31 @@ RUNTIME_SETTINGS = {
 _LOCAL_ROOT = "spark.sitegrain.local.staging"
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators are written for."""
+@cache
+def _package() -> str:
+    """This package as a zip file for ``addPyFile``, which hands it to the executors."""
+    root = Path(__file__).resolve().parent
+    handle, path = tempfile.mkstemp(prefix="sitegrain-", suffix=".zip")
+    with os.fdopen(handle, "wb") as file, zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, str(source.relative_to(root.parent)))
+    return path
+
+
+@cache
+def _ship(application: str, path: str) -> None:
+    SparkSession.active().sparkContext.addPyFile(path)
+
+
+def configure(spark: SparkSession, *modules: str) -> SparkSession:
+    """Apply the settings the operators are written for and hand this package to the executors.
+
+    ``modules`` are further Python files whose functions run in tasks, such as a user's extractor.
+    """
     for name, value in RUNTIME_SETTINGS.items():
         spark.conf.set(name, value)
+    for path in (_package(), *modules):
+        _ship(spark.sparkContext.applicationId, path)
     return spark
 
 

@@ -12,6 +12,15 @@ from sitegrain.schemas import RAW_PAGES
 LOOKUP_KEYS = ("company", "title", "link")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a freshly read table that has fewer splits than the cluster has cores.
+
+    A small file would else be parsed by one task. Large tables come back as they are, unshuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:
     """Raw pages stored as Parquet, read with the table's schema."""
     return spark.read.schema(RAW_PAGES).parquet(path)
