@@ -1,0 +1,79 @@
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from sitegrain.functions.html import hrefs, scan
+from sitegrain.functions.selectors import compile_selector, select
+
+
+def texts(page, selector):
+    page = scan(page)
+    return [page.text_of(node) for node in select(page, selector)]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<body><a href="/about">A</a><p><a href="/contact">C</a></p></body>', ["/about", "/contact"]),
+        ('<a>none</a><a href="">empty</a><a href>bare</a>', ["", ""]),
+        ('<a href="/x">1</a><a href="/x">2</a>', ["/x", "/x"]),
+        ('<a href="/q?a=1&amp;b=2">e</a>', ["/q?a=1&b=2"]),
+        ('<a href="/q?a=1&copy=2&reg;">e</a>', ["/q?a=1&copy=2®"]),
+        ('<!-- <a href="/no"> --><a href="/yes">', ["/yes"]),
+        ("<script>var s = '<a href=\"/no\">';</script><a href=/yes>", ["/yes"]),
+        ('<textarea><a href="/no"></textarea><noscript><a href="/no"></noscript>', []),
+        ('<div title="<a href=/no>"></div><A HREF=\'/yes\' href="/second">', ["/yes"]),
+        ("<a href=/un/quoted/>x</a>", ["/un/quoted/"]),
+        ("1 < 2 <a href=/yes", []),
+        ("<abbr href=/no><a\nhref = '/yes' >", ["/yes"]),
+        ("", []),
+    ],
+)
+def test_hrefs(page, want):
+    assert hrefs(page) == want
+
+
+@pytest.mark.parametrize(
+    "page, selector, want",
+    [
+        ("<p>one<p>two", "p", ["one", "two"]),
+        ("<p><b>one<br><p>two</p>", "p", ["one", "two"]),
+        ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "ul > li", ["a", "bc", "c", "d"]),
+        ("<div><nav>in</div>out", "nav", ["in"]),
+        ("<span><div>x</span>y</div>z", "span", ["xyz"]),
+        ("<a id=1>foo<a id=2>bar</a></a>", "a", ["foo", "bar"]),
+        ("<table><tr><td>1<td>2<tr><td>3</table>", "td", ["1", "2", "3"]),
+        ("<h1>a</h2>b", "h1", ["a"]),
+        ("<title>x &lt; y</title>", "head title", ["x < y"]),
+        ("x</body></html><div class='d e'>tail</div>", "body .e", ["tail"]),
+        ("<a id='job-title-7'>t</a><a id='x'>n</a>", "a[id*='job-title']", ["t"]),
+        ("<i data-automation='v'>1</i><b data-automation=v>2</b>", "[data-automation='v']", ["1", "2"]),
+        ("<p id=a>1</p><p class='b'>2</p>", "#a, p.b", ["1", "2"]),
+        ("<div><p>in</p></div><p>out</p>", "div p", ["in"]),
+        ("<pre>\nx</pre>", "pre", ["x"]),
+        ("a\r\nb\rc", "body", ["a\nb\nc"]),
+        ("<p>&notit; &#65; &am</p>", "p", ["¬it; A &am"]),
+    ],
+)
+def test_text_of_matches(page, selector, want):
+    assert texts(page, selector) == want
+
+
+@pytest.mark.parametrize("selector", ["", "a:hover", "a[", "p >", ", a", "a + b"])
+def test_unsupported_selectors_are_refused(selector):
+    with pytest.raises(ValueError):
+        compile_selector(selector)
+
+
+def test_removed_subtrees_may_nest():
+    page = scan("a<nav>b<footer>c</footer>d</nav>e<nav>f</nav>g")
+    assert page.text_without(frozenset({"nav", "footer"})) == "aeg"
+
+
+@given(st.text(alphabet="<>/ab p=\"'!-&;\n", max_size=60))
+def test_any_input_gives_a_consistent_page(text):
+    page = scan(text)
+    for node, parent in enumerate(page.parents):
+        assert -1 <= parent < node
+        assert 0 <= page.begins[node] <= page.ends[node] <= len(page.text)
+    assert all(isinstance(href, str) for href in hrefs(text))
