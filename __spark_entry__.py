@@ -735,7 +735,7 @@ def answer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_tables(spark: SparkSession) -> tuple[SnapshotTable, SnapshotTable, str]:
     root = f"{staging_root(spark)}/parse-{uuid.uuid4().hex}"
-    raw = SnapshotTable(spark, f"{root}/raw", RAW_PAGES, sort_by="url")
+    raw = SnapshotTable(spark, f"{root}/raw", RAW_PAGES, sort_by="fetched_at")
     extracted = SnapshotTable(spark, f"{root}/extracted", EXTRACTED_JOBS, sort_by="link", bloom=("company", "title"))
     return raw, extracted, f"{root}/failures"
 

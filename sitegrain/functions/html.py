@@ -12,6 +12,7 @@ its table, and repeating unclosed formatting elements in the next block.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 from html.entities import html5
@@ -47,6 +48,11 @@ TABLE_CONTEXT = {
     **{part: TABLE_SCOPE for part in "caption colgroup tbody tfoot thead".split()},
 }
 
+# How far up an open paragraph, an open list item, or the item an end tag closes is looked for.
+_PARAGRAPH_BARRIER = SCOPE | {"button"}
+_LIST_BARRIER = (SPECIAL - {"address", "div", "p"}) | SCOPE
+_ITEM_BARRIER = SCOPE | {"ol", "ul"}
+
 _TOKEN = re.compile(
     r"""<!--(?:-?>|.*?(?:--!?>|\Z))
       | <(/?)([A-Za-z][^ \t\n\f/>]*+)
@@ -166,10 +172,12 @@ def scan(page: str) -> Page:
     """Build the element table of one page."""
     out = Page()
     names, stack, pieces = out.names, [], []
+    opened: defaultdict[str, int] = defaultdict(int)  # open elements by name, so that most lookups need not walk the stack
     length = 0
 
     def close(depth: int) -> None:
         for node in stack[depth:]:
+            opened[names[node]] -= 1
             out.ends[node] = length
             out.lasts[node] = len(names)
         del stack[depth:]
@@ -182,10 +190,16 @@ def scan(page: str) -> Page:
         out.ends.append(length)
         out.lasts.append(len(names))
         if name not in VOID:
+            opened[name] += 1
             stack.append(len(names) - 1)
 
     def find(wanted, barrier) -> int:
         """Stack index of the nearest open element in ``wanted``, not looking past ``barrier``."""
+        for name in wanted:
+            if opened[name]:
+                break
+        else:
+            return -1
         for depth in range(len(stack) - 1, -1, -1):
             name = names[stack[depth]]
             if name in wanted:
@@ -205,6 +219,7 @@ def scan(page: str) -> Page:
             return
         if any(names[node] in SPECIAL for node in stack[depth + 1 :]):
             node = stack.pop(depth)  # the blocks opened inside stay open
+            opened[name] -= 1
             out.ends[node] = length
             out.lasts[node] = len(names)
         else:
@@ -219,9 +234,6 @@ def scan(page: str) -> Page:
     open_("html", "")
     in_body = False
     skip_newline = False
-    list_barrier = (SPECIAL - {"address", "div", "p"}) | SCOPE
-    paragraph_barrier = SCOPE | {"button"}
-    item_barrier = SCOPE | {"ol", "ul"}
 
     for kind, name, data in tags(page):
         if kind == "#":
@@ -252,21 +264,22 @@ def scan(page: str) -> Page:
                     enter_body()
                     out.sources[-1] = data
                 continue
-            if not in_body and "template" not in (names[node] for node in stack):
+            if not in_body and not opened["template"]:
                 if name not in HEAD_CONTENT:
                     enter_body()
                 elif "head" not in names:
                     open_("head", "")
-            if name in CLOSES_PARAGRAPH:
-                close_nearest(("p",), paragraph_barrier)
+            if opened["p"] and name in CLOSES_PARAGRAPH:
+                close_nearest(("p",), _PARAGRAPH_BARRIER)
             if name == "li":
-                close_nearest(("li",), list_barrier)
+                close_nearest(("li",), _LIST_BARRIER)
             elif name in ("dd", "dt"):
-                close_nearest(("dd", "dt"), list_barrier)
+                close_nearest(("dd", "dt"), _LIST_BARRIER)
             elif name in HEADINGS and names[stack[-1]] in HEADINGS:
                 close(len(stack) - 1)
             elif name == "a":
-                end_formatting("a")
+                if opened["a"]:
+                    end_formatting("a")
             elif name == "button":
                 close_nearest(("button",), SCOPE)
             elif name in ("option", "optgroup") and names[stack[-1]] == "option":
@@ -274,7 +287,7 @@ def scan(page: str) -> Page:
             elif name in TABLE_CONTEXT and find(("table",), ("template",)) >= 0:
                 depth = find(TABLE_CONTEXT[name], ())
                 close(depth + 1)
-            foreign = data.endswith("/") and any(names[node] in ("svg", "math") for node in stack)
+            foreign = data.endswith("/") and (opened["svg"] or opened["math"])
             open_(name, data)
             if foreign and name not in VOID:
                 close(len(stack) - 1)
@@ -291,9 +304,9 @@ def scan(page: str) -> Page:
         elif name in TABLE_PARTS:
             close_nearest((name,), TABLE_SCOPE)
         elif name == "p":
-            close_nearest(("p",), paragraph_barrier)
+            close_nearest(("p",), _PARAGRAPH_BARRIER)
         elif name == "li":
-            close_nearest(("li",), item_barrier)
+            close_nearest(("li",), _ITEM_BARRIER)
         elif name in SPECIAL:
             close_nearest((name,), SCOPE)
         else:

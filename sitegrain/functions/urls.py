@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 # White space by the Unicode property, as trimmed around hrefs and text lines.
 SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACE_CLASS = r"[\s\x{85}\p{Z}]"
 DEFAULT_PORTS = {"http": "80", "https": "443"}
 TRACKING_PREFIX = "utm_"
 

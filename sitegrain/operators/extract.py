@@ -123,9 +123,8 @@ def _visible_text(pages: pa.Array) -> pa.Array:
 
 def collapse_lines(text: Column) -> Column:
     """Lines trimmed of Unicode white space, blank ones dropped, joined by an empty line."""
-    edges = f"^{urls.SPACE_CLASS}+|{urls.SPACE_CLASS}+$"
     lines = F.transform(
-        F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n"), lambda line: F.regexp_replace(line, edges, "")
+        F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n"), lambda line: F.btrim(line, F.lit(urls.SPACE))
     )
     return F.array_join(F.filter(lines, lambda line: line != ""), "\n\n")
 

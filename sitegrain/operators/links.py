@@ -153,7 +153,7 @@ def page_id(page_url: Column, href: Column, canonical: Column, row_key: Sequence
         token = F.regexp_replace(digest, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     else:
         token = F.uuid()
-    blank = href.isNull() | (F.regexp_replace(href, urls.SPACE_CLASS, "") == "")
+    blank = href.isNull() | (F.btrim(href, F.lit(urls.SPACE)) == "")
     return F.coalesce(F.when(~blank, canonical), F.concat(page_url, token))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.schemas import EXTRACTED_JOBS, JOB_LISTINGS, RAW_PAGES
-from sitegrain.session import stage, utc_now
+from sitegrain.session import fits_broadcast, stage, utc_now
 
 JOB_TEXTS = ("title", "company", "location", "salary", "description")
 
@@ -36,15 +36,6 @@ def split_incomplete(rows: DataFrame, required: Sequence[str]) -> tuple[DataFram
     )
 
 
-def _replace_keys(target: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """Target rows of other keys, and all fresh ones.
-
-    ``fresh`` is staged, so the planner knows its size: while its keys are small enough to
-    broadcast, the target is only read through, else both sides are shuffled once.
-    """
-    return target.join(fresh.select(key), key, "left_anti").unionByName(fresh)
-
-
 def upsert_raw_pages(
     target: DataFrame, rows: DataFrame, order: Sequence[str], now: Column | None = None
 ) -> DataFrame:
@@ -52,12 +43,27 @@ def upsert_raw_pages(
 
     The last row by ``order`` wins within the batch. Rows without URL or content are left out;
     ``split_incomplete`` gives them.
+
+    Bodies are heavy, so they move only where they must: the batch's URLs, and those that occur
+    several times in it, are staged first. While these are small enough to broadcast, the target and
+    all rows with a URL of their own are just read through; beyond that, all rows of the batch go
+    through the aggregate, which merges copies before its shuffle, and the target is joined by
+    shuffle. ``rows`` is read several times; stage it first if it is costly to compute or holds
+    random ids.
     """
     complete, _ = split_incomplete(rows, ("url", "raw_content"))
-    last = latest_per_key(complete.select("url", "content_type", "raw_content", *order), "url", order)
+    complete = complete.select("url", "content_type", "raw_content", *order)
+    counted = stage(complete.groupBy("url").count(), "batch-urls")
+    repeated = stage(counted.filter("count > 1").select("url"), "repeated-urls")
+    if fits_broadcast(repeated):
+        several = latest_per_key(complete.join(repeated, "url", "left_semi"), "url", order)
+        last = complete.join(repeated, "url", "left_anti").unionByName(several)
+    else:
+        last = latest_per_key(complete, "url", order)
     fetched = (utc_now() if now is None else now).cast("timestamp_ntz")
     fresh = last.select("url", "content_type", "raw_content", fetched.alias("fetched_at"))
-    return _replace_keys(target.select(*RAW_PAGES.names), stage(fresh, "raw-pages"), "url")
+    kept = target.select(*RAW_PAGES.names).join(counted.select("url"), "url", "left_anti")
+    return kept.unionByName(fresh)
 
 
 def joined_skills(skills: Column) -> Column:
@@ -80,17 +86,17 @@ def upsert_extracted(
     """K3: ``extracted_jobs`` after inserting records or replacing by link.
 
     The last row by ``order`` wins within the batch; ``created_at`` of an existing link is kept.
+    The batch's last rows are staged, so that Spark knows their size: while they are small enough to
+    broadcast, the target is only read through, else both sides are shuffled once.
     """
     at = (F.current_timestamp() if now is None else now).cast("timestamp")
     last = stage(latest_per_key(_job_rows(rows, *order), "link", order), "extracted")
     known = target.select("link", "created_at").join(last.select("link"), "link", "left_semi")
-    fresh = stage(
-        last.join(known, "link", "left").select(
-            *JOB_TEXTS, "link", "skills", F.coalesce("created_at", at).alias("created_at"), at.alias("updated_at")
-        ),
-        "extracted-merged",
+    fresh = last.join(known, "link", "left").select(
+        *JOB_TEXTS, "link", "skills", F.coalesce("created_at", at).alias("created_at"), at.alias("updated_at")
     )
-    return _replace_keys(target, fresh, "link").select(*EXTRACTED_JOBS.names)
+    kept = target.join(last.select("link"), "link", "left_anti")
+    return kept.select(*EXTRACTED_JOBS.names).unionByName(fresh)
 
 
 def link_conflicts(target: DataFrame, rows: DataFrame) -> DataFrame:

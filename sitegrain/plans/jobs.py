@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from sitegrain.functions import urls
 from sitegrain.operators import crawl, extract, links, merge
 from sitegrain.schemas import RAW_PAGES
-from sitegrain.session import stage
+from sitegrain.session import fits_broadcast, stage
 from sitegrain.sources.snapshots import SnapshotTable
 from sitegrain.sources.tables import scan_since
 
@@ -51,7 +51,8 @@ def crawl_to_raw(
     reachable = results.filter(urls.on_domain(F.col("url"), domains))
     edges = stage(links.page_targets(reachable, body="body"), "edges")
     visited = stage(crawl.crawl_bounded(seeds, edges, domains, max_depth), "visited")
-    fetched = crawl.fetch_stored_pages(visited.filter("outcome = 'fetched'"), reachable)
+    wanted = visited.filter("outcome = 'fetched'")
+    fetched = crawl.fetch_stored_pages(wanted, reachable)
     by = [f"_order_{i}" for i in range(len(order))]
     rows = fetched.select(
         F.col("result_url").alias("url"),
@@ -59,6 +60,8 @@ def crawl_to_raw(
         F.col("body").alias("raw_content"),
         *[F.col(name).alias(alias) for name, alias in zip(order, by)],
     )
+    if not fits_broadcast(wanted):
+        rows = stage(rows, "fetched")  # the merge reads them more than once, and they took a shuffle
     before = seeds.sparkSession.createDataFrame([], RAW_PAGES) if target is None else target
     merged = merge.upsert_raw_pages(before, rows, by, now)
     return CrawlResult(merged, visited)

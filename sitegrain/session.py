@@ -35,9 +35,7 @@ def _package() -> str:
     return path
 
 
-@cache
-def _ship(application: str, path: str) -> None:
-    SparkSession.active().sparkContext.addPyFile(path)
+_shipped: set[tuple[str, str]] = set()
 
 
 def configure(spark: SparkSession, *modules: str) -> SparkSession:
@@ -48,7 +46,10 @@ def configure(spark: SparkSession, *modules: str) -> SparkSession:
     for name, value in RUNTIME_SETTINGS.items():
         spark.conf.set(name, value)
     for path in (_package(), *modules):
-        _ship(spark.sparkContext.applicationId, path)
+        shipment = (spark.sparkContext.applicationId, path)
+        if shipment not in _shipped:
+            spark.sparkContext.addPyFile(path)
+            _shipped.add(shipment)
     return spark
 
 
@@ -75,6 +76,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fits_broadcast(staged: DataFrame) -> bool:
+    """Whether Spark would broadcast a staged table, by its size on disk and the session's threshold."""
+    size = staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    limit = staged.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(size)) <= limit
+
+
+def clear_staging(spark: SparkSession) -> None:
+    """Remove what this application has staged; call it once results are stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def utc_now() -> Column:
     """Current time as a zoneless UTC timestamp."""
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.localtimestamp())

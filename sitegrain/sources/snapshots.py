@@ -16,8 +16,8 @@ _FOLDER = re.compile(r"v\d{12}(-[\w-]+)?")
 class SnapshotTable:
     """One writer at a time, any number of readers. A merge reads one version and writes the next.
 
-    ``sort_by`` orders rows within files, so that equality lookups skip row groups; ``bloom`` names
-    further lookup columns to keep Parquet bloom filters for.
+    ``sort_by`` orders rows within files, so that filters on it skip row groups: the link for lookups,
+    ``fetched_at`` for raw pages. ``bloom`` names further lookup columns to keep bloom filters for.
     """
 
     spark: SparkSession

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -77,3 +79,14 @@ def test_any_input_gives_a_consistent_page(text):
         assert -1 <= parent < node
         assert 0 <= page.begins[node] <= page.ends[node] <= len(page.text)
     assert all(isinstance(href, str) for href in hrefs(text))
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 50000, "<p>" + "<b>" * 50000, "</i>" * 50000, "<a " * 50000, "<!-" * 50000, "<a href='" * 20000, "<li>" * 50000],
+)
+def test_hostile_pages_take_no_longer_than_their_size(page):
+    started = time.perf_counter()
+    scan(page)
+    hrefs(page)
+    assert time.perf_counter() - started < 5
