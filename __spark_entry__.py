@@ -800,5 +800,6 @@ def cards_to_extracted(spark, sf_dir):
 )
 def next_frontier(spark, sf_dir):
     pages = pages_of(spark, sf_dir)
-    allowed = links.filter_allowed_domains(page_links(spark, sf_dir), DOMAINS)
-    return crawl.mark_visited(allowed.select(F.col("dst").alias("url")), pages.select("url"))
+    found = links.explode_udf(links.page_targets(pages), F.col("dsts"), "pos", "url").select("url")
+    allowed = links.filter_allowed_domains(found, DOMAINS, url="url")
+    return crawl.mark_visited(allowed, pages.select("url"))

@@ -38,7 +38,7 @@ _PLAIN_PATH = re.compile(r"[A-Za-z0-9._~!$&'()*+,;=:@/\[\]%-]*")
 _PLAIN_FRAGMENT = re.compile(r"[A-Za-z0-9._~!$&'()*+,;=:@/?\[\]%-]*")
 _PATH_SAFE = "$&+,/:;=@"
 _FRAGMENT_SAFE = "$&+,/:;=?@!()*"
-_SIMPLE_HREF = re.compile(r"(?:/[A-Za-z0-9_~,-][A-Za-z0-9._~,-]*)+/?")
+_ROOTED = re.compile(r"(?:/[A-Za-z0-9_~,-][A-Za-z0-9._~,-]*)+/?(?:\?[^#\x00-\x1f\x7f]*)?")
 
 
 class Url(NamedTuple):
@@ -139,21 +139,24 @@ def to_text(url: Url) -> str:
     return head + ("#" + _render(url.fragment, _PLAIN_FRAGMENT, _FRAGMENT_SAFE) if url.fragment else "")
 
 
+@lru_cache(maxsize=1024)
+def _origin(base: str) -> str | None:
+    url = _split_base(base)
+    if url is None or url.opaque or not url.scheme or not url.host:
+        return None
+    return f"{url.scheme}://{_authority(url.user, url.host, url.port)}"
+
+
 def resolve(base: str, href: str) -> str:
     """Absolute form of ``href`` on page ``base``; absolute and unparseable hrefs come back as they are."""
+    if _ROOTED.fullmatch(href):  # most links: nothing to normalise or encode in the path
+        origin = _origin(base)
+        if origin is not None:
+            return origin + href
     if _ABSOLUTE.match(href):
         return href
-    parent = _split_base(base)
-    if parent is None:
-        return href
-    if not parent.opaque and len(href) > 1 and _SIMPLE_HREF.fullmatch(href):
-        authority = _authority(parent.user, parent.host, parent.port)
-        if authority and parent.scheme:
-            return f"{parent.scheme}://{authority}{href}"
-    ref = split_url(href)
-    if ref is None:
-        return href
-    return to_text(join(parent, ref))
+    parent, ref = _split_base(base), split_url(href)
+    return href if parent is None or ref is None else to_text(join(parent, ref))
 
 
 def _clean(path: bytes) -> bytes:

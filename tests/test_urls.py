@@ -43,6 +43,14 @@ def test_resolve(base, href, want):
     assert urls.resolve(base, href) == want
 
 
+@given(st.text(alphabet="aZ0/.?&=#%ü;:@!-_ ", max_size=20))
+def test_the_short_way_resolves_alike(href):
+    base = "HTTPS://u@Host.example:81/a/b?c#d"
+    parent, ref = urls.split_url(base), urls.split_url("/" + href)
+    want = "/" + href if ref is None else urls.to_text(urls.join(parent, ref))
+    assert urls.resolve(base, "/" + href) == want
+
+
 @pytest.mark.parametrize(
     "base, href, want",
     [
