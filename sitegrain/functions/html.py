@@ -52,6 +52,8 @@ TABLE_CONTEXT = {
 _PARAGRAPH_BARRIER = SCOPE | {"button"}
 _LIST_BARRIER = (SPECIAL - {"address", "div", "p"}) | SCOPE
 _ITEM_BARRIER = SCOPE | {"ol", "ul"}
+_OUTER = frozenset(("html", "head", "body"))
+_CLOSES_ALIKE = HEADINGS | TABLE_CONTEXT.keys() | {"a", "button", "dd", "dt", "li", "optgroup", "option"}
 
 _TOKEN = re.compile(
     r"""<!--(?:-?>|.*?(?:--!?>|\Z))
@@ -133,37 +135,38 @@ def hrefs(page: str) -> list[str]:
     return found
 
 
+NAME, SOURCE, PARENT, BEGIN, END, LAST = range(6)
+
+
 class Page:
-    """Elements in document order, each with a parent and a ``[begin, end)`` slice of ``text``."""
+    """Elements in document order, each with its parent and its ``[begin, end)`` slice of ``text``.
+
+    A node is ``[name, attribute source, parent index, begin, end, index after its last descendant]``.
+    """
 
-    __slots__ = ("text", "names", "sources", "parents", "begins", "ends", "lasts", "_attributes")
+    __slots__ = ("text", "nodes", "_attributes")
 
     def __init__(self) -> None:
         self.text = ""
-        self.names: list[str] = []
-        self.sources: list[str] = []
-        self.parents: list[int] = []
-        self.begins: list[int] = []
-        self.ends: list[int] = []
-        self.lasts: list[int] = []
+        self.nodes: list[list] = []
         self._attributes: dict[int, dict[str, str]] = {}
 
     def attributes(self, node: int) -> dict[str, str]:
         found = self._attributes.get(node)
         if found is None:
-            found = self._attributes[node] = attributes(self.sources[node])
+            found = self._attributes[node] = attributes(self.nodes[node][SOURCE])
         return found
 
     def text_of(self, node: int) -> str:
-        return self.text[self.begins[node] : self.ends[node]]
+        return self.text[self.nodes[node][BEGIN] : self.nodes[node][END]]
 
     def text_without(self, removed: frozenset[str]) -> str:
         """Page text without the subtrees of the named elements."""
         kept, at = [], 0
-        for node, name in enumerate(self.names):
-            if name in removed and self.ends[node] > at:
-                kept.append(self.text[at : max(at, self.begins[node])])
-                at = self.ends[node]
+        for node in self.nodes:
+            if node[NAME] in removed and node[END] > at:
+                kept.append(self.text[at : max(at, node[BEGIN])])
+                at = node[END]
         kept.append(self.text[at:])
         return "".join(kept)
 
@@ -171,27 +174,28 @@ class Page:
 def scan(page: str) -> Page:
     """Build the element table of one page."""
     out = Page()
-    names, stack, pieces = out.names, [], []
-    opened: defaultdict[str, int] = defaultdict(int)  # open elements by name, so that most lookups need not walk the stack
+    nodes, stack, pieces = out.nodes, [], []
+    places: list[int] = []  # index of each open element
+    opened: defaultdict[str, int] = defaultdict(int)  # open elements by name, so most lookups need no walk
     length = 0
 
+    def shut(node: list) -> None:
+        opened[node[NAME]] -= 1
+        node[END] = length
+        node[LAST] = len(nodes)
+
     def close(depth: int) -> None:
         for node in stack[depth:]:
-            opened[names[node]] -= 1
-            out.ends[node] = length
-            out.lasts[node] = len(names)
-        del stack[depth:]
+            shut(node)
+        del stack[depth:], places[depth:]
 
     def open_(name: str, source: str) -> None:
-        names.append(name)
-        out.sources.append(source)
-        out.parents.append(stack[-1] if stack else -1)
-        out.begins.append(length)
-        out.ends.append(length)
-        out.lasts.append(len(names))
+        node = [name, source, places[-1] if places else -1, length, length, len(nodes) + 1]
         if name not in VOID:
             opened[name] += 1
-            stack.append(len(names) - 1)
+            stack.append(node)
+            places.append(len(nodes))
+        nodes.append(node)
 
     def find(wanted, barrier) -> int:
         """Stack index of the nearest open element in ``wanted``, not looking past ``barrier``."""
@@ -201,7 +205,7 @@ def scan(page: str) -> Page:
         else:
             return -1
         for depth in range(len(stack) - 1, -1, -1):
-            name = names[stack[depth]]
+            name = stack[depth][NAME]
             if name in wanted:
                 return depth
             if name in barrier:
@@ -217,19 +221,17 @@ def scan(page: str) -> Page:
         depth = find((name,), SCOPE)
         if depth < 0:
             return
-        if any(names[node] in SPECIAL for node in stack[depth + 1 :]):
-            node = stack.pop(depth)  # the blocks opened inside stay open
-            opened[name] -= 1
-            out.ends[node] = length
-            out.lasts[node] = len(names)
+        if any(node[NAME] in SPECIAL for node in stack[depth + 1 :]):
+            shut(stack.pop(depth))  # the blocks opened inside stay open
+            del places[depth]
         else:
             close(depth)
 
-    def enter_body() -> None:
+    def enter_body(source: str = "") -> None:
         nonlocal in_body
         in_body = True
         close(1)
-        open_("body", "")
+        open_("body", source)
 
     open_("html", "")
     in_body = False
@@ -237,9 +239,9 @@ def scan(page: str) -> Page:
 
     for kind, name, data in tags(page):
         if kind == "#":
-            if skip_newline and data[0] == "\n":
-                data = data[1:]
-            skip_newline = False
+            if skip_newline:
+                skip_newline = False
+                data = data.removeprefix("\n")
             if "&" in data and name not in RAW_TEXT:
                 data = unescape(data)
             if "\0" in data:
@@ -250,49 +252,50 @@ def scan(page: str) -> Page:
             length += len(data)
             continue
         skip_newline = False
-        if kind == "":
-            if name == "html":
-                if not out.sources[0]:
-                    out.sources[0] = data
-                continue
-            if name == "head":
-                if not in_body and len(stack) == 1:
+        if not kind:
+            if name in _OUTER:
+                if name == "html":
+                    nodes[0][SOURCE] = nodes[0][SOURCE] or data
+                elif name == "body" and not in_body:
+                    enter_body(data)
+                elif name == "head" and not in_body and len(stack) == 1:
                     open_(name, data)
                 continue
-            if name == "body":
-                if not in_body:
-                    enter_body()
-                    out.sources[-1] = data
-                continue
             if not in_body and not opened["template"]:
                 if name not in HEAD_CONTENT:
                     enter_body()
-                elif "head" not in names:
+                elif not any(node[NAME] == "head" for node in nodes):
                     open_("head", "")
             if opened["p"] and name in CLOSES_PARAGRAPH:
                 close_nearest(("p",), _PARAGRAPH_BARRIER)
-            if name == "li":
-                close_nearest(("li",), _LIST_BARRIER)
-            elif name in ("dd", "dt"):
-                close_nearest(("dd", "dt"), _LIST_BARRIER)
-            elif name in HEADINGS and names[stack[-1]] in HEADINGS:
-                close(len(stack) - 1)
-            elif name == "a":
-                if opened["a"]:
+            if name in _CLOSES_ALIKE:
+                if name == "li":
+                    close_nearest(("li",), _LIST_BARRIER)
+                elif name in ("dd", "dt"):
+                    close_nearest(("dd", "dt"), _LIST_BARRIER)
+                elif name in HEADINGS:
+                    if stack[-1][NAME] in HEADINGS:
+                        close(len(stack) - 1)
+                elif name == "a":
                     end_formatting("a")
-            elif name == "button":
-                close_nearest(("button",), SCOPE)
-            elif name in ("option", "optgroup") and names[stack[-1]] == "option":
-                close(len(stack) - 1)
-            elif name in TABLE_CONTEXT and find(("table",), ("template",)) >= 0:
-                depth = find(TABLE_CONTEXT[name], ())
-                close(depth + 1)
+                elif name == "button":
+                    close_nearest(("button",), SCOPE)
+                elif name in ("option", "optgroup"):
+                    if stack[-1][NAME] == "option":
+                        close(len(stack) - 1)
+                elif find(("table",), ("template",)) >= 0:
+                    close(find(TABLE_CONTEXT[name], ()) + 1)
             foreign = data.endswith("/") and (opened["svg"] or opened["math"])
             open_(name, data)
             if foreign and name not in VOID:
                 close(len(stack) - 1)
             skip_newline = name in ("listing", "pre", "textarea")
-        elif name in ("html", "body") or name in VOID:
+        elif name == "html" or name == "body":
+            continue
+        elif stack[-1][NAME] == name:  # most end tags close the innermost element
+            shut(stack.pop())
+            places.pop()
+        elif name in VOID:
             continue
         elif name == "head":
             if not in_body:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from sitegrain.functions.html import Page
+from sitegrain.functions.html import LAST, NAME, PARENT, Page
 
 _SIMPLE = re.compile(
     r"""\#(?P<id>[\w-]+)
@@ -66,7 +66,7 @@ def compile_selector(selector: str) -> tuple:
 
 def _matches(page: Page, node: int, steps: tuple, index: int = 0) -> bool:
     joiner, tag, tests = steps[index]
-    if tag is not None and page.names[node] != tag:
+    if tag is not None and page.nodes[node][NAME] != tag:
         return False
     if tests:
         attributes = page.attributes(node)
@@ -76,24 +76,24 @@ def _matches(page: Page, node: int, steps: tuple, index: int = 0) -> bool:
                 return False
     if index + 1 == len(steps):
         return True
-    parent = page.parents[node]
+    parent = page.nodes[node][PARENT]
     while parent >= 0:
         if _matches(page, parent, steps, index + 1):
             return True
         if joiner == ">":
             return False
-        parent = page.parents[parent]
+        parent = page.nodes[parent][PARENT]
     return False
 
 
 def select(page: Page, selector: str, within: int | None = None) -> list[int]:
     """Matching elements in document order; with ``within``, only its descendants."""
     alternatives = compile_selector(selector)
-    first, last = (0, len(page.names)) if within is None else (within + 1, page.lasts[within])
+    first, last = (0, len(page.nodes)) if within is None else (within + 1, page.nodes[within][LAST])
     wanted = {steps[0][1] for steps in alternatives}
     return [
         node
         for node in range(first, last)
-        if (None in wanted or page.names[node] in wanted)
+        if (None in wanted or page.nodes[node][NAME] in wanted)
         and any(_matches(page, node, steps) for steps in alternatives)
     ]

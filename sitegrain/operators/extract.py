@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from sitegrain.functions import html, urls
 from sitegrain.functions.responses import decode_records
 from sitegrain.functions.selectors import compile_selector, select
-from sitegrain.operators.links import explode_udf, page_id, with_udf
+from sitegrain.operators.links import explode_udf, page_id, readable, with_udf
 from sitegrain.schemas import DECODED_RESPONSE
 
 
@@ -106,7 +106,7 @@ def extract_cards(
         return pa.array(out, arrow_type)
 
     others = [name for name in pages.columns if name != body]
-    found = explode_udf(pages.select(*others, cards(body).alias("_cards")), F.col("_cards"), "pos", "_card")
+    found = explode_udf(pages.select(*others, cards(readable(body)).alias("_cards")), F.col("_cards"), "pos", "_card")
     return found.select(
         *others, "pos", *[F.col(f"_card.{name}").alias(name) for name in fields],
         F.array().cast("array<string>").alias("skills"),
@@ -132,7 +132,7 @@ def collapse_lines(text: Column) -> Column:
 def clean_html_text(pages: DataFrame, body: str = "html", to: str = "text") -> DataFrame:
     """Replace the page by its text, without scripts, styles, navigation, footers and frames."""
     others = [name for name in pages.columns if name not in (body, to)]
-    found = with_udf(pages, "_visible", _visible_text(body))
+    found = with_udf(pages, "_visible", _visible_text(readable(body)))
     return found.select(*others, collapse_lines(F.col("_visible")).alias(to))
 
 
@@ -150,8 +150,8 @@ Page:
 def build_prompts(pages: DataFrame, body: str = "html", use_clean: bool = False, to: str = "prompt") -> DataFrame:
     """Add the instruction followed by the page, as stored or (``use_clean``) as text."""
     if not use_clean:
-        return pages.withColumn(to, F.concat(F.lit(PROMPT), F.col(body)))
-    found = with_udf(pages, "_visible", _visible_text(body))
+        return pages.withColumn(to, F.concat(F.lit(PROMPT), readable(body)))
+    found = with_udf(pages, "_visible", _visible_text(readable(body)))
     return found.withColumn(to, F.concat(F.lit(PROMPT), collapse_lines(F.col("_visible")))).drop("_visible")
 
 
@@ -184,7 +184,7 @@ def parse_model_responses(responses: DataFrame, response: str = "response", to:
     """
     text = F.col(response)
     block = F.when(text.rlike(_FENCED), F.regexp_extract(text, _FENCED, 1))
-    return with_udf(responses, to, _decode(block))
+    return with_udf(responses, to, _decode(readable(block)))
 
 
 @F.arrow_udf(StringType())
@@ -195,7 +195,7 @@ def _unescape(texts: pa.Array) -> pa.Array:
 def unescape_links(records: DataFrame, link: str = "link") -> DataFrame:
     """E5: decode character references in the link; only links holding ``&`` go through Python."""
     escaped = F.when(F.contains(F.col(link), F.lit("&")), F.col(link))
-    found = with_udf(records, "_plain", _unescape(escaped))
+    found = with_udf(records, "_plain", _unescape(readable(escaped)))
     return found.withColumn(link, F.coalesce("_plain", link)).drop("_plain")
 
 
@@ -285,7 +285,7 @@ def select_page_content(pages: DataFrame, site: SiteConfig, url: str = "url", bo
         return pa.array(rows, arrow_type)
 
     others = [name for name in pages.columns if name != body]
-    found = pages.select(*others, content(url, body).alias("_content"))
+    found = pages.select(*others, content(readable(url), readable(body)).alias("_content"))
     listed = found.select(*others, F.explode_outer("_content.listings").alias("_listing"), F.col("_content.data").alias("_data"))
     identified = listed.filter("_listing is not null").select(
         *others,
@@ -317,5 +317,5 @@ def select_title_links(pages: DataFrame, selector: str = TITLE_LINK, url: str =
             out.append([page.text_of(node) for node in select(page, selector)] if page else [])
         return pa.array(out, pa.list_(pa.string()))
 
-    found = explode_udf(pages.select(F.col(url).alias("url"), texts(body).alias("_texts")), F.col("_texts"), "pos", "body")
+    found = explode_udf(pages.select(F.col(url).alias("url"), texts(readable(body)).alias("_texts")), F.col("_texts"), "pos", "body")
     return found.drop("_texts").withColumn("status", F.lit(200))

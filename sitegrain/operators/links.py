@@ -44,6 +44,12 @@ def _targets(bases: pa.Array, pages: pa.Array) -> pa.Array:
     )
 
 
+def readable(text: Column | str) -> Column:
+    """Text, or bytes of text, fit for Python: Spark strings may hold bytes that are not UTF-8."""
+    column = F.col(text) if isinstance(text, str) else text
+    return F.make_valid_utf8(column.cast("string"))
+
+
 def with_udf(df: DataFrame, to: str, value: Column) -> DataFrame:
     """``withColumn`` for a UDF result, evaluated once.
 
@@ -65,13 +71,13 @@ def explode_udf(df: DataFrame, array: Column, pos: str, item: str) -> DataFrame:
 
 def extract_links(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
     """L1: one row ``(url, pos, href)`` per ``a[href]``, in document order."""
-    found = explode_udf(pages.select(F.col(url).alias("url"), _hrefs(body).alias("_hrefs")), F.col("_hrefs"), "pos", "href")
+    found = explode_udf(pages.select(F.col(url).alias("url"), _hrefs(readable(body)).alias("_hrefs")), F.col("_hrefs"), "pos", "href")
     return found.drop("_hrefs")
 
 
 def resolve_links(links: DataFrame, base: str = "url", href: str = "href", to: str = "dst") -> DataFrame:
     """L2: add ``dst``, the href resolved against its page's URL."""
-    return with_udf(links, to, _resolve(base, href))
+    return with_udf(links, to, _resolve(readable(base), readable(href)))
 
 
 def filter_allowed_domains(
@@ -101,7 +107,7 @@ def filter_allowed_domains(
 
 def page_targets(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
     """L1 and L2 in one pass over each page: ``(src, dsts)`` with the distinct resolved links."""
-    return pages.select(F.col(url).alias("src"), _targets(url, body).alias("dsts"))
+    return pages.select(F.col(url).alias("src"), _targets(readable(url), readable(body)).alias("dsts"))
 
 
 def canonical_url(
@@ -120,7 +126,7 @@ def canonical_url(
             pa.string(),
         )
 
-    return canonical(base, href)
+    return canonical(readable(base), readable(href))
 
 
 def canonicalize_urls(

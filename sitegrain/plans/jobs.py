@@ -40,7 +40,7 @@ def crawl_to_raw(
 ) -> CrawlResult:
     """Crawl from the seeds over stored fetch results and merge what was fetched into ``raw_pages``.
 
-    ``results`` holds ``url`` (as requested), ``body``, the ``order`` columns and, if the content is
+    ``results`` holds ``url`` (as requested), ``body`` (text or bytes), the ``order`` columns and, if the content is
     stored under another name, ``result_url``; a URL may have several rows. Only results on
     the allowed domains are parsed, each once. Of results stored under one name the last by
     ``order`` is kept.
@@ -57,7 +57,7 @@ def crawl_to_raw(
     rows = fetched.select(
         F.col("result_url").alias("url"),
         F.lit(PAGE_CONTENT_TYPE).alias("content_type"),
-        F.col("body").alias("raw_content"),
+        links.readable("body").alias("raw_content"),
         *[F.col(name).alias(alias) for name, alias in zip(order, by)],
     )
     if not fits_broadcast(wanted):

@@ -75,9 +75,9 @@ def test_removed_subtrees_may_nest():
 @given(st.text(alphabet="<>/ab p=\"'!-&;\n", max_size=60))
 def test_any_input_gives_a_consistent_page(text):
     page = scan(text)
-    for node, parent in enumerate(page.parents):
-        assert -1 <= parent < node
-        assert 0 <= page.begins[node] <= page.ends[node] <= len(page.text)
+    for place, (_, _, parent, begin, end, last) in enumerate(page.nodes):
+        assert -1 <= parent < place < last <= len(page.nodes)
+        assert 0 <= begin <= end <= len(page.text)
     assert all(isinstance(href, str) for href in hrefs(text))
 
 

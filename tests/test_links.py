@@ -65,3 +65,14 @@ def test_dedupe_by_canonical_url_with_a_hot_url(spark):
     assert rows(got.filter("canonical = 'https://h/hot'"), "id") == [(299,)]
     assert rows(got.filter("id = 900"), "canonical") == [("https://h h/",)]
     assert got.columns == ["url", "id", "html", "canonical"] or set(got.columns) == {"url", "id", "html", "canonical"}
+
+
+def test_bytes_that_are_not_text_do_not_stop_a_job(spark):
+    from sitegrain.operators import extract
+
+    raw = spark.createDataFrame([(bytearray(b'<a href="/\xff">x\xfe</a>'),)], "html binary")
+    pages = raw.select(F.lit("https://h/").alias("url"), "html")
+    as_text = pages.withColumn("html", F.expr("cast(html as string)"))
+    for frame in (pages, as_text):
+        assert rows(links.resolve_links(links.extract_links(frame)), "dst") == [("https://h/%EF%BF%BD",)]
+        assert rows(extract.clean_html_text(frame), "text") == [("x\ufffd",)]
