@@ -36,6 +36,28 @@ def split_incomplete(rows: DataFrame, required: Sequence[str]) -> tuple[DataFram
     )
 
 
+def without_keys(table: DataFrame, listed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key is not listed, moving as few of the table's rows as possible.
+
+    A short list is broadcast. For a long one the keys alone are compared first: often few of the
+    table's rows are hit, or few are left, and then those keys are broadcast instead. Only
+    when neither holds are whole rows shuffled.
+    """
+    keys = list(keys)
+    listed = listed.select(*keys)
+    if fits_broadcast(listed):
+        return table.join(listed, keys, "left_anti")
+    hit = stage(table.select(*keys).join(listed.distinct(), keys, "left_semi"), "keys-hit")
+    if fits_broadcast(hit):
+        return table.join(hit, keys, "left_anti")
+    left = stage(table.select(*keys).join(hit, keys, "left_anti"), "keys-left")
+    if fits_broadcast(left):
+        left = left.toDF(*[f"_{key}" for key in keys])
+        same = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys]  # rows without a key stay, too
+        return table.join(left, same, "left_semi")
+    return table.join(hit, keys, "left_anti")
+
+
 def upsert_raw_pages(
     target: DataFrame, rows: DataFrame, order: Sequence[str], now: Column | None = None
 ) -> DataFrame:
@@ -45,11 +67,10 @@ def upsert_raw_pages(
     ``split_incomplete`` gives them.
 
     Bodies are heavy, so they move only where they must: the batch's URLs, and those that occur
-    several times in it, are staged first. While these are small enough to broadcast, the target and
-    all rows with a URL of their own are just read through; beyond that, all rows of the batch go
-    through the aggregate, which merges copies before its shuffle, and the target is joined by
-    shuffle. ``rows`` is read several times; stage it first if it is costly to compute or holds
-    random ids.
+    several times in it, are staged first. While the latter are small enough to broadcast, only their
+    rows are shuffled; beyond that, all rows of the batch go through the aggregate, which merges
+    copies before its shuffle. ``rows`` is read several times; stage it first if it is costly to
+    compute or holds random ids.
     """
     complete, _ = split_incomplete(rows, ("url", "raw_content"))
     complete = complete.select("url", "content_type", "raw_content", *order)
@@ -62,7 +83,7 @@ def upsert_raw_pages(
         last = latest_per_key(complete, "url", order)
     fetched = (utc_now() if now is None else now).cast("timestamp_ntz")
     fresh = last.select("url", "content_type", "raw_content", fetched.alias("fetched_at"))
-    kept = target.select(*RAW_PAGES.names).join(counted.select("url"), "url", "left_anti")
+    kept = without_keys(target.select(*RAW_PAGES.names), counted, ["url"])
     return kept.unionByName(fresh)
 
 
@@ -86,8 +107,6 @@ def upsert_extracted(
     """K3: ``extracted_jobs`` after inserting records or replacing by link.
 
     The last row by ``order`` wins within the batch; ``created_at`` of an existing link is kept.
-    The batch's last rows are staged, so that Spark knows their size: while they are small enough to
-    broadcast, the target is only read through, else both sides are shuffled once.
     """
     at = (F.current_timestamp() if now is None else now).cast("timestamp")
     last = stage(latest_per_key(_job_rows(rows, *order), "link", order), "extracted")
@@ -95,7 +114,7 @@ def upsert_extracted(
     fresh = last.join(known, "link", "left").select(
         *JOB_TEXTS, "link", "skills", F.coalesce("created_at", at).alias("created_at"), at.alias("updated_at")
     )
-    kept = target.join(last.select("link"), "link", "left_anti")
+    kept = without_keys(target, last, ["link"])
     return kept.select(*EXTRACTED_JOBS.names).unionByName(fresh)
 
 
@@ -119,8 +138,7 @@ def delete_by_urls(target: DataFrame, urls: DataFrame | None, key: str | Sequenc
     """K4: the table without rows whose key is listed; give ``(url, fetched_at)`` to spare refetched pages."""
     if urls is None:
         return target
-    keys = [key] if isinstance(key, str) else list(key)
-    return target.join(urls.select(*keys).distinct(), keys, "left_anti")
+    return without_keys(target, urls, [key] if isinstance(key, str) else key)
 
 
 def append_job_listings(listings: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:

@@ -16,7 +16,7 @@ from sitegrain.operators import crawl, extract, links, merge
 from sitegrain.schemas import RAW_PAGES
 from sitegrain.session import fits_broadcast, stage
 from sitegrain.sources.snapshots import SnapshotTable
-from sitegrain.sources.tables import scan_since
+from sitegrain.sources.tables import scan_since, since
 
 Extractor = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
@@ -121,7 +121,10 @@ def parse_to_extracted(
         return 0
     parsed.failures.write.mode("overwrite").parquet(f"{failures_path}/{read[-1][1]}")
     extracted.commit(merge.upsert_extracted(extracted.read(), parsed.records, RECORD_ORDER, now))
-    raw.commit(merge.delete_by_urls(raw.read(), parsed.used, ("url", "fetched_at")))
+    recent = since(start)  # older pages were not read, and need not be looked up
+    stored = raw.read()
+    left = merge.delete_by_urls(stored.filter(recent), parsed.used, ("url", "fetched_at"))
+    raw.commit(stored.filter(~recent).unionByName(left))
     return used
 
 

@@ -76,10 +76,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(staged: DataFrame) -> bool:
-    """Whether Spark would broadcast a staged table, by its size on disk and the session's threshold."""
-    size = staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    limit = staged.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark would broadcast this side of a join: for a staged table, by its size on disk."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     return int(str(size)) <= limit
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sitegrain.operators import crawl, extract, links, merge
+from sitegrain.session import stage
 from sitegrain.sources import tables
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -83,10 +84,21 @@ def test_dedupe_moves_no_page_bodies(pages):
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 
 
-def test_a_large_batch_shuffles_each_side_once(spark, no_broadcast):
-    pages = entry.event_pages(spark, SF_DIR)
-    plan = plan_of(merge.delete_by_urls(pages, pages.select("url")))
-    assert plan.count("Exchange hashpartitioning") == 2
+def test_a_long_list_moves_keys_rather_than_rows(spark, urls_frame):
+    """Broadcast at most 2 kB: too little for the list, enough for the few keys hit or left."""
+    body = F.sha2(F.col("id").cast("string"), 256)
+    target = stage(spark.range(3000).select(F.col("id").cast("string").alias("url"), body.alias("body")), "target")
+    nobody = target.limit(1).withColumn("url", F.lit(None).cast("string"))
+    target = stage(target.union(nobody), "target")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2000")
+    try:
+        for first, last, want in ((2990, 9000, 2991), (10, 9000, 11), (1000, 9000, 1001)):
+            listed = stage(spark.range(first, last).select(F.col("id").cast("string").alias("url")), "listed")
+            kept = merge.without_keys(target, listed, ["url"])
+            moves = "SortMergeJoin" in plan_of(kept)
+            assert (kept.count(), moves) == (want, first == 1000)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_spread_leaves_large_tables_alone(spark, pages):
