@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.functions import urls
+from sitegrain.operators.keys import rows_with_keys
 from sitegrain.operators.links import with_udf
 from sitegrain.session import stage
 
 
 def fetch_stored_pages(frontier: DataFrame, pages: DataFrame, key: str = "url") -> DataFrame:
     """Stored rows of the frontier's URLs; a URL may have several rows."""
-    return pages.join(frontier.select(key), key, "left_semi")
+    return rows_with_keys(pages, frontier, [key])
 
 
 def mark_visited(discovered: DataFrame, visited: DataFrame, url: str = "url") -> DataFrame:

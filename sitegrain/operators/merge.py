@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegrain.operators.keys import rows_without_keys
 from sitegrain.schemas import EXTRACTED_JOBS, JOB_LISTINGS, RAW_PAGES
 from sitegrain.session import fits_broadcast, stage, utc_now
 
@@ -36,28 +37,6 @@ def split_incomplete(rows: DataFrame, required: Sequence[str]) -> tuple[DataFram
     )
 
 
-def without_keys(table: DataFrame, listed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key is not listed, moving as few of the table's rows as possible.
-
-    A short list is broadcast. For a long one the keys alone are compared first: often few of the
-    table's rows are hit, or few are left, and then those keys are broadcast instead. Only
-    when neither holds are whole rows shuffled.
-    """
-    keys = list(keys)
-    listed = listed.select(*keys)
-    if fits_broadcast(listed):
-        return table.join(listed, keys, "left_anti")
-    hit = stage(table.select(*keys).join(listed.distinct(), keys, "left_semi"), "keys-hit")
-    if fits_broadcast(hit):
-        return table.join(hit, keys, "left_anti")
-    left = stage(table.select(*keys).join(hit, keys, "left_anti"), "keys-left")
-    if fits_broadcast(left):
-        left = left.toDF(*[f"_{key}" for key in keys])
-        same = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys]  # rows without a key stay, too
-        return table.join(left, same, "left_semi")
-    return table.join(hit, keys, "left_anti")
-
-
 def upsert_raw_pages(
     target: DataFrame, rows: DataFrame, order: Sequence[str], now: Column | None = None
 ) -> DataFrame:
@@ -83,7 +62,7 @@ def upsert_raw_pages(
         last = latest_per_key(complete, "url", order)
     fetched = (utc_now() if now is None else now).cast("timestamp_ntz")
     fresh = last.select("url", "content_type", "raw_content", fetched.alias("fetched_at"))
-    kept = without_keys(target.select(*RAW_PAGES.names), counted, ["url"])
+    kept = rows_without_keys(target.select(*RAW_PAGES.names), counted, ["url"])
     return kept.unionByName(fresh)
 
 
@@ -114,7 +93,7 @@ def upsert_extracted(
     fresh = last.join(known, "link", "left").select(
         *JOB_TEXTS, "link", "skills", F.coalesce("created_at", at).alias("created_at"), at.alias("updated_at")
     )
-    kept = without_keys(target, last, ["link"])
+    kept = rows_without_keys(target, last, ["link"])
     return kept.select(*EXTRACTED_JOBS.names).unionByName(fresh)
 
 
@@ -138,7 +117,7 @@ def delete_by_urls(target: DataFrame, urls: DataFrame | None, key: str | Sequenc
     """K4: the table without rows whose key is listed; give ``(url, fetched_at)`` to spare refetched pages."""
     if urls is None:
         return target
-    return without_keys(target, urls, [key] if isinstance(key, str) else key)
+    return rows_without_keys(target, urls, [key] if isinstance(key, str) else key)
 
 
 def append_job_listings(listings: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sitegrain.operators import crawl, extract, links, merge
+from sitegrain.operators import crawl, extract, keys, links, merge
 from sitegrain.session import stage
 from sitegrain.sources import tables
 
@@ -94,9 +94,12 @@ def test_a_long_list_moves_keys_rather_than_rows(spark, urls_frame):
     try:
         for first, last, want in ((2990, 9000, 2991), (10, 9000, 11), (1000, 9000, 1001)):
             listed = stage(spark.range(first, last).select(F.col("id").cast("string").alias("url")), "listed")
-            kept = merge.without_keys(target, listed, ["url"])
-            moves = "SortMergeJoin" in plan_of(kept)
-            assert (kept.count(), moves) == (want, first == 1000)
+            for frame, size in (
+                (keys.rows_without_keys(target, listed, ["url"]), want),
+                (keys.rows_with_keys(target, listed, ["url"]), 3001 - want),
+            ):
+                moves = "SortMergeJoin" in plan_of(frame)
+                assert (frame.count(), moves) == (size, first == 1000)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
