@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sitegrain.operators import crawl, extract, links, merge
 from sitegrain.plans import jobs
 from sitegrain.schemas import EXTRACTED_JOBS, RAW_PAGES
-from sitegrain.session import configure, stage, staging_root
+from sitegrain.session import configure, empty_table, stage, staging_root
 from sitegrain.sources import tables
 from sitegrain.sources.snapshots import SnapshotTable
 from sitegrain.streaming.parse_stream import parse_stream
@@ -584,7 +584,7 @@ def append_extracted(spark, sf_dir):
         F.concat(F.lit("https://example.com/supplier/"), "s_suppkey").alias("link"),
         F.lit(None).cast("array<string>").alias("skills"),
     )
-    nothing = spark.createDataFrame([], EXTRACTED_JOBS)
+    nothing = empty_table(spark, EXTRACTED_JOBS)
     stored = merge.append_extracted(nothing, suppliers, zoned(EARLIER))
     added = merge.append_extracted(stored, part_jobs(spark, sf_dir), zoned(LATER))
     every = stored.unionByName(added)
@@ -626,7 +626,7 @@ def event_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert_extracted(spark, sf_dir):
     rows = event_jobs(spark, sf_dir)
     old, new = (rows.filter(F.col("fetched_at") < timestamp(HALFWAY)), tables.scan_since(rows, timestamp(HALFWAY)))
-    nothing = spark.createDataFrame([], EXTRACTED_JOBS)
+    nothing = empty_table(spark, EXTRACTED_JOBS)
     stored = stage(merge.upsert_extracted(nothing, old, ["event_id"], zoned(EARLIER)), "stored-jobs")
     merged = merge.upsert_extracted(stored, new, ["event_id"], zoned(LATER))
     return merged.withColumns({"created_at": as_text("created_at"), "updated_at": as_text("updated_at")})
@@ -784,7 +784,7 @@ def parse_as_stream(spark, sf_dir):
 def cards_to_extracted(spark, sf_dir):
     merged = jobs.cards_to_extracted(
         pages_of(spark, sf_dir),
-        spark.createDataFrame([], EXTRACTED_JOBS),
+        empty_table(spark, EXTRACTED_JOBS),
         order=["page_id"],
         container="nav li",
         fields={"title": extract.Field("a"), "link": extract.Field("a", attribute="href")},

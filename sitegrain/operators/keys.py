@@ -22,9 +22,12 @@ def _select(table: DataFrame, listed: DataFrame, keys: Sequence[str], wanted: bo
     listed = listed.select(*keys)
     if fits_broadcast(listed):
         return table.join(listed, keys, keep)
-    hit = stage(table.select(*keys).join(listed.distinct(), keys, "left_semi"), "keys-hit")
+    own = table.select(*keys)
+    small_table = fits_broadcast(own)
+    found = listed.join(own, keys, "left_semi") if small_table else own.join(listed.distinct(), keys, "left_semi")
+    hit = stage(found.distinct(), "keys-hit")
     if not fits_broadcast(hit):
-        left = stage(table.select(*keys).join(hit, keys, "left_anti"), "keys-left")
+        left = stage(own.join(hit, keys, "left_anti"), "keys-left")
         if fits_broadcast(left):
             left = left.toDF(*[f"_{key}" for key in keys])
             # NULL-safe, as rows without a key are among those left.

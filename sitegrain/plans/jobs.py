@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from sitegrain.functions import urls
 from sitegrain.operators import crawl, extract, links, merge
 from sitegrain.schemas import RAW_PAGES
-from sitegrain.session import fits_broadcast, stage
+from sitegrain.session import empty_table, fits_broadcast, stage
 from sitegrain.sources.snapshots import SnapshotTable
 from sitegrain.sources.tables import scan_since, since
 
@@ -62,7 +62,7 @@ def crawl_to_raw(
     )
     if not fits_broadcast(wanted):
         rows = stage(rows, "fetched")  # the merge reads them more than once, and they took a shuffle
-    before = seeds.sparkSession.createDataFrame([], RAW_PAGES) if target is None else target
+    before = empty_table(seeds.sparkSession, RAW_PAGES) if target is None else target
     merged = merge.upsert_raw_pages(before, rows, by, now)
     return CrawlResult(merged, visited)
 

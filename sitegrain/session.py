@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Stored pages are large, so few of them fill a batch sent to Python.
 RUNTIME_SETTINGS = {
@@ -76,6 +77,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def empty_table(spark: SparkSession, schema: StructType) -> DataFrame:
+    """A table the planner knows to be empty, so that joins with it vanish."""
+    return spark.createDataFrame([], schema).filter("false")
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether Spark would broadcast this side of a join: for a staged table, by its size on disk."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from sitegrain.session import empty_table
+
 _FOLDER = re.compile(r"v\d{12}(-[\w-]+)?")
 
 
@@ -47,7 +49,7 @@ class SnapshotTable:
         """The last committed version; an empty table before the first commit."""
         versions = self.versions()
         if not versions:
-            return self.spark.createDataFrame([], self.schema)
+            return empty_table(self.spark, self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/{versions[-1][1]}")
 
     def has(self, tag: str) -> bool:

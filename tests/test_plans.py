@@ -104,6 +104,17 @@ def test_a_long_list_moves_keys_rather_than_rows(spark, urls_frame):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_a_short_table_is_matched_without_a_shuffle_of_a_long_list(spark):
+    listed = stage(spark.range(5000).select(F.col("id").cast("string").alias("url")), "listed")
+    table = spark.createDataFrame([("7", "a"), ("x", "b"), (None, "c")], "url string, body string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2000")
+    try:
+        assert [row.body for row in keys.rows_with_keys(table, listed, ["url"]).collect()] == ["a"]
+        assert sorted(row.body for row in keys.rows_without_keys(table, listed, ["url"]).collect()) == ["b", "c"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_spread_leaves_large_tables_alone(spark, pages):
     assert tables.spread(pages).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(0, 100, 1, 16)
