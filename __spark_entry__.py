@@ -19,6 +19,13 @@ from sitegrain.sources import tables
 from sitegrain.sources.snapshots import SnapshotTable
 from sitegrain.streaming.parse_stream import parse_stream
 
+try:
+    from sitegrain.llm import queries as corpus
+except ModuleNotFoundError as error:
+    if not (error.name or "").startswith("sitegrain.llm"):
+        raise
+    corpus = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -46,11 +53,15 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | {name: _configured(fn) for name, fn in (corpus.QUERIES if corpus else {}).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | (corpus.SQL if corpus else {})
+
+
+def _configured(fn: Query) -> Query:
+    return lambda spark, sf_dir: fn(configure(spark, __file__), sf_dir)
 
 
 # Inputs
