@@ -57,9 +57,6 @@ class _Object(list):
 def decode_records(block: str) -> tuple[str, list[dict]]:
     """Return ``(status, records)`` for a block; any value off its type fails the whole block."""
     block = block.strip(SPACE)
-    for fence in ("```json", "```"):
-        block = block.removeprefix(fence)
-    block = block.removesuffix("```").strip(SPACE)
     if not block:
         return "empty", []
     try:

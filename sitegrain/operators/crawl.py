@@ -27,11 +27,11 @@ def mark_visited(discovered: DataFrame, visited: DataFrame, url: str = "url") ->
 
 
 def is_visited(candidates: DataFrame, visited: DataFrame, url: str = "url", to: str = "visited") -> DataFrame:
-    """Add a flag telling whether the URL is in ``visited``, which holds each URL once.
+    """Add a flag telling whether the URL is in ``visited``; a URL may stand there several times.
 
-    Without a ``distinct`` in between, Spark can split a hot URL's candidates over several tasks.
+    The distinct URLs are staged, as without an aggregate below the join Spark can split a hot URL's candidates.
     """
-    known = visited.select(url, F.lit(True).alias(to))
+    known = stage(visited.select(url).distinct(), "known").select(url, F.lit(True).alias(to))
     return candidates.join(known, url, "left").withColumn(to, F.coalesce(F.col(to), F.lit(False)))
 
 

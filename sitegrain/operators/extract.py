@@ -164,6 +164,7 @@ def extract_with(
     return df.mapInPandas(fn, schema)
 
 
+# Fixed value: the form in which models are asked to answer.
 _FENCED = r"(?s)```json\n?(.*?)\n?```"
 _DECODED = to_arrow_type(DECODED_RESPONSE)
 

@@ -121,7 +121,8 @@ def parse_to_extracted(
         return 0
     parsed.failures.write.mode("overwrite").parquet(f"{failures_path}/{read[-1][1]}")
     extracted.commit(merge.upsert_extracted(extracted.read(), parsed.records, RECORD_ORDER, now))
-    recent = since(start)  # older pages were not read, and need not be looked up
+    # Older pages, and those without a fetch time, were not read and need not be looked up.
+    recent = F.coalesce(since(start), F.lit(False))
     stored = raw.read()
     left = merge.delete_by_urls(stored.filter(recent), parsed.used, ("url", "fetched_at"))
     raw.commit(stored.filter(~recent).unionByName(left))
@@ -141,11 +142,13 @@ def cards_to_extracted(
 ) -> DataFrame:
     """Job cards of stored pages, keyed by canonical link, merged into ``extracted_jobs``.
 
-    A link that does not parse is kept as written.
+    A link that does not parse is kept as written. A card without a link gets an id from its page and place.
     """
     cards = extract.extract_cards(pages.select(*dict.fromkeys([url, *order, body])), body, container, fields)
     fields = extract.JOB_CARD_FIELDS if fields is None else fields
     canonical = links.canonical_url(url, "link", site.ignore_params, site.root_prefixes)
     blanks = {name: F.lit("") for name in merge.JOB_TEXTS if name not in fields}
-    rows = cards.withColumn("link", F.coalesce(F.when(F.col("link") != "", canonical), F.col("link")))
+    place = links.page_id(F.col(url), F.lit(""), canonical, [F.col("pos")])
+    linked = F.when(F.btrim("link") != "", F.coalesce(canonical, F.col("link"))).otherwise(place)
+    rows = cards.withColumn("link", linked)
     return merge.upsert_extracted(target, rows.withColumns(blanks) if blanks else rows, [*order, "pos"], now)

@@ -115,3 +115,8 @@ def test_equals_plain_breadth_first_search(spark, pairs, seeds, max_depth):
         spark.createDataFrame([(seed,) for seed in seeds], "url string"), edges_of(spark, *pairs), ["example.com"], max_depth
     )
     assert {row.url: row.hop for row in got.collect()} == breadth_first(pairs, seeds, max_depth)
+
+
+def test_a_url_visited_twice_gives_no_second_row(spark, urls_frame):
+    got = crawl.is_visited(urls_frame("a", "b"), urls_frame("a", "a"))
+    assert rows(got) == [("a", True), ("b", False)]

@@ -148,3 +148,10 @@ def test_stream_takes_each_file_once(spark, stores, tmp_path):
     assert rows(extracted.read(), "title") == [("again",), ("five",), ("four",), ("kept",)]
     tags = [name.split("-", 1)[1] for _, name in extracted.versions() if "-" in name]
     assert len(tags) == len(set(tags)) and all("None" not in tag for tag in tags)
+
+
+def test_cards_without_a_link_stay_apart(spark):
+    card = "<article data-testid='job-card'><h3><a data-automation='jobTitle'>%s</a></h3></article>"
+    pages = spark.createDataFrame([(f"https://h/{i}", card % "Baker" + card % "Cook", i) for i in range(3)], "url string, html string, page_id int")
+    target = spark.createDataFrame([], EXTRACTED_JOBS)
+    assert jobs.cards_to_extracted(pages, target, ["page_id"]).select("link").distinct().count() == 6
