@@ -40,7 +40,7 @@ class Coder:
         self.longest = max(map(len, self.ids))
         order = sorted((p for p in self.ids if len(p) > 1))
         self.pieces = order
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
         self.fits: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -105,7 +105,7 @@ class Coder:
                     out.append(self.ids[piece])
                 else:
                     out += [self.bytes[b] for b in piece.replace("\n", MARK).encode("utf-8", "surrogatepass")]
-            self.known[word] = np.array(out, np.int32)
+            self.known[word] = np.array(out, "<i4").tobytes()
             begin += len(word) + 1
 
     def split(self, text: str) -> list[str]:
@@ -115,41 +115,37 @@ class Coder:
         return re.findall(f"\n|\0|{MARK}+(?=[^{MARK}\n\0])[^{MARK}\n\0]+|{MARK}+|[^{MARK}\n\0]+", MARK + text.replace(" ", MARK))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        line = [self.ids["\n"]] if "\n" in self.ids else [self.bytes[10]]
         split = [None if t is None else [] if t == "" else self.split(t.replace("\0", "\0\0").replace(MARK, "\0\1")) for t in texts]
-        zero, literal = np.array([self.bytes[0]], np.int32), np.array([self.bytes[b] for b in MARK.encode()], np.int32)
-        out: list[np.ndarray | None] = []
-        if len(self.known) > 200_000:
+        spell = lambda s: np.array([self.bytes[b] for b in s.encode()], "<i4").tobytes()
+        zero, literal = spell("\0"), spell(MARK)
+        if len(self.known) > 500_000:
             self.known.clear()
-        fresh = sorted({w for s in split if s for w in s if w not in self.known and w not in ("\n", "\0")})
+        self.known["\n"] = np.array([self.ids.get("\n", self.bytes[10])], "<i4").tobytes()
+        fresh = sorted({w for s in split if s for w in s if w not in self.known and w != "\0"})
         for i in range(0, len(fresh), 20_000):
             self.learn(fresh[i : i + 20_000])
-        newline = np.array(line, np.int32)
-        for s in split:
-            if s is None:
-                out.append(None)
-                continue
-            parts: list[np.ndarray] = []
-            skip = False
-            for k, w in enumerate(s):
-                if skip:
-                    skip = False
-                    if w[0] == "\1":
-                        parts.append(literal)
-                        if len(w) > 1:
-                            rest = w[1:]
-                            if rest not in self.known:
-                                self.learn([rest])
-                            parts.append(self.known[rest])
-                    else:
-                        parts.append(zero)
-                    continue
-                if w == "\0":
-                    skip = True
+
+        def escaped(s: list[str]) -> list[bytes]:
+            """``\\0`` and what follows it stand for a zero character or for a literal mark and the rest of a word."""
+            parts, k = [], 0
+            while k < len(s):
+                if s[k] != "\0":
+                    parts.append(self.known[s[k]])
+                    k += 1
                     continue
-                parts.append(newline if w == "\n" else self.known[w])
-            out.append(np.concatenate(parts) if parts else np.empty(0, np.int32))
-        return out
+                after = s[k + 1]
+                if after == "\0":
+                    parts.append(zero)
+                else:
+                    parts.append(literal)
+                    if after[1:]:
+                        if after[1:] not in self.known:
+                            self.learn([after[1:]])
+                        parts.append(self.known[after[1:]])
+                k += 2
+            return parts
+
+        return [None if s is None else np.frombuffer(b"".join(escaped(s) if "\0" in s else map(self.known.__getitem__, s)), "<i4") for s in split]
 
     def decode(self, ids: np.ndarray | None) -> str | None:
         if ids is None:
