@@ -11,7 +11,6 @@ Null text, empty text or text without a letter: ``und``, score 0. No labelled ro
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,23 +20,20 @@ from pyspark.sql import functions as F
 _SYMBOLS = 128
 
 
-@lru_cache(200_000)
-def _grams(word: str) -> np.ndarray:
-    code = np.frombuffer(f" {word} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+def _spectrum(text: str) -> np.ndarray:
+    code = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
     code = np.where(code < 97, 0, (code - 96) % (_SYMBOLS - 1) + 1)
     two = code[:-1] * _SYMBOLS + code[1:]
     three = two[:-1] * _SYMBOLS + code[2:]
     return np.unique(np.concatenate([code, two + _SYMBOLS, three + _SYMBOLS + _SYMBOLS**2])).astype(np.int32)
 
 
-def grams(text: str | None) -> np.ndarray:
-    """Numbers of the n-grams that the words of a text hold; empty if it has no letter."""
-    if not text:
+def grams(text: str | None, step: int = 1 << 20) -> np.ndarray:
+    """Numbers of the n-grams that a text holds; empty if it has no letter."""
+    if not text or not any(map(str.isalpha, text)):
         return np.empty(0, np.int32)
-    found = [w for w in set(text.lower().split()) if any(map(str.isalpha, w))]
-    if not found:
-        return np.empty(0, np.int32)
-    parts = [np.unique(np.concatenate([_grams(w) if len(w) < 64 else _grams.__wrapped__(w) for w in found[i : i + 2000]])) for i in range(0, len(found), 2000)]
+    text = text.lower()
+    parts = [_spectrum(text[max(0, i - 2) : i + step]) for i in range(0, len(text), step)]
     return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
 
 
