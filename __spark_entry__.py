@@ -20,7 +20,7 @@ from sitegrain.sources.snapshots import SnapshotTable
 from sitegrain.streaming.parse_stream import parse_stream
 
 try:
-    from sitegrain.llm import queries as corpus
+    import sitegrain.llm.queries as corpus
 except ModuleNotFoundError as error:
     if not (error.name or "").startswith("sitegrain.llm"):
         raise

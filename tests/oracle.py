@@ -59,7 +59,7 @@ if __name__ == "__main__":
     spark.sparkContext.setLogLevel("ERROR")
     con, sql = connect(sf_dir), entry.oracle_sql()
     for name, query in entry.queries().items():
-        if sys.argv[2:] and not any(name.startswith(prefix) for prefix in sys.argv[2:]):
+        if name not in sql or sys.argv[2:] and not any(name.startswith(prefix) for prefix in sys.argv[2:]):
             continue
         started = time.time()
         try:
