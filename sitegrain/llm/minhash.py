@@ -2,8 +2,8 @@
 
 Words are lower-cased (A-Z); a document's set holds its distinct runs of ``size`` words, or the whole sequence if it has fewer.
 Null, empty or blank text: an empty set, linked with nothing. Equal sets form one class first, so that copies are
-not paired. Classes that share a band are compared with the band's least member; then, within bands that still hold
-several components, members of different components with each other. Bands with many such members are
+not paired. Classes that share a band are compared with the band's least member, then with a few other hubs; then, within bands that
+still hold several components, members of different components with each other. Bands with many such members are
 keyed anew by a second band first, so no group is paired out. Every link is confirmed on full sets.
 """
 
@@ -122,7 +122,14 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("v", "root")
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, crowd: int = 64) -> DataFrame:
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, doc_id, root, _n) of the bands whose members are in several components."""
+    rest = members.join(roots.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    mixed = rest.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n")).filter("_lo != _hi and _n > 2")
+    return stage(rest.join(mixed.select("band", "_n"), "band"), "rest")
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, crowd: int = 64, hubs: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``; a null id keeps to itself."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sigs = stage(signatures(docs, size), "signatures")
@@ -136,15 +143,27 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, crowd: in
     star = members.filter("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct()
     edges = stage(_verified(_likely(star, own, percent / 100 - 0.21), texts, size, percent), "links")
     roots = components(edges)
-    # Members that their band's least one did not take in.
-    rest = members.join(roots.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    mixed = rest.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n")).filter("_lo != _hi and _n > 2")
-    rest = stage(rest.join(mixed.select("band", "_n"), "band"), "rest")
+    tried = star
+    for turn in range(1, hubs + 1):
+        # Another member of each larger band that still holds several components is its hub, the same one in many bands.
+        rest = _mixed(members, roots)
+        rank = F.xxhash64("doc_id", F.lit(turn))
+        hub = rest.filter(F.col("_n") > 8).groupBy("band").agg(F.min(F.struct(rank.alias("_k"), "doc_id", "root")).alias("h"))
+        both = rest.join(hub, "band").filter("root != h.root").select(F.greatest("doc_id", "h.doc_id").alias("a"), F.least("doc_id", "h.doc_id").alias("b"))
+        pairs = stage(both.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            break
+        tried = stage(tried.union(pairs), "tried")
+        more = stage(_verified(_likely(pairs, own, percent / 100 - 0.21), texts, size, percent), "links")
+        if not more.isEmpty():
+            edges = stage(edges.union(more), "links")
+            roots = components(edges)
+    rest = _mixed(members, roots)
     large = rest.filter(F.col("_n") > crowd).join(own.select("doc_id", "bands"), "doc_id").select(F.col("band").alias("_first"), "doc_id", "root", F.explode("bands").alias("_second"))
     large = large.filter("_first != _second").select(F.xxhash64(F.least("_first", "_second"), F.greatest("_first", "_second")).alias("band"), "doc_id", "root").distinct()
     keyed = rest.filter(F.col("_n") <= crowd).select("band", "doc_id", "root").union(large)
     x, y = keyed.select("band", F.col("doc_id").alias("a"), F.col("root").alias("_p")), keyed.select("band", F.col("doc_id").alias("b"), F.col("root").alias("_q"))
-    pairs = stage(x.join(y, "band").filter("a > b and _p != _q").select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "pairs")
+    pairs = stage(x.join(y, "band").filter("a > b and _p != _q").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         more = stage(_verified(_likely(pairs, own, percent / 100 - 0.21), texts, size, percent), "links")
         roots = components(edges.union(more))
