@@ -90,7 +90,8 @@ def extract(pages: DataFrame, share: float = 0.5, least_pages: int = 8) -> DataF
     seen = parts.select("host", "page", F.explode(token).alias("token"))
     vectors = seen.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page")).alias("vector"), F.count("*").alias("n")).filter(F.col("n") >= least_pages)
     sizes = parts.groupBy("host").agg(F.count("*").alias("pages"))
-    template = vectors.join(sizes, "host").filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_set("token").alias("template"))
+    found = vectors.join(sizes, "host").filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_set("token").alias("template"))
+    template = stage(found, "template")  # of known size, so that a small one is broadcast and the blocks stay in place
     both = parts.join(template, "host", "left")
     own = F.filter("blocks", lambda b: ~b["noisy"] & ~F.coalesce(F.array_contains("template", F.xxhash64(b["text"], b["inside"])) & ~b["inside"], F.lit(False)))
     inside = F.filter(own, lambda b: b["inside"])
