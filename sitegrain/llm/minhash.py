@@ -3,8 +3,8 @@
 Words are lower-cased (A-Z); a document's set holds its distinct runs of ``size`` words, or the whole sequence if it has fewer.
 Null, empty or blank text: an empty set, linked with nothing. Equal sets form one class first, so that copies are
 not paired. Classes that share a band are compared with the band's least member, then with a few other hubs; then, within bands that
-still hold several components, members of different components with each other. Bands with many such members are
-keyed anew by a second band first, so no group is paired out. Every link is confirmed on full sets.
+still hold several components, members of different components with each other. Bands with many such members
+are paired by their rarest shingles instead, under bounds that lose no link, so no group is paired out. Every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -129,6 +129,39 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     return stage(rest.join(mixed.select("band", "_n"), "band"), "rest")
 
 
+def _rare_pairs(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b) of different components that may reach ``percent``; no pair that does is left out.
+
+    With shingles in one order, rarest first, two sets that are alike enough share one among the first ``n - ceil(percent * n) + 1`` of each.
+    At the first they share, what follows bounds their overlap; the parities of hashed shingles bound their difference from below.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for doc, text in zip(b["doc_id"], b["text"]):
+                s = shingles(text, size)
+                odd = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+                yield pd.DataFrame({"doc_id": [doc], "n": [len(s)], "odd": [np.packbits(odd.astype(bool)).view(np.int64)], "shingles": [s.view(np.int64)]})
+
+    sets = stage(docs.join(members, "doc_id", "left_semi").mapInPandas(cut, "doc_id long, n int, odd array<long>, shingles array<long>"), "sets")
+    each = sets.select("doc_id", "n", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("_f")).filter("_f > 1")
+    held = each.join(often, "shingle").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("_f", "shingle"))).alias("held"))
+    # Shingles of one document alone come first and meet nothing, so only their number counts.
+    alone = F.col("n") - F.size("held")
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - alone
+    heads = held.select("doc_id", alone.alias("_alone"), F.posexplode(F.slice("held", F.lit(1), F.greatest(first, F.lit(0)))).alias("_at", "_s"))
+    keyed = heads.select("doc_id", F.col("_s.shingle").alias("shingle"), (F.col("_alone") + F.col("_at")).alias("at"))
+    keyed = stage(keyed.join(sets.select("doc_id", "n", "odd"), "doc_id").join(members, "doc_id"), "heads")
+    x, y = keyed.alias("x"), keyed.alias("y")
+    both = F.col("x.n") + F.col("y.n")
+    after = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    apart = sum(F.bit_count(F.get("x.odd", F.lit(i)).bitwiseXOR(F.get("y.odd", F.lit(i)))) for i in range(8))
+    fits = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.doc_id") > F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
+    fits &= (after * (100 + percent) >= both * percent) & (apart * (100 + percent) <= both * (100 - percent))
+    return x.join(y, fits).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, crowd: int = 64, hubs: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``; a null id keeps to itself."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -159,11 +192,13 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, crowd: in
             edges = stage(edges.union(more), "links")
             roots = components(edges)
     rest = _mixed(members, roots)
-    large = rest.filter(F.col("_n") > crowd).join(own.select("doc_id", "bands"), "doc_id").select(F.col("band").alias("_first"), "doc_id", "root", F.explode("bands").alias("_second"))
-    large = large.filter("_first != _second").select(F.xxhash64(F.least("_first", "_second"), F.greatest("_first", "_second")).alias("band"), "doc_id", "root").distinct()
-    keyed = rest.filter(F.col("_n") <= crowd).select("band", "doc_id", "root").union(large)
-    x, y = keyed.select("band", F.col("doc_id").alias("a"), F.col("root").alias("_p")), keyed.select("band", F.col("doc_id").alias("b"), F.col("root").alias("_q"))
-    pairs = stage(x.join(y, "band").filter("a > b and _p != _q").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    few = rest.filter(F.col("_n") <= crowd).select("band", "doc_id", "root")
+    x, y = few.select("band", F.col("doc_id").alias("a"), F.col("root").alias("_p")), few.select("band", F.col("doc_id").alias("b"), F.col("root").alias("_q"))
+    close = x.join(y, "band").filter("a > b and _p != _q").select("a", "b")
+    many = stage(rest.filter(F.col("_n") > crowd).select("doc_id", "root").distinct(), "crowded")
+    if not many.isEmpty():
+        close = close.union(_rare_pairs(many, texts, size, percent))
+    pairs = stage(close.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         more = stage(_verified(_likely(pairs, own, percent / 100 - 0.21), texts, size, percent), "links")
         roots = components(edges.union(more))
