@@ -10,6 +10,8 @@ byte pieces, and so does a literal U+2581, which keeps the round trip exact. Nul
 from __future__ import annotations
 
 import os
+import re
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
+WIDE = 128
 _loaded: dict[str, Coder] = {}
 
 
@@ -42,6 +45,11 @@ class Coder:
         self.pieces = order
         self.known: dict[str, bytes] = {}
         self.fits: dict[tuple[str, str], bool] = {}
+        self.numbers: dict[str, int] = {}
+        self.names: list[str] = []
+        self.spelt: list[np.ndarray] = []
+        self.widths: list[int] = []
+        self.tried, self.fitted = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
 
     def merged(self, text: str) -> list[str]:
         parts = list(text)
@@ -61,57 +69,101 @@ class Coder:
             got = self.fits[left, right] = self.merged(left + right) == [left, right]
         return got
 
-    def learn(self, fresh: list[str]) -> None:
-        """Encode words by the suffix array of their joined text."""
-        text = "\n".join(fresh) + "\n"
-        size, depth = len(text), self.longest
-        array = sorted(range(size), key=lambda i: text[i : i + depth])
-        keys = [text[i : i + depth] for i in array]
-        starts, ends, which = [], [], []
-        at = np.array(array)
-        from bisect import bisect_left
+    def number(self, piece: str) -> int:
+        """A small number for a piece, or for a character without one."""
+        got = self.numbers.get(piece)
+        if got is None:
+            got = self.numbers[piece] = len(self.names)
+            self.names.append(piece)
+            own = [self.ids[piece]] if piece in self.ids else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+            self.spelt.append(np.array(own, "<i4"))
+            self.widths.append(len(piece))
+        return got
 
-        lo = 0
+    def edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(end, length, number) of every occurrence of a piece, and of every character, by a suffix array."""
+        size, depth = len(text), self.longest
+        cut = [text[i : i + depth] for i in range(size)]
+        array = sorted(range(size), key=cut.__getitem__)
+        keys = [cut[i] for i in array]
+        at, starts, numbers, counts, lo = np.array(array), [], [], [], 0
         for piece in self.pieces:  # sorted, so the search starts where the last one ended
             lo = bisect_left(keys, piece, lo)
             if lo < size and keys[lo].startswith(piece):
                 hi = bisect_left(keys, piece + "\U0010ffff", lo)
                 starts.append(at[lo:hi])
-                ends.append(at[lo:hi] + len(piece))
-                which += [piece] * (hi - lo)
-        edges: dict[int, list[str]] = {}
-        if starts:
-            flat = np.concatenate(ends)
-            for i in np.argsort(flat, kind="stable").tolist():
-                edges.setdefault(int(flat[i]), []).append(which[i])
-        begin = 0
-        for word in fresh:
-            last: list[str] = [""]
-            for end in range(1, len(word) + 1):
-                for piece in (*edges.get(begin + end, ()), word[end - 1]):
-                    before = end - len(piece)
-                    if before >= 0 and (before == 0 or self.fit(last[before], piece)):
-                        last.append(piece)
-                        break
-                else:
-                    raise AssertionError(word)
-            path, end = [], len(word)
-            while end:
-                path.append(last[end])
-                end -= len(last[end])
-            out: list[int] = []
-            for piece in reversed(path):
-                if piece in self.ids:
-                    out.append(self.ids[piece])
-                else:
-                    out += [self.bytes[b] for b in piece.replace("\n", MARK).encode("utf-8", "surrogatepass")]
-            self.known[word] = np.array(out, "<i4").tobytes()
-            begin += len(word) + 1
+                numbers.append(self.number(piece))
+                counts.append(hi - lo)
+        codes, back = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)
+        chars = np.array([self.number(chr(c)) for c in codes.tolist()])[back]
+        which = np.concatenate([np.repeat(np.array(numbers, np.int64), counts), chars])
+        start = np.concatenate([*starts, np.arange(size)])
+        length = np.array(self.widths)[which]
+        return start + length, length, which
+
+    def fitting(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``fit`` for arrays of piece numbers; a left one of -1 stands for a word's begin."""
+        keys = (left << 32) | right
+        slot = (keys * np.int64(0x9E3779B97F4A7C1) >> np.int64(40)) & (len(self.tried) - 1)
+        ok = left < 0
+        hit = self.tried[slot] == keys
+        ok[hit] |= self.fitted[slot[hit]]
+        rest = np.flatnonzero(~hit & ~ok)
+        if len(rest):
+            new, back = np.unique(keys[rest], return_inverse=True)
+            names = self.names
+            got = np.array([self.fit(names[k >> 32], names[k & 0xFFFFFFFF]) for k in new.tolist()], bool)
+            ok[rest] = got[back]
+            self.tried[slot[rest]], self.fitted[slot[rest]] = keys[rest], ok[rest]
+            clash = self.tried[slot[rest]] != keys[rest]  # two new pairs in one slot: the last one written stays
+            self.fitted[slot[rest[~clash]]] = ok[rest[~clash]]
+        return ok
+
+    def learn(self, fresh: list[str]) -> None:
+        """Encode words: edges of their joined text, sorted by position within the word, are relaxed for all words at a time."""
+        text = "\n".join(fresh) + "\n"
+        sizes = np.array([len(w) for w in fresh])
+        begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        end, length, which = self.edges(text)
+        word = np.searchsorted(begin, end - 1, "right") - 1
+        depth = end - begin[word]
+        # Beyond WIDE characters few words are left, and one step for each position would cost more than it saves.
+        wide = sizes[word] > WIDE
+        last = np.full(len(text) + 1, -1, np.int64)
+        within = (depth <= sizes[word]) & (end - length >= begin[word])
+        inside = np.flatnonzero(within & ~wide)
+        inside = inside[np.argsort(depth[inside], kind="stable")]
+        bounds = np.searchsorted(depth[inside], np.arange(1, WIDE + 2))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if a == b:
+                break
+            step = inside[a:b]
+            before = end[step] - length[step]
+            # The place of a word's begin is also the end of the mark that parts it from the word before.
+            left = np.where(before == begin[word[step]], -1, last[before])
+            good = step[self.fitting(left, which[step])]
+            last[end[good]] = which[good]
+        rest = np.flatnonzero(within & wide)
+        rest = rest[np.argsort(end[rest], kind="stable")]
+        for e, n, k, w in zip(end[rest].tolist(), length[rest].tolist(), which[rest].tolist(), begin[word[rest]].tolist()):
+            if e - n == w or self.fit(self.names[last[e - n]], self.names[k]):
+                last[e] = k
+        widths, at, live, path = np.array(self.widths), begin + sizes, np.arange(len(fresh)), []
+        while len(live):
+            piece = last[at[live]]
+            path.append((live, piece))
+            at[live] -= widths[piece]
+            live = live[at[live] > begin[live]]
+        owner, piece = (np.concatenate([x[i] for x in path[::-1]]) for i in (0, 1))
+        order = np.argsort(owner, kind="stable")
+        spelt = [self.spelt[k] for k in piece[order].tolist()]
+        cuts = np.searchsorted(owner[order], np.arange(len(fresh) + 1)).tolist()
+        flat, edge = np.concatenate(spelt).astype("<i4"), np.concatenate([[0], np.cumsum([len(x) for x in spelt])]).tolist()
+        for w, a, b in zip(fresh, cuts[:-1], cuts[1:]):
+            self.known[w] = flat[edge[a] : edge[b]].tobytes()
 
     def split(self, text: str) -> list[str]:
         """Words with the mark before them, runs of marks and single odd characters; no piece reaches over their edges."""
-        import re
-
         return re.findall(f"\n|\0|{MARK}+(?=[^{MARK}\n\0])[^{MARK}\n\0]+|{MARK}+|[^{MARK}\n\0]+", MARK + text.replace(" ", MARK))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
@@ -122,8 +174,15 @@ class Coder:
             self.known.clear()
         self.known["\n"] = np.array([self.ids.get("\n", self.bytes[10])], "<i4").tobytes()
         fresh = sorted({w for s in split if s for w in s if w not in self.known and w != "\0"})
-        for i in range(0, len(fresh), 20_000):
-            self.learn(fresh[i : i + 20_000])
+        size, part = 0, []
+        for w in fresh:
+            part.append(w)
+            size += len(w)
+            if size > 400_000:
+                self.learn(part)
+                size, part = 0, []
+        if part:
+            self.learn(part)
 
         def escaped(s: list[str]) -> list[bytes]:
             """``\\0`` and what follows it stand for a zero character or for a literal mark and the rest of a word."""
@@ -150,7 +209,7 @@ class Coder:
     def decode(self, ids: np.ndarray | None) -> str | None:
         if ids is None:
             return None
-        text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "surrogatepass")
+        text = b"".join(map(self.out.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "surrogatepass")
         return text[1:] if text[:1] == " " else text
 
 
