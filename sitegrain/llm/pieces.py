@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 import re
-from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -41,8 +40,6 @@ class Coder:
                 self.ids[piece], self.scores[piece] = i, model.get_score(i)
                 self.out.append(piece.replace(MARK, " ").encode())
         self.longest = max(map(len, self.ids))
-        order = sorted((p for p in self.ids if len(p) > 1))
-        self.pieces = order
         self.known: dict[str, bytes] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         self.numbers: dict[str, int] = {}
@@ -50,15 +47,23 @@ class Coder:
         self.spelt: list[np.ndarray] = []
         self.widths: list[int] = []
         self.tried, self.fitted = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
+        many = [p for p in self.ids if len(p) > 1]
+        self.many = np.array([self.number(p) for p in many], np.int64)
+        points = np.frombuffer("".join(p.ljust(self.longest, "\0") for p in many).encode("utf-32-le"), "<u4")
+        self.points, at = np.unique(points, return_inverse=True)  # code points of the pieces, and where each stands
+        self.at, self.filled = at.reshape(len(many), -1), points.reshape(len(many), -1) != 0
 
     def merged(self, text: str) -> list[str]:
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.scores[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.scores), default=None)
-            if best is None:
-                break
-            i = -best[1]
+        parts, score, none = list(text), self.scores.get, -np.inf
+        pairs = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := max(pairs)) > none:
+            i = pairs.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = score(parts[i] + parts[i + 1], none)
         return parts
 
     def fit(self, left: str, right: str) -> bool:
@@ -82,22 +87,54 @@ class Coder:
 
     def edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(end, length, number) of every occurrence of a piece, and of every character, by a suffix array."""
-        size, depth = len(text), self.longest
-        cut = [text[i : i + depth] for i in range(size)]
-        array = sorted(range(size), key=cut.__getitem__)
-        keys = [cut[i] for i in array]
-        at, starts, numbers, counts, lo = np.array(array), [], [], [], 0
-        for piece in self.pieces:  # sorted, so the search starts where the last one ended
-            lo = bisect_left(keys, piece, lo)
-            if lo < size and keys[lo].startswith(piece):
-                hi = bisect_left(keys, piece + "\U0010ffff", lo)
-                starts.append(at[lo:hi])
-                numbers.append(self.number(piece))
-                counts.append(hi - lo)
-        codes, back = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)
-        chars = np.array([self.number(chr(c)) for c in codes.tolist()])[back]
-        which = np.concatenate([np.repeat(np.array(numbers, np.int64), counts), chars])
-        start = np.concatenate([*starts, np.arange(size)])
+        size = len(text)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        alphabet, rank = np.unique(codes, return_inverse=True)
+        # A suffix, as far as the longest piece, is a few numbers of several characters each: ranks from 1, none as 0.
+        bits = (len(alphabet) + 1).bit_length()
+        each = 63 // bits
+        tail = np.concatenate([rank + 1, np.zeros(self.longest + each, np.int64)])
+
+        def packed(rows: np.ndarray) -> list[np.ndarray]:
+            """Numbers of ``each`` columns at a time, whatever the columns are."""
+            out = []
+            for first in range(0, self.longest, each):
+                key = np.zeros_like(rows[0])
+                for column in rows[first : first + each]:
+                    key = key << bits | column
+                out.append(key << bits * (each - len(rows[first : first + each])))
+            return out
+
+        suffixes = packed([tail[i : i + size] for i in range(self.longest)])
+        array = np.lexsort(suffixes[::-1])
+        keys = [k[array] for k in suffixes]
+        place = np.searchsorted(alphabet, self.points)
+        place[place == len(alphabet)] = 0
+        own = np.where(alphabet[place] == self.points, place + 1, 0)[self.at]
+        met = ((own > 0) | ~self.filled).all(axis=1)
+        own, filled, found = own[met], self.filled[met], self.many[met]
+
+        def bound(wanted: list[np.ndarray], after: bool) -> np.ndarray:
+            """Binary search of all pieces at a time: how many suffixes are less, or with ``after`` not greater."""
+            lo = np.searchsorted(keys[0], wanted[0], "left")
+            hi = np.searchsorted(keys[0], wanted[0], "right")
+            while len(live := np.flatnonzero(lo < hi)):
+                mid = (lo[live] + hi[live]) // 2
+                less = np.full(len(live), after)
+                for k, w in zip(keys[::-1], wanted[::-1]):
+                    x, y = k[mid], w[live]
+                    less = (x < y) | ((x == y) & less)
+                lo[live], hi[live] = np.where(less, mid + 1, lo[live]), np.where(less, hi[live], mid)
+            return lo
+
+        low = bound(packed(list(np.where(filled, own, 0).T)), False)
+        high = bound(packed(list(np.where(filled, own, (1 << bits) - 1).T)), True)
+        counts = high - low
+        first = np.repeat(low - np.cumsum(counts) + counts, counts)
+        starts = array[first + np.arange(len(first))]
+        chars = np.array([self.number(chr(c)) for c in alphabet.tolist()])[rank]
+        which = np.concatenate([np.repeat(found, counts), chars])
+        start = np.concatenate([starts, np.arange(size)])
         length = np.array(self.widths)[which]
         return start + length, length, which
 
@@ -156,11 +193,14 @@ class Coder:
             live = live[at[live] > begin[live]]
         owner, piece = (np.concatenate([x[i] for x in path[::-1]]) for i in (0, 1))
         order = np.argsort(owner, kind="stable")
-        spelt = [self.spelt[k] for k in piece[order].tolist()]
-        cuts = np.searchsorted(owner[order], np.arange(len(fresh) + 1)).tolist()
-        flat, edge = np.concatenate(spelt).astype("<i4"), np.concatenate([[0], np.cumsum([len(x) for x in spelt])]).tolist()
+        owner, piece = owner[order], piece[order]
+        ids, sizes = np.concatenate(self.spelt), np.array([len(x) for x in self.spelt])
+        long = sizes[piece]
+        edge = np.concatenate([[0], np.cumsum(long)])
+        flat = ids[np.repeat((np.cumsum(sizes) - sizes)[piece] - edge[:-1], long) + np.arange(edge[-1])].astype("<i4").tobytes()
+        cuts = (edge[np.searchsorted(owner, np.arange(len(fresh) + 1))] * 4).tolist()
         for w, a, b in zip(fresh, cuts[:-1], cuts[1:]):
-            self.known[w] = flat[edge[a] : edge[b]].tobytes()
+            self.known[w] = flat[a:b]
 
     def split(self, text: str) -> list[str]:
         """Words with the mark before them, runs of marks and single odd characters; no piece reaches over their edges."""
