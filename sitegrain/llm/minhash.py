@@ -20,6 +20,7 @@ from sitegrain.llm.words import fingerprints, mix, windows, words
 from sitegrain.session import stage
 
 SLOTS, ROWS = 128, 4
+COUNTERS = 1 << 16  # of shingles, by their first 16 bits: half a megabyte, whatever the input
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,7 +133,7 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
 def _rare_pairs(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b) of different components that may reach ``percent``; no pair that does is left out.
 
-    With shingles in one order, rarest first, two sets that are alike enough share one among the first ``n - ceil(percent * n) + 1`` of each.
+    With shingles in one order, those of the lowest counters first, two sets that are alike enough share one among the first ``n - ceil(percent * n) + 1`` of each.
     At the first they share, what follows bounds their overlap; the parities of hashed shingles bound their difference from below.
     """
 
@@ -144,15 +145,38 @@ def _rare_pairs(members: DataFrame, docs: DataFrame, size: int, percent: int) ->
                 yield pd.DataFrame({"doc_id": [doc], "n": [len(s)], "odd": [np.packbits(odd.astype(bool)).view(np.int64)], "shingles": [s.view(np.int64)]})
 
     sets = stage(docs.join(members, "doc_id", "left_semi").mapInPandas(cut, "doc_id long, n int, odd array<long>, shingles array<long>"), "sets")
-    each = sets.select("doc_id", "n", F.explode("shingles").alias("shingle"))
-    often = each.groupBy("shingle").agg(F.count("*").alias("_f")).filter("_f > 1")
-    held = each.join(often, "shingle").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("_f", "shingle"))).alias("held"))
-    # Shingles of one document alone come first and meet nothing, so only their number counts.
-    alone = F.col("n") - F.size("held")
-    first = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - alone
-    heads = held.select("doc_id", alone.alias("_alone"), F.posexplode(F.slice("held", F.lit(1), F.greatest(first, F.lit(0)))).alias("_at", "_s"))
-    keyed = heads.select("doc_id", F.col("_s.shingle").alias("shingle"), (F.col("_alone") + F.col("_at")).alias("at"))
-    keyed = stage(keyed.join(sets.select("doc_id", "n", "odd"), "doc_id").join(members, "doc_id"), "heads")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            if len(b):
+                total += np.bincount((np.concatenate(list(b["shingles"])).view(np.uint64) >> np.uint64(48)).astype(np.int64), minlength=COUNTERS)
+        yield pd.DataFrame({"counts": [total.tobytes()]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for x in b["counts"]:
+                total += np.frombuffer(x, np.int64)
+        yield pd.DataFrame({"counts": [total.tobytes()]})
+
+    partial = stage(sets.select("shingles").mapInPandas(count, "counts binary"), "counts")
+    several = partial.repartition(max(1, round(partial.count() ** 0.5))).mapInPandas(add, "counts binary")
+    often = np.frombuffer(several.repartition(1).mapInPandas(add, "counts binary").first()[0], np.int64)
+
+    def head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for doc, n, odd, s in zip(b["doc_id"], b["n"], b["odd"], b["shingles"]):
+                s = np.asarray(s, np.int64)
+                seen = often[(s.view(np.uint64) >> np.uint64(48)).astype(np.int64)]
+                at = np.arange(n - -(-n * percent // 100) + 1)
+                order = np.lexsort((s, seen))[at]
+                # A counter of one: no other document holds the shingle, so only its place counts.
+                at, order = at[seen[order] > 1], order[seen[order] > 1]
+                if len(at):
+                    yield pd.DataFrame({"doc_id": np.full(len(at), doc), "n": np.full(len(at), n, np.int32), "odd": [odd] * len(at), "shingle": s[order], "at": at.astype(np.int32)})
+
+    keyed = stage(sets.mapInPandas(head, "doc_id long, n int, odd array<long>, shingle long, at int").join(members, "doc_id"), "heads")
     x, y = keyed.alias("x"), keyed.alias("y")
     both = F.col("x.n") + F.col("y.n")
     after = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
