@@ -1,16 +1,21 @@
 """Main text of HTML pages by equivalence-class template deduction.
 
-Tokens are tags with their class, id and role, and whole text blocks. Over the pages of a host, tokens with the same
-occurrence vector (a sum of hashes of page and count) form a class. A class is valid if its tokens stand in most of the host's pages; its tags nest
-into the template, and its text blocks are template text, which is no page's own. What is left are the slots; those inside menus,
-headers, footers, sidebars, notices, adverts, forms, scripts and comments are dropped. Null or empty html: empty text.
+Tokens are block tags with their class, id and role, and whole text blocks, each with its tag path and its number among equals of the page.
+Over the distinct pages of a host, tokens with the same occurrence vector (a hash of the pages that hold them) form a class. A class that
+``share`` of the pages hold is kept with those of its tokens that stand in the same order on all its pages and nest into the same gap between
+the tokens that all pages hold; these are the template. Its text blocks are no page's own, within article and main too. What is
+left are the slots; those inside menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments are dropped. Copies of a page
+count once, and a host with one distinct page has no template. A page with no text of its own in its article keeps the article.
+Null or empty html: empty text.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,20 +32,25 @@ _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _SPACE = re.compile(r"\s+")
 
 
-def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
-    """Text blocks in page order: text, whether it stands in an article or main element, whether it stands in a part that is no main text."""
-    out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
+def blocks(page: str | None) -> list[tuple[int, str | None, bool, bool]]:
+    """Tokens in page order: hash, text (none for a tag), whether it stands in an article or main element, whether it stands in a part that is no main text."""
+    out: list[tuple[int, str | None, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, str]] = []
     text: list[str] = []
+    met: Counter[str] = Counter()
 
-    def state() -> tuple[bool, bool]:
-        return (stack[-1][1], stack[-1][2]) if stack else (False, False)
+    def add(value: str, got: str | None) -> None:
+        _, inside, bad, path = stack[-1] if stack else ("", False, False, "")
+        key = f"{path}\0{value}"
+        met[key] += 1
+        digest = blake2b(f"{key}\0{met[key]}".encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        out.append((int.from_bytes(digest, "little", signed=True), got, inside, bad))
 
     def flush() -> None:
         got = _SPACE.sub(" ", html.unescape("".join(text))).strip()
         text.clear()
         if got:
-            out.append((got, *state()))
+            add(got, got)
 
     at = 0
     for m in _TOKEN.finditer(page or ""):
@@ -51,7 +61,7 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
             if m[1] and m[1].lower() == "title":
                 flush()
             continue
-        noisy = False
+        noisy, named = False, ""
         if not m[2]:
             named = " ".join(x[1] or x[2] or x[3] for x in _ATTR.findall(m[4]))
             noisy = tag in _SKIP or bool(named and _NOISE.search(named)) or bool(re.search(r"\bhidden\b", _ATTR.sub("", m[4])))
@@ -68,32 +78,92 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
         elif tag not in _VOID:
             if tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
-            inside, bad = state()
+            _, inside, bad, path = stack[-1] if stack else ("", False, False, "")
             header = tag == "header" and inside
-            stack.append((tag, inside or (tag in ("article", "main") and not bad), bad or (noisy and not header)))
+            stack.append((tag, inside or (tag in ("article", "main") and not bad), bad or (noisy and not header), f"{path}/{tag}"))
+            add(f"<{named}>", None)
     text.append((page or "")[at:])
     flush()
     return out
 
 
-def extract(pages: DataFrame, share: float = 0.5, least_pages: int = 8) -> DataFrame:
+_RANKS = 1 << 20
+
+
+def misplaced(places: list[int]) -> list[int]:
+    """Of a page's class * _RANKS + rank in page order, those outside the longest run of rising ranks of their class."""
+    out, classes = [], {}
+    for x in places:
+        classes.setdefault(x // _RANKS, []).append(x)
+    for run in classes.values():
+        if all(x < y for x, y in zip(run, run[1:])):
+            continue
+        ends: list[int] = []
+        last: list[int] = []
+        before = [-1] * len(run)
+        for i, x in enumerate(run):
+            at = bisect_left(ends, x)
+            before[i] = last[at - 1] if at else -1
+            ends[at : at + 1] = [x]
+            last[at : at + 1] = [i]
+        kept, i = set(), last[-1]
+        while i >= 0:
+            kept.add(i)
+            i = before[i]
+        out += [x for i, x in enumerate(run) if i not in kept]
+    return out
+
+
+def template(parts: DataFrame, share: float) -> DataFrame:
+    """(host, template): the template's tokens on each host, out of (host, page, tokens) with a row for each page; equal ``page`` are copies."""
+    some = parts.filter(F.size("tokens") > 0)
+    seen = some.select("host", "page", F.posexplode("tokens").alias("pos", "token")).distinct()
+    tokens = seen.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page")).alias("vector"), F.count("*").alias("n"), F.avg("pos").alias("at"))
+    sizes = some.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    held = tokens.join(sizes, "host").filter((F.col("n") >= 2) & (F.col("n") >= share * F.col("pages"))).withColumn("root", F.col("n") == F.col("pages"))
+    # The pages of a class are the same for all its tokens, so means of their places rise where their order agrees.
+    member = F.struct("root", "n", "vector", "at", "token")
+    listed = held.groupBy("host").agg(F.array_sort(F.collect_list(member)).alias("found"))
+    classes = F.array_distinct(F.transform("found", lambda x: F.struct(x["n"], x["vector"])))
+    number = F.transform("found", lambda x, i: F.array_position("classes", F.struct(x["n"], x["vector"])) * _RANKS + i)
+    first = listed.withColumn("classes", classes).select("host", F.map_from_arrays("found.token", number).alias("place"), F.transform(F.filter("found", lambda x: x["root"]), lambda x: x["token"]).alias("root"))
+    first = stage(first, "classes")
+
+    @F.pandas_udf("array<long>")
+    def out_of_order(column: pd.Series) -> pd.Series:
+        return pd.Series([misplaced(list(x)) for x in column], dtype=object)
+
+    places = F.filter(F.transform("tokens", lambda t: F.element_at("place", t)), lambda x: x.isNotNull())
+    wrong = some.join(first, "host").select("host", F.explode(out_of_order(places)).alias("place")).distinct()
+    wrong = wrong.groupBy("host").agg(F.collect_list("place").alias("wrong"))
+    right = first.join(wrong, "host", "left").withColumn("wrong", F.coalesce("wrong", F.array().cast("array<bigint>")))
+    right = right.select("host", F.map_filter("place", lambda _, x: ~F.array_contains("wrong", x)).alias("place"), "root")
+    right = stage(right.select("host", F.map_keys("place").alias("held"), F.array_intersect("root", F.map_keys("place")).alias("root")), "ordered")
+    # The gap of a token is the number of the root's tokens before it.
+    step = lambda a, t: F.struct((a["gap"] + F.array_contains("root", t).cast("int")).alias("gap"), F.when(F.array_contains("held", t), F.array_append(a["out"], F.struct(t.alias("token"), a["gap"].alias("gap")))).otherwise(a["out"]).alias("out"))
+    start = F.struct(F.lit(0).alias("gap"), F.array().cast("array<struct<token:bigint,gap:int>>").alias("out"))
+    gaps = some.join(right, "host").select("host", F.explode(F.aggregate("tokens", start, step)["out"]).alias("g")).select("host", "g.*")
+    nested = gaps.groupBy("host", "token").agg(F.min("gap").alias("low"), F.max("gap").alias("high")).filter("low = high")
+    return nested.groupBy("host").agg(F.collect_list("token").alias("template"))
+
+
+def extract(pages: DataFrame, share: float = 0.5) -> DataFrame:
     """(page_id, url, text), a row for each row of ``pages``."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
 
-    @F.pandas_udf("array<struct<text:string,inside:boolean,noisy:boolean>>")
+    @F.pandas_udf("array<struct<token:long,text:string,inside:boolean,noisy:boolean>>")
     def cut(column: pd.Series) -> pd.Series:
-        return pd.Series([[{"text": t, "inside": i, "noisy": n} for t, i, n in blocks(p)] for p in column], dtype=object)
-
-    parts = stage(rows.select("page_id", "url", "host", F.xxhash64("page_id", "url").alias("page"), cut("html").alias("blocks")), "blocks")
-    token = F.transform(F.array_distinct(F.transform("blocks", lambda b: F.xxhash64(b["text"], b["inside"]))), lambda h: h)
-    seen = parts.select("host", "page", F.explode(token).alias("token"))
-    vectors = seen.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page")).alias("vector"), F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    sizes = parts.groupBy("host").agg(F.count("*").alias("pages"))
-    found = vectors.join(sizes, "host").filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_set("token").alias("template"))
-    template = stage(found, "template")  # of known size, so that a small one is broadcast and the blocks stay in place
-    both = parts.join(template, "host", "left")
-    own = F.filter("blocks", lambda b: ~b["noisy"] & ~F.coalesce(F.array_contains("template", F.xxhash64(b["text"], b["inside"])) & ~b["inside"], F.lit(False)))
-    inside = F.filter(own, lambda b: b["inside"])
-    chosen = F.when(F.size(inside) > 0, inside).otherwise(own)
+        return pd.Series([[{"token": k, "text": t, "inside": i, "noisy": n} for k, t, i, n in blocks(p)] for p in column], dtype=object)
+
+    found = rows.select("page_id", "url", "host", cut("html").alias("found"))
+    texts, tokens = F.filter("found", lambda b: b["text"].isNotNull()), F.transform("found", lambda b: b["token"])
+    parts = stage(found.select("page_id", "url", "host", F.xxhash64(tokens).alias("page"), tokens.alias("tokens"), texts.alias("blocks")), "blocks")
+    known = stage(template(parts.select("host", "page", "tokens"), share), "template")  # of known size, so that a small one is broadcast and the blocks stay in place
+    both = parts.join(known, "host", "left")
+    clean = F.filter("blocks", lambda b: ~b["noisy"])
+    article = F.filter(clean, lambda b: b["inside"])
+    every = F.when(F.size(article) > 0, article).otherwise(clean)
+    own = F.filter(every, lambda b: ~F.coalesce(F.array_contains("template", b["token"]), F.lit(False)))
+    chosen = F.when((F.size(own) > 0) | (F.size(article) == 0), own).otherwise(every)
     return both.select("page_id", "url", F.array_join(F.transform(chosen, lambda b: b["text"]), " ").alias("text"))

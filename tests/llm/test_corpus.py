@@ -189,6 +189,22 @@ def test_article(spark):
     assert {r.page_id: r.text for r in article.extract(frame).collect()} == {1: "Head One & two. Three four", 2: "", 3: ""}
 
 
+def test_article_template_by_classes(spark):
+    """Few pages, a line that repeats within the article, a line that stands at changing places, copies, a host with one page."""
+    own = ["alpha one", "beta two", "gamma three", "delta four"]
+    page = lambda i: f"<body><div>Shop bar</div><article><p>Share this story</p><h1>{own[i]}</h1>{'<p>Wandering</p>' * (i % 2)}<h2>sub {own[i]}</h2>{'<p>Wandering</p>' * (i % 2 == 0)}</article><div>Imprint</div></body>"
+    rows = [(i, f"https://a.example/{i}", page(i)) for i in range(4)] + [(4, "https://b.example/", page(0)), (5, "https://b.example/copy", page(0))]
+    rows += [(6 + i, f"https://c.example/{i}", f"<body><div>Shop bar</div><div>{own[i]}</div><p>Imprint</p></body>") for i in range(3)]
+    got = {r.page_id: r.text for r in article.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(4):
+        both = [own[i], "sub " + own[i]]
+        both.insert(1 if i % 2 else 2, "Wandering")
+        assert got[i] == " ".join(both)
+    assert got[4] == got[5] == "Share this story alpha one sub alpha one Wandering"
+    assert [got[6 + i] for i in range(3)] == own[:3]
+    assert article.misplaced([5, 1, 2, 3, article._RANKS + 1]) == [5]
+
+
 def test_language(spark):
     draw = random.Random(2)
     sounds = {"aa": ["ka", "to", "mi"], "bb": ["schu", "ber", "ung"]}
