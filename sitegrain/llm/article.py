@@ -4,7 +4,8 @@ Tokens are block tags with their class, id and role, and whole text blocks, each
 Over the distinct pages of a host, tokens with the same occurrence vector (a hash of the pages that hold them) form a class. A class that
 ``share`` of the pages hold is kept with those of its tokens that stand in the same order on all its pages and nest into the same gap between
 the tokens that all pages hold; these are the template. Its text blocks are no page's own, within article and main too. What is
-left are the slots; those inside menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments are dropped. Copies of a page
+left are the slots; those inside menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments are dropped, told by their tag or by
+a whole word of class, id or role. Copies of a page
 count once, and a host with one distinct page has no template. A page with no text of its own in its article keeps the article.
 Null or empty html: empty text.
 """
@@ -27,24 +28,59 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|noscript|textarea
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIP = frozenset("nav header footer aside form head dialog menu button figure".split()) - {"figure"}
-_NOISE = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget|related|recommend(?:ed|ations)?|promo|advert|adverts|advertisement|ads?|sponsor(?:ed)?|banner|cookies?|consent|notice|notices|popup|modal|overlay|alert|newsletter|subscribe|signup|login|share|sharing|social|comments?|respond|replies|disqus|form|search|pagination|pager|toolbar|skip)(?:$|[\s_-])", re.I)
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NOISE = re.compile(r"nav|navbar|navigation|menu|menus|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget|related|recommend(?:ed|ations)?|promo|advert|adverts|advertisement|ads?|sponsor(?:ed)?|banner|cookies?|consent|notice|notices|popup|modal|overlay|alert|newsletter|subscribe|signup|login|share|sharing|social|comments?|respond|replies|disqus|form|search|pagination|pager|toolbar|skip", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _SPACE = re.compile(r"\s+")
 
 
+class _Element:
+    """An open tag. ``bad``: noise by its tag or hidden. ``named``: noise by class, id or role. ``holds``: an article or main stands in it."""
+
+    __slots__ = ("tag", "parent", "path", "bad", "named", "holds", "inside", "noisy")
+
+    def __init__(self, tag: str, parent: "_Element | None", bad: bool, named: bool) -> None:
+        self.tag, self.parent, self.bad, self.named, self.holds = tag, parent, bad, named, False
+        self.path = f"{parent.path if parent else ''}/{tag}"
+
+    def judge(self, cleared: bool) -> bool:
+        """Set ``inside`` and ``noisy`` from the parent's; whether this is an article or main that counts."""
+        inside, noisy = (self.parent.inside, self.parent.noisy) if self.parent else (False, False)
+        spared = self.tag == "header" and inside or cleared and self.holds and (self.tag == "form" or not self.bad)
+        main = self.tag in ("article", "main") and not noisy and not self.bad
+        self.inside, self.noisy = inside or main, noisy or (self.bad or self.named) and not spared
+        return main
+
+
+def _noise(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """Class, id and role; whether the element is noise by its tag or hidden; whether a whole word of those makes it noise."""
+    got: dict[str, str] = {}
+    for x in _ATTR.finditer(attributes):
+        got.setdefault(x[1].lower(), x[2] or x[3] or x[4] or "")
+    words = " ".join(got[k] for k in ("class", "id", "role") if k in got)
+    if tag in ("html", "body"):
+        return words, False, False
+    hidden = "hidden" in got or got.get("aria-hidden", "").strip().lower() == "true" or bool(_UNSHOWN.search(got.get("style", "")))
+    return words, tag in _SKIP or hidden, tag not in ("article", "main") and any(map(_NOISE.fullmatch, words.split()))
+
+
 def blocks(page: str | None) -> list[tuple[int, str | None, bool, bool]]:
-    """Tokens in page order: hash, text (none for a tag), whether it stands in an article or main element, whether it stands in a part that is no main text."""
-    out: list[tuple[int, str | None, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, str]] = []
+    """Tokens in page order: hash, text (none for a tag), whether it stands in an article or main element, whether it stands in a part that is no main text.
+
+    A name makes an ancestor of an article or main noise only if the page has another one outside such parts, as comments may be articles.
+    """
+    out: list[tuple[int, str | None, _Element | None]] = []
+    every: list[_Element] = []
+    stack: list[_Element] = []
     text: list[str] = []
     met: Counter[str] = Counter()
 
     def add(value: str, got: str | None) -> None:
-        _, inside, bad, path = stack[-1] if stack else ("", False, False, "")
-        key = f"{path}\0{value}"
+        at = stack[-1] if stack else None
+        key = f"{at.path if at else ''}\0{value}"
         met[key] += 1
         digest = blake2b(f"{key}\0{met[key]}".encode("utf-8", "surrogatepass"), digest_size=8).digest()
-        out.append((int.from_bytes(digest, "little", signed=True), got, inside, bad))
+        out.append((int.from_bytes(digest, "little", signed=True), got, at))
 
     def flush() -> None:
         got = _SPACE.sub(" ", html.unescape("".join(text))).strip()
@@ -61,30 +97,36 @@ def blocks(page: str | None) -> list[tuple[int, str | None, bool, bool]]:
             if m[1] and m[1].lower() == "title":
                 flush()
             continue
-        noisy, named = False, ""
+        words, bad, named = "", False, False
         if not m[2]:
-            named = " ".join(x[1] or x[2] or x[3] for x in _ATTR.findall(m[4]))
-            noisy = tag in _SKIP or bool(named and _NOISE.search(named)) or bool(re.search(r"\bhidden\b", _ATTR.sub("", m[4])))
-        if tag in _INLINE and not noisy and (not m[2] or not any(s[0] == tag for s in stack[-3:])):
+            words, bad, named = _noise(tag, m[4])
+        if tag in _INLINE and not bad and not named and (not m[2] or not any(s.tag == tag for s in stack[-3:])):
             continue
         flush()
         if m[2]:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
+                if stack[i].tag == tag:
                     del stack[i:]
                     break
-                if stack[i][0] in ("article", "main", "body", "nav", "footer", "aside") and tag in ("p", "li", "b", "i", "span", "a"):
+                if stack[i].tag in ("article", "main", "body", "nav", "footer", "aside") and tag in ("p", "li", "b", "i", "span", "a"):
                     break
         elif tag not in _VOID:
-            if tag == "p" and stack and stack[-1][0] == "p":
+            if tag == "p" and stack and stack[-1].tag == "p":
                 stack.pop()
-            _, inside, bad, path = stack[-1] if stack else ("", False, False, "")
-            header = tag == "header" and inside
-            stack.append((tag, inside or (tag in ("article", "main") and not bad), bad or (noisy and not header), f"{path}/{tag}"))
-            add(f"<{named}>", None)
+            if tag in ("article", "main"):
+                for s in reversed(stack):
+                    if s.holds:
+                        break
+                    s.holds = True
+            stack.append(_Element(tag, stack[-1] if stack else None, bad, named))
+            every.append(stack[-1])
+            add(f"<{words}>", None)
     text.append((page or "")[at:])
     flush()
-    return out
+    if not any([x.judge(False) for x in every]):
+        for x in every:
+            x.judge(True)
+    return [(k, t, x.inside, x.noisy) if x else (k, t, False, False) for k, t, x in out]
 
 
 _RANKS = 1 << 20

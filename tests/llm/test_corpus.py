@@ -189,6 +189,16 @@ def test_article(spark):
     assert {r.page_id: r.text for r in article.extract(frame).collect()} == {1: "Head One & two. Three four", 2: "", 3: ""}
 
 
+def test_article_survives_names(spark):
+    text = "<article><p>Body text</p></article>"
+    wraps = ['<body class="home has-sidebar no-comments">{}</body>', '<html class="share"><body id="search">{}</body></html>', '<body><form id="form"><div class="sidebar">{}</div></form></body>', '<body><div style="overflow:hidden" aria-hidden="false" data-hidden="x" title="hidden">{}</div></body>', '<body><div class="side-by-side alert_none"><main class="search">{}</main></div></body>']
+    drops = ['<div class="ad">no</div>', "<div hidden>no</div>", '<p style="color:red; display: none">no</p>', '<p aria-hidden="true">no</p>', '<section id="comments"><article class="c">no</article></section>', "<footer>no</footer>", "<span hidden>no</span>"]
+    rows = [(i, f"https://x{i}.example/", w.format(text)) for i, w in enumerate(wraps)]
+    rows += [(10 + i, f"https://y{i}.example/", f"<body><article><p>Body text</p>{d}</article></body>") for i, d in enumerate(drops)]
+    got = article.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {r[0]: "Body text" for r in rows}
+
+
 def test_article_template_by_classes(spark):
     """Few pages, a line that repeats within the article, a line that stands at changing places, copies, a host with one page."""
     own = ["alpha one", "beta two", "gamma three", "delta four"]
