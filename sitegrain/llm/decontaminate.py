@@ -1,9 +1,11 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions only.
 
 Texts become runs of letters and digits in lower case. A seed reads a span of words through fixed masks, which
-ignore some positions; equal seeds of a document and an item put them on a diagonal, and the words of the whole overlap on
-that diagonal are then compared. An overlap with ``least_words`` words or more, or the whole of a shorter item, of which
-``percent`` agree is a leak. Null or empty texts, and items with fewer words than a mask spans, match nothing.
+ignore some positions; equal seeds of a document and an item put them on a diagonal. Around that diagonal, runs of item words are
+compared with the document: a run may leave it by up to ``BAND`` words to either side, and each word put in or left out counts as one that
+differs. A run over ``least_words`` words or more of the item and of the document, or over the whole of a shorter item, of which ``percent`` agree is a leak.
+At 80 % of 13 words and more, changed words leave a seed in every placement; of shorter items too, down to one word.
+Null or empty texts match nothing.
 """
 
 from __future__ import annotations
@@ -11,37 +13,102 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN = 9
-MASKS = ((0, 1, 3, 4, 7, 8), (0, 2, 3, 5, 6, 8))
+#: Four equal words in a row are in every such run, but for three in a row between single changed words: these hit the second.
+MASKS = ((0, 1, 2, 3), (0, 1, 3, 4))
+#: For items of so many words. One of five words may differ, none of fewer.
+SHORT = {1: ((0,),), 2: ((0, 1),), 3: ((0, 1, 2),), 5: ((0, 2, 3, 4), (0, 1, 2, 4))}
+BAND = 2
+OUT = -1_000_000
 
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _seeds(words: Column) -> Column:
+def _seeds(words: Column, masks: list[tuple[int, ...]]) -> Column:
     """Array of (seed, pos) of every mask at every position."""
-    last = F.size(words) - SPAN
-    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
-    def of(no: int, mask: tuple[int, ...]):
-        return lambda i: F.struct(F.xxhash64(F.lit(no), *[F.get(words, i + F.lit(p)) for p in mask]).alias("seed"), i.alias("pos"))
+    def of(mask: tuple[int, ...]) -> Column:
+        last = F.size(words) - 1 - mask[-1]
+        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(F.xxhash64(F.lit(str(mask)), *[F.get(words, i + F.lit(p)) for p in mask]).alias("seed"), i.alias("pos")))
 
-    return F.flatten(F.array(*[F.transform(places, of(no, mask)) for no, mask in enumerate(MASKS)]))
+    return F.flatten(F.array(*[of(mask) for mask in masks]))
+
+
+def _may_leak(words: Column, item: Column, shift: Column, percent: int, least: Column) -> Column:
+    """Whether a run has enough words that the document holds within the band; each leak does."""
+
+    def near(w: Column, q: Column) -> Column:
+        begin = F.greatest(q + shift - BAND, F.lit(0))
+        return F.array_contains(F.slice(words, begin + 1, F.greatest(q + shift + BAND + 1 - begin, F.lit(0))), w)
+
+    worth = F.transform(item, lambda w, q: F.when(near(w, q), 100 - percent).otherwise(-percent))
+    sums = F.aggregate(worth, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+    return F.exists(F.sequence(least, F.size(item)), lambda j: F.get(sums, j) >= F.array_min(F.slice(sums, 1, j - least + 1)))
+
+
+def _same(words: Column, item: Column, shift: Column) -> Column:
+    """For each item word, whether it equals the document's on each diagonal of the band; null outside the document."""
+    at = lambda w, q, d: F.when(q + shift + d >= 0, F.get(words, q + shift + d) == w)
+    return F.transform(item, lambda w, q: F.array(*[at(w, q, d) for d in range(-BAND, BAND + 1)]))
+
+
+def _best(rows: Column, shift: Column, percent: int, least: Column, least_words: int) -> Column:
+    """The run with the most equal words, of these the shortest, as (equal, -words, -doc_start), or null.
+
+    From each first word on, the best score of each diagonal of the band is carried along the item; a score is 100 - ``percent`` for an equal
+    word and -``percent`` for another, so that a run is a leak if its score is not negative. Its first and last words are compared ones.
+    """
+    width = 2 * BAND + 1
+    cell = "struct<score:int,equal:int,start:int>"
+
+    def plus(c: Column, score, equal) -> Column:
+        return F.struct((c["score"] + score).cast("int").alias("score"), (c["equal"] + equal).cast("int").alias("equal"), c["start"].alias("start"))
+
+    def compared(state: Column, same: Column) -> Column:
+        worth = lambda x: F.when(x.isNull(), OUT).when(x, 100 - percent).otherwise(-percent)
+        return F.transform(state, lambda c, k: plus(c, worth(F.get(same, k)), F.coalesce(F.get(same, k), F.lit(False)).cast("int")))
+
+    def left_out(new: Column, state: Column, n: Column) -> Column:
+        """An item word that the document lacks, but for a run's first."""
+        return F.transform(new, lambda c, k: F.when((n > 0) & (k < width - 1), F.greatest(c, plus(F.get(state, k + 1), -percent, 0))).otherwise(c))
+
+    def put_in(state: Column) -> Column:
+        """Words of the document that the item lacks."""
+        back = lambda c, k, by: F.when(k >= by, plus(F.get(state, k - by), -percent * by, 0)).otherwise(c)
+        return F.transform(state, lambda c, k: F.greatest(c, *[back(c, k, by) for by in range(1, width)]))
+
+    def run(i: Column) -> Column:
+        first = F.transform(F.sequence(F.lit(-BAND), F.lit(BAND)), lambda d: F.struct(F.lit(0).alias("score"), F.lit(0).alias("equal"), (i + shift + d).alias("start")))
+        start = F.struct(first.cast(f"array<{cell}>").alias("state"), F.lit(0).alias("n"), F.lit(None).cast("struct<equal:int,less:int,from:int>").alias("best"))
+
+        def along(a: Column, same: Column) -> Column:
+            ended = lambda c: F.struct(c["equal"].alias("equal"), (-c["equal"] - (c["equal"] * (100 - percent) - c["score"]) / percent).cast("int").alias("less"), (-F.greatest(c["start"], F.lit(0))).cast("int").alias("from"))
+            good = lambda cells: F.array_max(F.transform(F.filter(cells, lambda c, k: (c["score"] >= 0) & (a["n"] + 1 >= least) & ((F.size(rows) < least_words) | (i + shift + a["n"] + 1 + k - BAND - c["start"] >= least))), ended))
+            then = lambda cells: F.struct(put_in(left_out(cells, a["state"], a["n"])).alias("state"), (a["n"] + 1).alias("n"), F.array_max(F.array(a["best"], good(cells))).alias("best"))
+            return F.get(F.transform(F.array(compared(a["state"], same)), then), F.lit(0))
+
+        return F.aggregate(F.slice(rows, i + 1, F.size(rows)), start, along, lambda a: a["best"])
+
+    return F.array_max(F.transform(F.sequence(F.lit(0), F.size(rows) - least), run))
 
 
 def leaks(docs: DataFrame, items: DataFrame, percent: int = 80, least_words: int = 13) -> DataFrame:
     """(doc_id, item_id, doc_start, n_words, n_equal): the best overlap of each document and item that leaks."""
-    bench = items.select("item_id", tokens(F.col("text")).alias("item")).filter("item_id is not null")
+    bench = items.select("item_id", tokens(F.col("text")).alias("item")).filter("item_id is not null and size(item) > 0")
     doc = docs.select(F.col("doc_id"), tokens(F.col("text")).alias("words")).filter("doc_id is not null")
-    keys = bench.select("item_id", F.explode(_seeds(F.col("item"))).alias("s")).select("item_id", "s.seed", F.col("s.pos").alias("q"))
-    found = doc.select("doc_id", F.explode(_seeds(F.col("words"))).alias("s")).select("doc_id", "s.seed", F.col("s.pos").alias("p"))
+    short = [r.n for r in bench.select(F.size("item").alias("n")).filter(F.col("n").isin(*SHORT)).distinct().collect()]
+    masks = [*MASKS, *(m for n in sorted(short) for m in SHORT[n])]
+    # The masks of short items are theirs alone.
+    of = F.flatten(F.array(_seeds(F.col("item"), list(MASKS)), *[F.when(F.size("item") == n, _seeds(F.col("item"), list(SHORT[n]))).otherwise(F.array().cast("array<struct<seed:bigint,pos:int>>")) for n in sorted(short)]))
+    keys = bench.select("item_id", F.explode(of).alias("s")).select("item_id", "s.seed", F.col("s.pos").alias("q"))
+    found = doc.select("doc_id", F.explode(_seeds(F.col("words"), masks)).alias("s")).select("doc_id", "s.seed", F.col("s.pos").alias("p"))
     hits = found.join(keys, "seed").select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift")).distinct()
     both = hits.join(bench, "item_id").join(doc, "doc_id")
-    begin, end = F.greatest(F.col("shift"), F.lit(0)), F.least(F.col("shift") + F.size("item"), F.size("words"))
-    n = end - begin
-    same = F.zip_with(F.slice("words", begin + 1, n), F.slice("item", begin - F.col("shift") + 1, n), lambda x, y: F.when(x == y, 1).otherwise(0))
-    seen = both.select("doc_id", "item_id", begin.cast("long").alias("doc_start"), n.cast("long").alias("n_words"), F.size("item").alias("_all"), F.aggregate(same, F.lit(0), lambda a, x: a + x).cast("long").alias("n_equal"))
-    kept = seen.filter((F.col("n_equal") * 100 >= F.col("n_words") * percent) & (F.col("n_words") >= F.least(F.lit(least_words), F.col("_all"))))
-    best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", -F.col("doc_start"), "n_words")).alias("b"))
-    return best.select("doc_id", "item_id", (-F.col("b.col2")).alias("doc_start"), "b.n_words", "b.n_equal")
+    least = F.least(F.lit(least_words), F.size("item"))
+    args = F.col("words"), F.col("item"), F.col("shift")
+    near = both.filter(_may_leak(*args, percent, least)).select("doc_id", "item_id", "shift", least.alias("least"), _same(*args).alias("same"))
+    best = near.select("doc_id", "item_id", _best(F.col("same"), F.col("shift"), percent, F.col("least"), least_words).alias("best"))
+    kept = best.filter("best is not null").groupBy("doc_id", "item_id").agg(F.max("best").alias("b"))
+    return kept.select("doc_id", "item_id", (-F.col("b.from")).cast("long").alias("doc_start"), (-F.col("b.less")).cast("long").alias("n_words"), F.col("b.equal").cast("long").alias("n_equal"))

@@ -135,6 +135,27 @@ def test_decontamination(spark):
     assert sorted((r.doc_id, r.item_id, r.n_equal) for r in decontaminate.leaks(frame, items).collect()) == [(0, 7, n), (1, 7, n - 1)]
 
 
+def test_decontamination_of_parts(spark):
+    item = [f"w{i}" for i in range(40)]
+    change = lambda w, *at: [f"x{i}" if i in at else x for i, x in enumerate(w)]
+    three = [f"t{i}" for i in range(15)]
+    cases = {
+        0: ["a", "b", *item[10:30], "c"],  # an excerpt
+        1: [*item[20:27], "new", *item[27:33]],  # a word put in
+        2: [*item[3:9], *item[10:17]],  # a word left out
+        3: change(three, 3, 7, 11),  # never four in a row
+        4: change(item, 4, 5)[:13],  # adjacent
+        5: item[:12],  # too short
+        6: change(item[:15], 2, 5, 8, 11),  # 73 %
+        7: ["so", "tiny", "one", "item"],
+        8: ["five", "other", "of", "a", "kind"],
+        9: change(item[:13], 4, 9),
+    }
+    items = [(1, " ".join(item)), (2, " ".join(three)), (3, "tiny one"), (4, "five words of a kind")]
+    got = decontaminate.leaks(spark.createDataFrame([(k, " ".join(w)) for k, w in cases.items()], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id, r.doc_start, r.n_words, r.n_equal) for r in got.collect()) == [(0, 1, 2, 20, 20), (1, 1, 0, 14, 13), (2, 1, 0, 14, 13), (3, 2, 0, 15, 12), (4, 1, 0, 13, 11), (7, 3, 1, 2, 2), (8, 4, 0, 5, 4), (9, 1, 0, 13, 11)]
+
+
 def test_pieces_equal_the_library_and_round_trip(spark):
     import sentencepiece
 
