@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import string
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-from sitegrain.llm import article, chat, decontaminate, language, minhash, pieces, private, shards, substrings, topk
+from sitegrain.llm import article, chat, decontaminate, language, merkle, minhash, oracles, pieces, private, shards, substrings, topk
 
 
 def _table(spark, sf_dir, name):
@@ -75,13 +76,23 @@ def op10_language(spark, sf_dir):
     return language.identify(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_merkle(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
+    lowered = merkle.document_leaf(F.translate("text", string.ascii_uppercase, string.ascii_lowercase))
+    leaves = docs.select("doc_id", "source", merkle.document_leaf().alias("leaf"), F.when(tampered, lowered).alias("changed"))
+    found = merkle.manifest(leaves).withColumn("folded_root", merkle.fold(F.coalesce("changed", "leaf"), F.col("proof")))
+    proof = _sha(merkle.siblings(F.col("proof"))).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sentencepiece, op3_pii, op4_decontaminate, op5_shards, op6_topk, op7_chat, op8_minhash, op9_article, op10_language, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sentencepiece, op3_pii, op4_decontaminate, op5_shards, op6_topk, op7_chat, op8_minhash, op9_article, op10_language, op11_merkle, pipeline)}
 
 SQL = {
     "op6_topk": """with v as (select vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
@@ -90,4 +101,5 @@ SQL = {
             from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
       r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
       select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20""",
+    "op11_merkle": oracles.merkle(),
 }
