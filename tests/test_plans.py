@@ -29,7 +29,7 @@ def no_broadcast(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.library_queries()))
 def test_no_pair_joins_and_no_windows(spark, name):
     plan = plan_of(entry.queries()[name](spark, SF_DIR))
     for costly in ("CartesianProduct", "BroadcastNestedLoopJoin", "Window", "SinglePartition"):
