@@ -8,7 +8,7 @@ import string
 import pandas as pd
 from pyspark.sql import functions as F
 
-from sitegrain.llm import article, chat, decontaminate, language, merkle, minhash, oracles, pieces, private, shards, substrings, topk
+from sitegrain.llm import article, chat, decontaminate, language, merkle, minhash, oracles, pieces, private, shards, substrings, topk, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -86,13 +86,17 @@ def op11_merkle(spark, sf_dir):
     return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_toxicity(spark, sf_dir):
+    return toxicity.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sentencepiece, op3_pii, op4_decontaminate, op5_shards, op6_topk, op7_chat, op8_minhash, op9_article, op10_language, op11_merkle, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sentencepiece, op3_pii, op4_decontaminate, op5_shards, op6_topk, op7_chat, op8_minhash, op9_article, op10_language, op11_merkle, op12_toxicity, pipeline)}
 
 SQL = {
     "op6_topk": """with v as (select vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
