@@ -63,3 +63,34 @@ def merkle() -> str:
         from d join t on t.of = d.key join {roots} z on z.key = t.key {joined}),
     {', '.join(folds)}
     select doc_id, leaf, subroot, root, proof_sha256, h as folded_root, h = root as verified from f{len(joins) - 1}_"""
+
+
+def collocations(least: int = 100, top: int = 2000) -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    grams = " union all ".join(
+        f"select lang, array_to_string(w[i:i + {k - 1}], ' ') as phrase, {k} as size from pieces, unnest(range(1, len(w) - {k - 2})) as t(i)"
+        for k in range(1, 6)
+    )
+    cuts = " union all ".join(
+        f"""select lang, phrase, {k} as k, size, f as a, array_to_string(w[:{k}], ' ') as lp, array_to_string(w[{k + 1}:], ' ') as rp
+            from candidates where size > {k}"""
+        for k in range(1, 5)
+    )
+    return f"""with pieces as materialized (
+        select lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') as w from (
+            select coalesce(lang, 'und') as lang, unnest(string_split_regex({lower}, '[.,;:!?\\n-\\r]')) as piece from documents)),
+    totals as (select lang, sum(len(w)) as n from pieces group by lang),
+    counts as materialized (select lang, phrase, size, count(*) as f from ({grams}) group by all having count(*) >= {least}),
+    candidates as materialized (select *, string_split(phrase, ' ') as w from counts where size > 1),
+    cuts as ({cuts}),
+    scored as (select c.lang, c.phrase, c.k, c.a, l.f as l, r.f as r, t.n,
+            (1000::hugeint * c.a * t.n) // (l.f::hugeint * r.f) as score
+        from cuts c join counts l on l.lang = c.lang and l.phrase = c.lp join counts r on r.lang = c.lang and r.phrase = c.rp
+        join totals t on t.lang = c.lang),
+    least_cut as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+    covered as (select distinct lang, part as phrase, f from (
+        select lang, f, unnest(flatten([[array_to_string(w[i:j], ' ') for j in range(i + 1, len(w) + 1) if j - i + 1 < len(w)] for i in range(1, len(w))])) as part
+        from candidates)),
+    kept as (select s.* from least_cut s anti join covered v on v.lang = s.lang and v.phrase = s.phrase and 100 * v.f >= 100 * s.a),
+    ranked as (select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank, phrase, a, l, r, n, score from kept)
+    select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from ranked where rank <= {top}"""

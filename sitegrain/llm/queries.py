@@ -8,7 +8,7 @@ import string
 import pandas as pd
 from pyspark.sql import functions as F
 
-from sitegrain.llm import article, chat, decontaminate, language, merkle, minhash, oracles, pieces, private, shards, substrings, topk, toxicity
+from sitegrain.llm import article, chat, collocations, decontaminate, language, merkle, minhash, oracles, pieces, private, shards, substrings, topk, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -90,13 +90,17 @@ def op12_toxicity(spark, sf_dir):
     return toxicity.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sentencepiece, op3_pii, op4_decontaminate, op5_shards, op6_topk, op7_chat, op8_minhash, op9_article, op10_language, op11_merkle, op12_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sentencepiece, op3_pii, op4_decontaminate, op5_shards, op6_topk, op7_chat, op8_minhash, op9_article, op10_language, op11_merkle, op12_toxicity, op13_collocations, pipeline)}
 
 SQL = {
     "op6_topk": """with v as (select vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
@@ -106,4 +110,5 @@ SQL = {
       r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
       select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20""",
     "op11_merkle": oracles.merkle(),
+    "op13_collocations": oracles.collocations(),
 }
