@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegrain.operators import crawl, extract, links, merge
+from sitegrain.operators import crawl, extract, links, merge, stored
 from sitegrain.plans import jobs
-from sitegrain.schemas import EXTRACTED_JOBS, RAW_PAGES
+from sitegrain.schemas import EXTRACTED_JOBS, JOB_LISTINGS, RAW_PAGES
 from sitegrain.session import configure, empty_table, stage, staging_root
 from sitegrain.sources import tables
+from sitegrain.sources.buckets import BucketTable
 from sitegrain.sources.snapshots import SnapshotTable
 from sitegrain.streaming.parse_stream import parse_stream
 
@@ -154,12 +155,12 @@ def scan_since(spark, sf_dir):
     "where p_brand = 'Brand#13'",
 )
 def lookup_extracted(spark, sf_dir):
-    stored = table(spark, sf_dir, "part").select(
+    parts = table(spark, sf_dir, "part").select(
         F.col("p_name").alias("title"),
         F.col("p_brand").alias("company"),
         F.concat(F.lit("https://example.com/part/"), "p_partkey").alias("link"),
     )
-    return tables.lookup_extracted(stored, "company", "Brand#13")
+    return tables.lookup_extracted(parts, "company", "Brand#13")
 
 
 @query(
@@ -584,6 +585,16 @@ def part_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def supplier_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blank = [F.lit("").alias(name) for name in ("company", "location", "salary", "description")]
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("title"),
+        *blank,
+        F.concat(F.lit("https://example.com/supplier/"), "s_suppkey").alias("link"),
+        F.lit(None).cast("array<string>").alias("skills"),
+    )
+
+
 @query(
     "k2_append_extracted",
     f"""select p_name as title, p_brand as company, p_type as location, cast(p_size as varchar) as salary,
@@ -593,17 +604,10 @@ def part_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from supplier""",
 )
 def append_extracted(spark, sf_dir):
-    blank = [F.lit("").alias(name) for name in ("company", "location", "salary", "description")]
-    suppliers = table(spark, sf_dir, "supplier").select(
-        F.col("s_name").alias("title"),
-        *blank,
-        F.concat(F.lit("https://example.com/supplier/"), "s_suppkey").alias("link"),
-        F.lit(None).cast("array<string>").alias("skills"),
-    )
     nothing = empty_table(spark, EXTRACTED_JOBS)
-    stored = merge.append_extracted(nothing, suppliers, zoned(EARLIER))
-    added = merge.append_extracted(stored, part_jobs(spark, sf_dir), zoned(LATER))
-    every = stored.unionByName(added)
+    before = merge.append_extracted(nothing, supplier_jobs(spark, sf_dir), zoned(EARLIER))
+    added = merge.append_extracted(before, part_jobs(spark, sf_dir), zoned(LATER))
+    every = before.unionByName(added)
     return every.withColumns({"created_at": as_text("created_at"), "updated_at": as_text("updated_at")})
 
 
@@ -643,8 +647,8 @@ def upsert_extracted(spark, sf_dir):
     rows = event_jobs(spark, sf_dir)
     old, new = (rows.filter(F.col("fetched_at") < timestamp(HALFWAY)), tables.scan_since(rows, timestamp(HALFWAY)))
     nothing = empty_table(spark, EXTRACTED_JOBS)
-    stored = stage(merge.upsert_extracted(nothing, old, ["event_id"], zoned(EARLIER)), "stored-jobs")
-    merged = merge.upsert_extracted(stored, new, ["event_id"], zoned(LATER))
+    before = stage(merge.upsert_extracted(nothing, old, ["event_id"], zoned(EARLIER)), "stored-jobs")
+    merged = merge.upsert_extracted(before, new, ["event_id"], zoned(LATER))
     return merged.withColumns({"created_at": as_text("created_at"), "updated_at": as_text("updated_at")})
 
 
@@ -669,7 +673,11 @@ def delete_by_urls(spark, sf_dir):
         'a,' || c_mktsegment, null, 'salary out of range' from customer where abs(c_acctbal) >= 9000""",
 )
 def append_job_listings(spark, sf_dir):
-    listings = table(spark, sf_dir, "customer").select(
+    return shown_listings(*merge.append_job_listings(customer_listings(spark, sf_dir), timestamp(LATER)))
+
+
+def customer_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(
         F.col("c_name").alias("title"),
         F.col("c_mktsegment").alias("company"),
         F.lit("customers").alias("source"),
@@ -678,12 +686,80 @@ def append_job_listings(spark, sf_dir):
         F.when(F.abs("c_acctbal") >= 9000, F.lit(1e20)).alias("salary_max"),
         F.array(F.lit("a"), "c_mktsegment").alias("tags"),
     )
-    rows, rejected = merge.append_job_listings(listings, timestamp(LATER))
+
+
+def shown_listings(rows: DataFrame, rejected: DataFrame) -> DataFrame:
     shown = ["title", "company", "remote_flag", "source", "url", F.col("salary_min").cast("double").alias("salary_min")]
     shown += [F.array_join("tags", ",").alias("tags"), as_text("crawl_timestamp"), "reason"]
     return rows.withColumn("reason", F.lit(None).cast("string")).select(*shown).union(rejected.select(*shown))
 
 
+# The same on tables stored in buckets
+
+
+def bucket_table(spark: SparkSession, schema, key: str, lookups: tuple[str, ...] = ()) -> BucketTable:
+    return BucketTable(spark, f"{staging_root(spark)}/buckets-{uuid.uuid4().hex}", schema, key, buckets=16, lookups=lookups)
+
+
+def stored_page_table(spark: SparkSession, sf_dir: str) -> BucketTable:
+    """Pages of the first half, with the time they were fetched at."""
+    pages = bucket_table(spark, RAW_PAGES, "url")
+    pages.commit(stored_pages(spark, sf_dir))
+    return pages
+
+
+@query("k1_upsert_stored_pages", _SQL["k1_upsert_raw_pages"])
+def upsert_stored_pages(spark, sf_dir):
+    pages = stored_page_table(spark, sf_dir)
+    new = tables.scan_since(event_pages(spark, sf_dir), timestamp(HALFWAY))
+    stored.upsert_raw_pages(pages, new, ["event_id"], timestamp(LATER))
+    return pages.read().select("url", "content_type", "raw_content", as_text("fetched_at"))
+
+
+@query("k2_append_stored", _SQL["k2_append_extracted"])
+def append_stored(spark, sf_dir):
+    done = bucket_table(spark, EXTRACTED_JOBS, "link")
+    stored.append_extracted(done, supplier_jobs(spark, sf_dir), zoned(EARLIER))
+    stored.append_extracted(done, part_jobs(spark, sf_dir), zoned(LATER))
+    return done.read().withColumns({"created_at": as_text("created_at"), "updated_at": as_text("updated_at")})
+
+
+@query("k3_upsert_stored", _SQL["k3_upsert_extracted"])
+def upsert_stored(spark, sf_dir):
+    rows = event_jobs(spark, sf_dir)
+    done = bucket_table(spark, EXTRACTED_JOBS, "link")
+    stored.upsert_extracted(done, rows.filter(F.col("fetched_at") < timestamp(HALFWAY)), ["event_id"], zoned(EARLIER))
+    stored.upsert_extracted(done, tables.scan_since(rows, timestamp(HALFWAY)), ["event_id"], zoned(LATER))
+    return done.read().withColumns({"created_at": as_text("created_at"), "updated_at": as_text("updated_at")})
+
+
+@query("k4_delete_stored_urls", _SQL["k4_delete_by_urls"])
+def delete_stored_urls(spark, sf_dir):
+    pages = stored_page_table(spark, sf_dir)
+    new = tables.scan_since(event_pages(spark, sf_dir), timestamp("2024-01-28 00:00:00"))
+    stored.delete_by_urls(pages, new.filter("content_type = 'purchase'").select("url"))
+    return pages.read().select("url", "content_type", "raw_content", as_text("fetched_at"))
+
+
+@query("k5_append_stored_listings", _SQL["k5_append_job_listings"])
+def append_stored_listings(spark, sf_dir):
+    done = bucket_table(spark, JOB_LISTINGS, "url")
+    rejected = stored.append_job_listings(done, customer_listings(spark, sf_dir), timestamp(LATER))
+    return shown_listings(done.read(), rejected)
+
+
+@query(
+    "s3_lookup_stored",
+    "select p_name as title, p_brand as company, 'https://example.com/part/' || p_partkey as link from part "
+    "where p_brand = 'Brand#13'",
+)
+def lookup_stored(spark, sf_dir):
+    done = bucket_table(spark, EXTRACTED_JOBS, "link", ("company", "title", "link"))
+    stored.append_extracted(done, supplier_jobs(spark, sf_dir), zoned(EARLIER))
+    stored.append_extracted(done, part_jobs(spark, sf_dir), zoned(LATER))
+    return done.lookup("company", "Brand#13").select("title", "company", "link")
+
+
 # Jobs
 
 

@@ -1,0 +1,188 @@
+"""Stored tables in buckets: what a write leaves in place, what a read opens, and what counts after a crash."""
+
+from datetime import datetime
+from pathlib import Path
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from sitegrain.operators import merge, stored
+from sitegrain.schemas import EXTRACTED_JOBS, JOB_LISTINGS, RAW_PAGES
+from sitegrain.sources.buckets import BucketTable
+from sitegrain.sources.snapshots import SnapshotTable
+
+
+def now():
+    return F.lit("2024-05-01 00:00:00").cast("timestamp_ntz")
+
+
+def utc():
+    return F.lit("2024-05-01 00:00:00 UTC").cast("timestamp")
+
+
+@pytest.fixture
+def pages(spark, tmp_path):
+    return BucketTable(spark, str(tmp_path / "pages"), RAW_PAGES, "url", buckets=8)
+
+
+@pytest.fixture
+def jobs(spark, tmp_path):
+    return BucketTable(spark, str(tmp_path / "jobs"), EXTRACTED_JOBS, "link", buckets=8, lookups=("company", "title", "link"))
+
+
+def page_rows(spark, *names, content="text", order=1):
+    return spark.createDataFrame([(n, "text/html", content, order) for n in names], "url string, content_type string, raw_content string, o int")
+
+
+def job_rows(spark, *links, company="Acme", description="d"):
+    schema = "title string, company string, location string, salary string, description string, link string, skills array<string>, o int"
+    return spark.createDataFrame([(f"job {n}", company, "x", "1", description, n, ["a"], i) for i, n in enumerate(links)], schema)
+
+
+def files(table, kind="data"):
+    return {str(p.relative_to(table.root)) for p in Path(table.root).glob(f"{kind}/**/*.parquet")}
+
+
+def opened(frame):
+    return {Path(name).name for name in frame.inputFiles()}
+
+
+URLS = [f"https://example.com/{i}" for i in range(60)]
+
+
+def test_a_merge_leaves_files_of_other_buckets_in_place(spark, pages):
+    stored.upsert_raw_pages(pages, page_rows(spark, *URLS), ["o"], now())
+    before, live = files(pages), pages.live()
+    assert len(live) == 8
+    stored.upsert_raw_pages(pages, page_rows(spark, URLS[3], content="new"), ["o"], now())
+    bucket = pages.touched(spark.createDataFrame([(URLS[3],)], "url string"), "url")
+    fresh = files(pages) - before
+    assert before < files(pages) and all(f"version=1/bucket={bucket[0]}/" in name for name in fresh)
+    assert [x for x in pages.live() if x not in live] == [(bucket[0], 1)]
+    got = {r.url: r.raw_content for r in pages.read().collect()}
+    assert len(got) == 60 and got[URLS[3]] == "new" and got[URLS[4]] == "text"
+
+
+def test_a_merge_equals_the_merge_of_the_whole_table(spark, pages):
+    old, new = page_rows(spark, *URLS[:40]), page_rows(spark, *URLS[30:], *URLS[30:35], content="new", order=2)
+    stored.upsert_raw_pages(pages, old, ["o"], now())
+    before = spark.createDataFrame(pages.read().collect(), RAW_PAGES)
+    stored.upsert_raw_pages(pages, new, ["o"], now())
+    assert rows(pages.read()) == rows(merge.upsert_raw_pages(before, new, ["o"], now()))
+    assert rows(pages.keys(), "url") == [(u,) for u in sorted(URLS)]
+
+
+def test_rows_without_url_or_content_come_back(spark, pages):
+    bad = page_rows(spark, "u").withColumn("raw_content", F.lit(None).cast("string"))
+    rejected = stored.upsert_raw_pages(pages, page_rows(spark, "v", None).union(bad), ["o"], now())
+    assert sorted(r.reason for r in rejected.collect()) == ["missing: raw_content", "missing: url"]
+    assert rows(pages.read(), "url") == [("v",)]
+
+
+def test_records_keep_their_first_time(spark, jobs):
+    early = F.lit("2024-01-01 00:00:00 UTC").cast("timestamp")
+    stored.upsert_extracted(jobs, job_rows(spark, "a", "b", None), ["o"], early)
+    stored.upsert_extracted(jobs, job_rows(spark, "b", "c", "c", description="new"), ["o"], utc())
+    got = {r.link: (r.description, r.created_at.month, r.updated_at.month) for r in jobs.read().collect()}
+    assert got == {"a": ("d", 1, 1), "": ("d", 1, 1), "b": ("new", 1, 5), "c": ("new", 5, 5)}
+
+
+def test_a_delete_touches_only_buckets_that_hold_a_listed_key(spark, pages, urls_frame):
+    stored.upsert_raw_pages(pages, page_rows(spark, *URLS), ["o"], now())
+    before = pages.live()
+    stored.delete_by_urls(pages, urls_frame("https://example.com/none", None))
+    assert pages.live() == before and len(pages.versions()) == 1
+    stored.delete_by_urls(pages, urls_frame(URLS[0]))
+    assert len(set(before) - set(pages.live())) == 1
+    assert rows(pages.read(), "url") == [(u,) for u in sorted(URLS[1:])]
+    stored.delete_by_urls(pages, urls_frame(*URLS))
+    assert pages.live() == [] and pages.read().count() == 0 and pages.keys().count() == 0
+
+
+def test_a_page_fetched_again_is_spared(spark, pages):
+    stored.upsert_raw_pages(pages, page_rows(spark, "a", "b"), ["o"], now())
+    used = pages.read().select("url", "fetched_at")
+    listed = spark.createDataFrame([(r.url, r.fetched_at) for r in used.collect()], "url string, fetched_at timestamp_ntz")
+    stored.upsert_raw_pages(pages, page_rows(spark, "b"), ["o"], F.lit(datetime(2024, 6, 1)).cast("timestamp_ntz"))
+    stored.delete_by_urls(pages, listed, ("url", "fetched_at"))
+    assert rows(pages.read(), "url") == [("b",)]
+
+
+def test_an_append_adds_files_and_reads_keys_alone(spark, jobs, monkeypatch):
+    stored.append_extracted(jobs, job_rows(spark, *URLS), utc())
+    before, seen = files(jobs), []
+    whole = BucketTable.read
+    monkeypatch.setattr(BucketTable, "read", lambda *a: seen.append(a) or whole(*a))
+    stored.append_extracted(jobs, job_rows(spark, "https://example.com/new"), utc())
+    assert not seen and before < files(jobs)
+    keys = jobs.keys()
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<link:string>" in plan and all("/keys/" in name for name in keys.inputFiles())
+    assert jobs.read().count() == 61
+
+
+@pytest.mark.parametrize("links", [(URLS[5],), ("n", "n"), (None, "")])
+def test_a_repeated_link_still_raises_and_leaves_the_table_as_it_is(spark, jobs, links):
+    stored.append_extracted(jobs, job_rows(spark, *URLS), utc())
+    with pytest.raises(merge.DuplicateLinkError):
+        stored.append_extracted(jobs, job_rows(spark, *links), utc())
+    assert len(jobs.versions()) == 1 and jobs.read().count() == 60
+
+
+def test_listings_are_added_whatever_is_stored(spark, tmp_path):
+    table = BucketTable(spark, str(tmp_path / "listings"), JOB_LISTINGS, "url", buckets=4)
+    listing = spark.createDataFrame([("t", "s", "u", 1.5), ("t", "s", "u", 1e30), (None, "s", "v", 1.0)], "title string, source string, url string, salary_min double")
+    for _ in range(2):
+        rejected = stored.append_job_listings(table, listing, now())
+        assert sorted(r.reason for r in rejected.collect()) == ["missing: title", "salary out of range"]
+    assert rows(table.read(), "title", "url", "remote_flag") == [("t", "u", False)] * 2
+
+
+def test_a_lookup_opens_only_files_that_hold_the_value(spark, jobs):
+    stored.upsert_extracted(jobs, job_rows(spark, *URLS), ["o"], utc())
+    stored.upsert_extracted(jobs, job_rows(spark, URLS[7], "other", company="Rare"), ["o"], utc())
+    for column, value in (("company", "Rare"), ("company", "Acme"), ("title", f"job {URLS[9]}"), ("link", URLS[9]), ("link", "none"), ("company", "")):
+        got, want = jobs.lookup(column, value), jobs.read().filter(F.col(column) == value)
+        assert rows(got) == rows(want)
+        # Which files hold the value, by reading all of them.
+        holding = {r[0] for r in want.select(F.col("_metadata.file_name")).distinct().collect()} if want.count() else set()
+        assert opened(got) == holding
+    assert len(opened(jobs.lookup("company", "Rare"))) < len(opened(jobs.read()))
+    with pytest.raises(ValueError):
+        jobs.lookup("salary", "1")
+
+
+def test_an_uncommitted_write_is_not_read_and_a_tag_counts_once(spark, jobs, monkeypatch):
+    stored.upsert_extracted(jobs, job_rows(spark, "a"), ["o"], utc(), tag="one")
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(SnapshotTable, "commit", crash)
+        with pytest.raises(RuntimeError):
+            stored.upsert_extracted(jobs, job_rows(spark, "a", "b", description="half"), ["o"], utc())
+    assert rows(jobs.read(), "link", "description") == [("a", "d")]
+    assert jobs.lookup("link", "b").count() == 0
+    stored.upsert_extracted(jobs, job_rows(spark, "c"), ["o"], utc(), tag="one")
+    stored.upsert_extracted(jobs, job_rows(spark, "c"), ["o"], utc(), tag="two")
+    assert rows(jobs.read(), "link") == [("a",), ("c",)]
+    stored.upsert_extracted(jobs, job_rows(spark).limit(0), ["o"], utc(), tag="empty")
+    assert jobs.has("empty") and jobs.read().count() == 2
+
+
+def test_expired_versions_lose_only_files_that_are_not_needed(spark, pages):
+    for i in range(4):
+        stored.upsert_raw_pages(pages, page_rows(spark, *URLS[: 20 * (i + 1)] if i < 3 else URLS[:1], content=str(i)), ["o"], now())
+    want, many = rows(pages.read()), files(pages)
+    pages.expire(keep=1)
+    assert rows(pages.read()) == want and rows(pages.keys(), "url") == [(u,) for u in sorted(URLS)]
+    assert files(pages) < many and len({f"{b}-{v}" for b, v in pages.live()}) == 8
+
+
+def test_an_empty_table_and_an_empty_batch(spark, pages, jobs):
+    assert pages.read().count() == 0 and pages.keys().columns == ["url", "bucket"] and jobs.lookup("link", "a").count() == 0
+    stored.upsert_raw_pages(pages, page_rows(spark, "a").limit(0), ["o"], now())
+    assert pages.versions() == []
+    assert pages.read().schema.names == RAW_PAGES.names
