@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegrain.operators import crawl, extract, links, merge, stored
+from sitegrain.operators.visits import VisitedSet
 from sitegrain.plans import jobs
 from sitegrain.schemas import EXTRACTED_JOBS, JOB_LISTINGS, RAW_PAGES
 from sitegrain.session import configure, empty_table, stage, staging_root
@@ -231,6 +232,15 @@ def is_visited(spark, sf_dir):
     return crawl.is_visited(found, visited, url="dst")
 
 
+@query("l4_known_urls", _SQL["l4_mark_visited"])
+def known_urls(spark, sf_dir):
+    """L4 with a visited set kept between crawls."""
+    found = stage(page_links(spark, sf_dir).select("url", F.col("dst")), "links")
+    known = VisitedSet(spark, f"{staging_root(spark)}/visited-{uuid.uuid4().hex}", buckets=16)
+    known.add(found.filter(F.col("url").contains("/en/")), "dst")
+    return known.unvisited(found.select(F.col("dst").alias("url")).distinct())
+
+
 # The link graph of parts, suppliers, orders (no stored page) and return flags (off the domain)
 
 
@@ -290,8 +300,7 @@ def expand_frontier(spark, sf_dir):
     from reach group by url""",
 )
 def crawl_bounded(spark, sf_dir):
-    edges = stage(shop_edges(spark, sf_dir), "shop-edges")
-    return crawl.crawl_bounded(shop_seeds(spark, sf_dir), edges, DOMAINS, max_depth=3)
+    return crawl.crawl_bounded(shop_seeds(spark, sf_dir), shop_edges(spark, sf_dir), DOMAINS, max_depth=3)
 
 
 # Canonical URLs
@@ -804,11 +813,29 @@ def fetch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crawl_to_raw(spark, sf_dir):
     seeds = shop_seeds(spark, sf_dir).union(pages_of(spark, sf_dir).select("url"))
     done = jobs.crawl_to_raw(
-        seeds, fetch_results(spark, sf_dir), DOMAINS, order=["body"], max_depth=3, now=timestamp(LATER)
+        seeds, stage(fetch_results(spark, sf_dir), "fetch-results"), DOMAINS, order=["body"], max_depth=3, now=timestamp(LATER)
     )
     return done.raw_pages.select("url", "content_type", "raw_content", as_text("fetched_at"))
 
 
+@query(
+    "p1_rejected",
+    """select 'https://shop.example.com/part/' || l_partkey || '/offer/' || l_orderkey || '-' || l_linenumber as url,
+        'text/html' as content_type, 'missing: raw_content' as reason
+    from lineitem join part on p_partkey = l_partkey where p_brand = 'Brand#13' and l_returnflag = 'R'""",
+)
+def rejected_results(spark, sf_dir):
+    """Fetched results without a body, of the pages that were reached."""
+    page = shop("part", "l_partkey")
+    results = tables.spread(table(spark, sf_dir, "lineitem")).select(
+        page.alias("url"),
+        F.concat(page, F.lit("/offer/"), "l_orderkey", F.lit("-"), "l_linenumber").alias("result_url"),
+        F.when(F.col("l_returnflag") != "R", F.lit("<p>offer")).alias("body"),
+    )
+    done = jobs.crawl_to_raw(shop_seeds(spark, sf_dir), results, DOMAINS, order=["result_url"], max_depth=1, now=timestamp(LATER))
+    return done.rejected.select("url", "content_type", "reason")
+
+
 def answer_with_page(batches):
     """An extractor whose answer is the page itself, as the test pages are answers already."""
     for batch in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from sitegrain.functions import urls
 from sitegrain.operators.keys import rows_with_keys
-from sitegrain.operators.links import with_udf
+from sitegrain.operators.links import with_allowed, with_udf
+from sitegrain.operators.visits import VisitedSet
 from sitegrain.session import stage
+from sitegrain.sources.layout import lay_out
 
 
 def fetch_stored_pages(frontier: DataFrame, pages: DataFrame, key: str = "url") -> DataFrame:
@@ -58,48 +60,69 @@ def expand_frontier(
 def crawl_bounded(
     seeds: DataFrame,
     edges: DataFrame,
-    allowed_domains: Iterable[str],
+    allowed_domains: Iterable[str] | DataFrame,
     max_depth: int,
     stored: DataFrame | None = None,
     visited: DataFrame | None = None,
+    known: VisitedSet | None = None,
 ) -> DataFrame:
     """Breadth-first reach from ``seeds(url)``: ``(url, hop, depth_left, outcome)``.
 
-    Pages at hops ``0 .. max_depth - 1`` are fetched; hop ``max_depth`` is only discovered. Each
-    hop is one job written to the staging folder, so plans stay short and the sizes of frontier
-    and visited set are known to the planner. ``edges`` is read at each hop, so stage it first when
-    it is costly to compute. ``stored(url)`` tells which pages exist; by default
-    those with edges. URLs in ``visited`` are never entered.
+    Pages at hops ``0 .. max_depth - 1`` are fetched; hop ``max_depth`` is only discovered. ``edges`` is ``(src, dst)`` or
+    ``(src, dsts)``; it is laid out by ``src`` once, and at each hop only the frontier moves. ``stored(url)`` tells which pages exist;
+    by default those with edges. URLs in ``visited`` or ``known`` are never entered.
     """
-    domains = list(allowed_domains)
+    laid = lay_out(edges, "src", "edges")
+
+    def children(active: DataFrame) -> DataFrame:
+        reached = laid.joined(active.withColumnRenamed("url", "src"))
+        return reached.select((F.explode("dsts") if "dsts" in edges.columns else F.col("dst")).alias("url"))
+
+    pages = laid.rows.select(F.col("src").alias("url")) if stored is None else stored.select("url")
+    return walk(seeds, children, pages, allowed_domains, max_depth, visited, known)
+
+
+def walk(
+    seeds: DataFrame,
+    children: Callable[[DataFrame], DataFrame],
+    pages: DataFrame,
+    allowed_domains: Iterable[str] | DataFrame,
+    max_depth: int,
+    visited: DataFrame | None = None,
+    known: VisitedSet | None = None,
+) -> DataFrame:
+    """L7 with any source of links: ``children`` gives the ``url`` that the pages of a frontier ``(url)`` link to.
+
+    It is called once a hop, with URLs of that hop alone. Each hop is one job written to the staging folder, so plans stay short and the
+    sizes of frontier and visited set are known to the planner. ``pages(url)`` are those that exist.
+    """
+    domains = allowed_domains if isinstance(allowed_domains, DataFrame) else list(allowed_domains)
 
     def staged(level: DataFrame, hop: int) -> DataFrame:
-        return stage(level.withColumn("allowed", urls.on_domain(F.col("url"), domains)), f"hop-{hop}")
+        if known is not None:
+            level = known.unvisited(level)
+        return stage(with_allowed(level, domains).withColumn("hop", F.lit(hop)), f"hop-{hop}")
 
     start = seeds.select("url").filter(F.col("url").isNotNull()).distinct()
-    if visited is not None:
-        start = start.join(visited.select("url"), "url", "left_anti")
-    levels = [staged(start.withColumn("depth", F.lit(max_depth)), 0)]
     before = [] if visited is None else [visited.select("url")]
+    for listed in before:
+        start = start.join(listed, "url", "left_anti")
+    levels = [staged(start, 0)]
     for hop in range(1, max_depth + 1):
+        found = children(levels[-1].filter("allowed").select("url")).filter(F.col("url").isNotNull()).distinct()
         seen = reduce(DataFrame.union, [level.select("url") for level in levels] + before)
-        level = staged(expand_frontier(levels[-1], edges, domains, seen), hop)
+        level = staged(found.join(seen, "url", "left_anti"), hop)
         if level.isEmpty():
             break
         levels.append(level)
     reached = reduce(DataFrame.unionByName, levels)
-    known_pages = edges.select(F.col("src").alias("url")) if stored is None else stored.select("url")
-    to_fetch = reached.filter("depth > 0 and allowed").select("url")
-    found = known_pages.join(to_fetch, "url", "left_semi").distinct().withColumn("_found", F.lit(True))
+    to_fetch = reached.filter((F.col("hop") < max_depth) & F.col("allowed")).select("url")
+    found = rows_with_keys(pages.select("url"), to_fetch, ["url"]).distinct().withColumn("_found", F.lit(True))
     outcome = (
-        F.when(F.col("depth") <= 0, "depth_exhausted")
+        F.when(F.col("hop") >= max_depth, "depth_exhausted")
         .when(~F.col("allowed"), "off_domain")
         .when(F.col("_found"), "fetched")
         .otherwise("no_page")
     )
-    return reached.join(found, "url", "left").select(
-        "url",
-        (F.lit(max_depth) - F.col("depth")).alias("hop"),
-        F.col("depth").alias("depth_left"),
-        outcome.alias("outcome"),
-    )
+    left = F.lit(max_depth) - F.col("hop")
+    return reached.join(found, "url", "left").select("url", "hop", left.alias("depth_left"), outcome.alias("outcome"))

@@ -90,19 +90,30 @@ def filter_allowed_domains(
     """
     if not isinstance(domains, DataFrame):
         return links.filter(urls.on_domain(F.col(url), domains))
-    hosts = links.select(urls.url_host(F.col(url)).alias("_host")).distinct()
+    # Each distinct host is tested once. Links and hosts are read from one staged copy.
+    with_host = stage(links.withColumn("_host", urls.url_host(F.col(url))), "hosts")
+    allowed = _hosts_on(with_host.select("_host").distinct(), domains)
+    return with_host.join(allowed, "_host", "left_semi").select(*links.columns)
+
+
+def _hosts_on(hosts: DataFrame, domains: DataFrame) -> DataFrame:
+    """The ``_host`` that lie on a ``domain`` or under one, staged, so that the planner knows how many are left."""
     labels = F.split("_host", r"\.")
     suffix = F.transform(
         F.sequence(F.lit(1), F.size(labels)),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."),
     )
-    matched = hosts.select("_host", F.explode(suffix).alias("domain")).join(
-        domains.select("domain"), "domain", "left_semi"
-    )
-    # Staged, so that the planner knows how many hosts are left and moves the links only if it must.
-    allowed = stage(matched.select("_host"), "allowed-hosts")
-    with_host = links.withColumn("_host", urls.url_host(F.col(url)))
-    return with_host.join(allowed, "_host", "left_semi").select(*links.columns)
+    matched = hosts.select("_host", F.explode(suffix).alias("domain")).join(domains.select("domain"), "domain", "left_semi")
+    return stage(matched.select("_host").distinct(), "allowed-hosts")
+
+
+def with_allowed(rows: DataFrame, domains: Iterable[str] | DataFrame, url: str = "url", to: str = "allowed") -> DataFrame:
+    """Add a flag: whether the URL lies on an allowed domain; ``domains`` as for L3, a DataFrame for a list of any length."""
+    if not isinstance(domains, DataFrame):
+        return rows.withColumn(to, F.coalesce(urls.on_domain(F.col(url), domains), F.lit(False)))
+    with_host = stage(rows.withColumn("_host", urls.url_host(F.col(url))), "hosts")
+    allowed = _hosts_on(with_host.select("_host").distinct(), domains).withColumn(to, F.lit(True))
+    return with_host.join(allowed, "_host", "left").select(*rows.columns, F.coalesce(to, F.lit(False)).alias(to))
 
 
 def page_targets(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:

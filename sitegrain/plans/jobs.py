@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from sitegrain.functions import urls
-from sitegrain.operators import crawl, extract, links, merge
+from sitegrain.operators import crawl, extract, links, merge, stored
+from sitegrain.operators.visits import VisitedSet
 from sitegrain.schemas import RAW_PAGES
 from sitegrain.session import empty_table, fits_broadcast, stage
-from sitegrain.sources.snapshots import SnapshotTable
-from sitegrain.sources.tables import scan_since, since
+from sitegrain.sources.layout import Layout, lay_out
+from sitegrain.sources.tables import scan_since
 
 Extractor = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
@@ -27,32 +27,59 @@ DEFAULT_DEPTH = 3
 class CrawlResult(NamedTuple):
     raw_pages: DataFrame
     visited: DataFrame
+    rejected: DataFrame
+
+
+def _rows_of(results: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function that gives the rows of a list of distinct URLs.
+
+    While the URLs, or those of them that have rows, are few enough to broadcast, rows are picked where they lie. The first
+    list beyond that has the rows laid out by URL, once; from then on only lists move.
+    """
+    laid: list[Layout] = []
+
+    def rows(wanted: DataFrame) -> DataFrame:
+        if not fits_broadcast(wanted) and not laid:
+            wanted = stage(results.select("url").distinct().join(wanted, "url", "left_semi"), "urls-hit")
+            if not fits_broadcast(wanted):
+                laid.append(lay_out(results, "url", "results"))
+        return laid[0].joined(wanted) if laid else results.join(wanted, "url", "left_semi")
+
+    return rows
 
 
 def crawl_to_raw(
     seeds: DataFrame,
     results: DataFrame,
-    allowed_domains: Iterable[str],
+    allowed_domains: Iterable[str] | DataFrame,
     order: Sequence[str],
     max_depth: int = DEFAULT_DEPTH,
-    target: DataFrame | None = None,
+    target: DataFrame | stored.Table | None = None,
     now: Column | None = None,
+    targets: Callable[[DataFrame], DataFrame] | None = None,
+    known: VisitedSet | None = None,
 ) -> CrawlResult:
     """Crawl from the seeds over stored fetch results and merge what was fetched into ``raw_pages``.
 
     ``results`` holds ``url`` (as requested), ``body`` (text or bytes), the ``order`` columns and, if the content is
-    stored under another name, ``result_url``; a URL may have several rows. Only results on
-    the allowed domains are parsed, each once. Of results stored under one name the last by
-    ``order`` is kept.
+    stored under another name, ``result_url``; a URL may have several rows. Pages are parsed hop by hop: only those
+    that are reached, each once. Stage ``results`` first if it is costly to compute, as each hop reads it. Of results
+    stored under one name the last by ``order`` is kept; fetched results without a name or a body come back as ``rejected``.
+
+    ``targets`` finds links: it turns ``(url, body, ...)`` into ``(src, dsts)``; by default those of ``a[href]``. URLs in ``known``
+    are never entered, and those discovered are added to it.
     """
-    domains = list(allowed_domains)
     if "result_url" not in results.columns:
         results = results.withColumn("result_url", F.col("url"))
-    reachable = results.filter(urls.on_domain(F.col("url"), domains))
-    edges = stage(links.page_targets(reachable, body="body"), "edges")
-    visited = stage(crawl.crawl_bounded(seeds, edges, domains, max_depth), "visited")
-    wanted = visited.filter("outcome = 'fetched'")
-    fetched = crawl.fetch_stored_pages(wanted, reachable)
+    rows_of, links_of = _rows_of(results), targets or (lambda pages: links.page_targets(pages, body="body"))
+
+    def children(active: DataFrame) -> DataFrame:
+        found = links.explode_udf(links_of(rows_of(active)), F.col("dsts"), "pos", "_to")
+        return found.select(F.col("_to").alias("url"))
+
+    walked = crawl.walk(seeds, children, results.select("url"), allowed_domains, max_depth, known=known)
+    visited = stage(walked, "visited")
+    fetched = rows_of(visited.filter("outcome = 'fetched'").select("url"))
     by = [f"_order_{i}" for i in range(len(order))]
     rows = fetched.select(
         F.col("result_url").alias("url"),
@@ -60,11 +87,16 @@ def crawl_to_raw(
         links.readable("body").alias("raw_content"),
         *[F.col(name).alias(alias) for name, alias in zip(order, by)],
     )
-    if not fits_broadcast(wanted):
-        rows = stage(rows, "fetched")  # the merge reads them more than once, and they took a shuffle
-    before = empty_table(seeds.sparkSession, RAW_PAGES) if target is None else target
-    merged = merge.upsert_raw_pages(before, rows, by, now)
-    return CrawlResult(merged, visited)
+    complete, incomplete = merge.split_incomplete(rows, ("url", "raw_content"))
+    if isinstance(target, stored.Table):
+        stored.upsert_raw_pages(target, complete, by, now)
+        merged = target.read()
+    else:
+        before = empty_table(seeds.sparkSession, RAW_PAGES) if target is None else target
+        merged = merge.upsert_raw_pages(before, complete, by, now)
+    if known is not None:
+        known.add(visited)
+    return CrawlResult(merged, visited, incomplete.drop(*by))
 
 
 class ParseResult(NamedTuple):
@@ -99,8 +131,8 @@ RECORD_ORDER = ("fetched_at", "url", "pos")
 
 
 def parse_to_extracted(
-    raw: SnapshotTable,
-    extracted: SnapshotTable,
+    raw: stored.Table,
+    extracted: stored.Table,
     failures_path: str,
     fn: Extractor,
     start: datetime | Column,
@@ -120,12 +152,8 @@ def parse_to_extracted(
     if not used:
         return 0
     parsed.failures.write.mode("overwrite").parquet(f"{failures_path}/{read[-1][1]}")
-    extracted.commit(merge.upsert_extracted(extracted.read(), parsed.records, RECORD_ORDER, now))
-    # Older pages, and those without a fetch time, were not read and need not be looked up.
-    recent = F.coalesce(since(start), F.lit(False))
-    stored = raw.read()
-    left = merge.delete_by_urls(stored.filter(recent), parsed.used, ("url", "fetched_at"))
-    raw.commit(stored.filter(~recent).unionByName(left))
+    stored.upsert_extracted(extracted, parsed.records, RECORD_ORDER, now)
+    stored.delete_by_urls(raw, parsed.used, ("url", "fetched_at"))
     return used
 
 

@@ -1,0 +1,221 @@
+"""Crawls by frontier: what moves, what is parsed, what is read again, and the visited set between crawls."""
+
+import random
+from pathlib import Path
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from sitegrain.operators import crawl, links
+from sitegrain.operators.visits import VisitedSet
+from sitegrain.plans import jobs
+from sitegrain.schemas import RAW_PAGES
+from sitegrain.session import stage
+from sitegrain.sources import layout
+from sitegrain.sources.buckets import BucketTable
+
+SITE = "https://example.com/"
+
+
+def now():
+    return F.lit("2024-05-01 00:00:00").cast("timestamp_ntz")
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.fixture
+def graph(spark):
+    draw = random.Random(5)
+    edges = [(f"{SITE}{draw.randrange(40)}", f"{SITE}{draw.randrange(60)}") for _ in range(90)] + [(f"{SITE}1", "https://other.net/")] * 3
+    edges += [(None, f"{SITE}1"), (f"{SITE}2", None)]
+    return edges, spark.createDataFrame(edges, "src string, dst string")
+
+
+def reach(edges, seeds, depth):
+    hops, level = {}, set(seeds)
+    for hop in range(depth + 1):
+        hops |= {u: hop for u in level}
+        level = {d for s, d in edges if s in level and s.startswith(SITE) and d and d not in hops}
+    return hops
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_are_exchanged_once_at_any_depth(spark, graph, no_broadcast, monkeypatch):
+    edges, frame = graph
+    plans, staged = [], layout.stage
+
+    def kept(df, label):
+        plans.append((label, plan_of(df)))
+        return staged(df, label)
+
+    monkeypatch.setattr(crawl, "stage", kept)
+    laid = []
+    monkeypatch.setattr(crawl, "lay_out", lambda *a: laid.append(layout.lay_out(*a)) or laid[0])
+    found = crawl.crawl_bounded(spark.createDataFrame([(f"{SITE}0",)], "url string"), frame, ["example.com"], 4)
+    got = {r.url: r.hop for r in found.collect()}
+    assert got == reach(edges, [f"{SITE}0"], 4) and max(got.values()) == 4
+    hops = [plan for label, plan in plans if label != "hop-0"]
+    assert len(hops) == 4 and len(laid) == 1
+    for plan in hops:
+        # The edges' scan stands below a join, sorted, without an exchange.
+        side = plan[plan.index("SortMergeJoin [src#") :]
+        before, scan = side.split("Bucketed: true", 1)[0], side.split("Bucketed: true", 1)[1]
+        assert "Exchange" not in before and "Exchange" in scan
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 4])
+def test_a_layout_gives_all_rows_of_wanted_keys(spark, hot_rows, no_broadcast):
+    data = [("hot", i) for i in range(30)] + [(f"k{i}", i) for i in range(20)] + [(None, 1), ("", 2)]
+    laid = layout.lay_out(spark.createDataFrame(data, "key string, x int"), "key", "t", hot_rows)
+    wanted = stage(spark.createDataFrame([("hot", "a"), ("k3", "b"), ("", "c"), ("none", "d")], "key string, y string"), "wanted")
+    got = laid.joined(wanted)
+    assert got.columns == ["key", "x", "y"] and "Bucketed: true" in plan_of(got)
+    names = {"hot": "a", "k3": "b", "": "c"}
+    assert rows(got) == sorted((k, x, names[k]) for k, x in data if k in names)
+    if hot_rows == 4:
+        assert laid.hot.collect()[0]["_parts"] == 8
+        shares = laid.rows.filter("key = 'hot'").groupBy("_part").count().collect()
+        assert len(shares) > 3 and max(r["count"] for r in shares) < 15
+    else:
+        assert laid.hot is None
+
+
+def pages_of(spark, graph):
+    edges, _ = graph
+    by = {}
+    for s, d in edges:
+        if s:
+            by.setdefault(s, []).append(d)
+    data = [(s, "".join(f'<a href="{d}">x</a>' for d in ds if d), i) for i, (s, ds) in enumerate(sorted(by.items()))]
+    return spark.createDataFrame(data, "url string, body string, seq int")
+
+
+def counted_targets(spark, folder):
+    """The page's links, and a file for each page that is parsed."""
+
+    @F.pandas_udf("array<string>")
+    def parse(urls, bodies):
+        import re
+
+        for url in urls:
+            (folder / url.rsplit("/", 1)[1]).touch()
+        return bodies.map(lambda body: re.findall('href="([^"]*)"', body))
+
+    return lambda pages: pages.select(F.col("url").alias("src"), parse("url", "body").alias("dsts"))
+
+
+@pytest.mark.parametrize("threshold", [None, "-1"])
+def test_a_page_never_reached_is_never_parsed(spark, graph, tmp_path, threshold):
+    if threshold:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        edges, _ = graph
+        pages = stage(pages_of(spark, graph), "pages")
+        seeds = spark.createDataFrame([(f"{SITE}0",), (f"{SITE}3",)], "url string")
+        done = jobs.crawl_to_raw(seeds, pages, ["example.com"], ["seq"], 2, now=now(), targets=counted_targets(spark, tmp_path))
+        hops = reach(edges, [f"{SITE}0", f"{SITE}3"], 2)
+        assert {r.url: r.hop for r in done.visited.collect()} == hops
+        stored = {r.url for r in pages.collect()}
+        fetched = {u for u, hop in hops.items() if hop < 2 and u in stored}
+        assert {r.url for r in done.raw_pages.collect()} == fetched and 2 < len(fetched) < len(stored)
+        assert {f"{SITE}{p.name}" for p in Path(tmp_path).iterdir()} == fetched
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_fetched_results_that_cannot_be_stored_come_back(spark):
+    data = [(SITE, "<p>x", SITE, 1), (SITE, None, f"{SITE}none", 2), (SITE, "<p>y", None, 3), (f"{SITE}far", None, "x", 4)]
+    results = spark.createDataFrame(data, "url string, body string, result_url string, seq int")
+    done = jobs.crawl_to_raw(results.select("url").limit(1), results, ["example.com"], ["seq"], now=now())
+    assert rows(done.raw_pages, "url", "raw_content") == [(SITE, "<p>x")]
+    assert sorted((r.url or "", r.reason) for r in done.rejected.collect()) == [("", "missing: url"), (f"{SITE}none", "missing: raw_content")]
+
+
+def test_a_crawl_into_a_stored_table(spark, graph, tmp_path):
+    table = BucketTable(spark, str(tmp_path / "raw"), RAW_PAGES, "url", buckets=4)
+    pages, seeds = stage(pages_of(spark, graph), "pages"), spark.createDataFrame([(f"{SITE}0",)], "url string")
+    done = jobs.crawl_to_raw(seeds, pages, ["example.com"], ["seq"], 3, target=table, now=now())
+    plain = jobs.crawl_to_raw(seeds, pages, ["example.com"], ["seq"], 3, now=now())
+    assert rows(table.read()) == rows(done.raw_pages) == rows(plain.raw_pages) and len(table.versions()) == 1
+
+
+def test_domains_of_a_table_give_the_same_crawl(spark, graph):
+    seeds = spark.createDataFrame([(f"{SITE}0",), ("https://a.example.com/", ), ("https://badexample.com/",), ("no url",)], "url string")
+    domains = spark.createDataFrame([("example.com",), ("x.org",), ("x.org",)], "domain string")
+    listed = crawl.crawl_bounded(seeds, graph[1], ["example.com", "x.org"], 3)
+    assert rows(listed) == rows(crawl.crawl_bounded(seeds, graph[1], domains, 3))
+    assert {r.outcome for r in listed.collect()} >= {"fetched", "off_domain", "no_page"}
+    flagged = links.with_allowed(seeds, domains)
+    assert [r.allowed for r in flagged.orderBy("url").collect()] == [True, False, True, False]
+
+
+@pytest.fixture
+def visited(spark, tmp_path):
+    return VisitedSet(spark, str(tmp_path / "visited"), buckets=8)
+
+
+def url_rows(spark, *urls):
+    return spark.createDataFrame([(u,) for u in urls], "url string")
+
+
+def test_the_visited_set_equals_a_plain_set(spark, visited):
+    draw = random.Random(2)
+    names = [f"{SITE}{i}" for i in range(300)] + ["", "é", "x#a", "x"]
+    seen = set()
+    for _ in range(3):
+        asked = draw.choices(names, k=120)
+        found = visited.visited(url_rows(spark, *asked, None))
+        assert {r.url for r in found.collect()} == set(asked) & seen
+        left = visited.unvisited(url_rows(spark, *asked))
+        assert sorted(r.url for r in left.collect()) == sorted(u for u in asked if u not in seen)
+        added = asked[:60]
+        visited.add(url_rows(spark, *added, *added[:5], None))
+        seen |= set(added)
+    assert {r.url for r in visited.keys().collect()} == seen
+
+
+def test_filters_hold_back_nearly_all_unknown_urls(spark, visited):
+    spark.range(20_000).select(F.concat(F.lit(SITE), "id").alias("url")).createOrReplaceTempView("many")
+    visited.add(spark.table("many"))
+    asked = spark.range(20_000, 30_000).select(F.concat(F.lit(SITE), "id").alias("url")).union(spark.table("many").limit(500))
+    asked = stage(asked.withColumn("bucket", visited.bucket_of("url")), "asked")
+    likely = visited.maybe(asked)
+    assert 500 <= likely.count() < 800
+    assert visited.visited(asked).count() == 500
+
+
+def test_a_second_crawl_reads_only_the_buckets_of_its_frontier(spark, graph, visited, monkeypatch):
+    edges, frame = graph
+    first = crawl.crawl_bounded(url_rows(spark, f"{SITE}0"), frame, ["example.com"], 2, known=visited)
+    reached = {r.url for r in first.collect()}
+    visited.add(first)
+    opened = []
+    paths = VisitedSet._paths
+    monkeypatch.setattr(VisitedSet, "_paths", lambda self, kind, buckets=None: opened.append((kind, set(buckets))) or paths(self, kind, buckets))
+    fresh = next(u for u in (f"{SITE}{i}" for i in range(60)) if u not in reached)
+    again = crawl.crawl_bounded(url_rows(spark, fresh, f"{SITE}0"), frame, ["example.com"], 1, known=visited)
+    got = {r.url for r in again.collect()}
+    assert got == ({fresh} | {d for s, d in edges if s == fresh and d}) - reached
+    asked = {fresh, f"{SITE}0"} | {d for s, d in edges if s == fresh and d}
+    buckets = set(visited.touched(url_rows(spark, *asked), "url"))
+    assert opened and all(b <= buckets for _, b in opened) and len(buckets) < 8
+    # Stored URLs are read only where a filter lets a URL through.
+    held = set(visited.touched(url_rows(spark, *(asked & reached)), "url"))
+    assert all(b <= held for kind, b in opened if kind == "keys")
+
+
+def test_a_crawl_adds_what_it_discovers(spark, graph, visited):
+    pages, seeds = stage(pages_of(spark, graph), "pages"), url_rows(spark, f"{SITE}0")
+    one = jobs.crawl_to_raw(seeds, pages, ["example.com"], ["seq"], 2, now=now(), known=visited)
+    assert rows(visited.keys(), "url") == rows(one.visited, "url")
+    two = jobs.crawl_to_raw(seeds, pages, ["example.com"], ["seq"], 2, now=now(), known=visited)
+    assert two.visited.count() == 0 and two.raw_pages.count() == 0
