@@ -852,10 +852,14 @@ def answer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def parse_tables(spark: SparkSession) -> tuple[SnapshotTable, SnapshotTable, str]:
+def parse_tables(spark: SparkSession, kind: str = "snapshots") -> tuple[stored.Table, stored.Table, str]:
     root = f"{staging_root(spark)}/parse-{uuid.uuid4().hex}"
-    raw = SnapshotTable(spark, f"{root}/raw", RAW_PAGES, sort_by="fetched_at")
-    extracted = SnapshotTable(spark, f"{root}/extracted", EXTRACTED_JOBS, sort_by="link", bloom=("company", "title"))
+    if kind == "buckets":
+        raw = BucketTable(spark, f"{root}/raw", RAW_PAGES, "url", buckets=16)
+        extracted = BucketTable(spark, f"{root}/extracted", EXTRACTED_JOBS, "link", buckets=16)
+    else:
+        raw = SnapshotTable(spark, f"{root}/raw", RAW_PAGES, sort_by="fetched_at")
+        extracted = SnapshotTable(spark, f"{root}/extracted", EXTRACTED_JOBS, sort_by="link", bloom=("company", "title"))
     return raw, extracted, f"{root}/failures"
 
 
@@ -876,6 +880,49 @@ def parse_to_extracted(spark, sf_dir):
     return shown_jobs(extracted.read())
 
 
+def answer_but_first_turns(batches):
+    """An extractor that fails on the first turn of a conversation, whole batches with it."""
+    for batch in batches:
+        bad = batch["url"][batch["url"].str.endswith("/1")]
+        if len(bad):
+            raise ValueError(f"cannot read {bad.iloc[0]}")
+        yield from answer_with_page([batch])
+
+
+@query(
+    "p2_record_links",
+    f"""with {SQL_JOBS}
+    select title, company, description, skills, link, '{LATER}' as created_at, '{LATER}' as updated_at from (
+        select *, case when pos = 0 then own_link else url || regexp_replace(md5(url || chr(10) || pos),
+            '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') end as link from jobs)
+    qualify row_number() over (partition by link order by url desc, pos desc) = 1""",
+)
+def parse_record_links(spark, sf_dir):
+    """P2 with the records' own links; the second record of each page has none."""
+    raw, extracted, failures = parse_tables(spark, "buckets")
+    raw.commit(answer_pages(spark, sf_dir).withColumn("raw_content", F.replace("raw_content", F.lit('"/again"'), F.lit('" "'))))
+    jobs.parse_to_extracted(raw, extracted, failures, answer_with_page, timestamp(EARLIER), link_from="record", now=zoned(LATER))
+    return shown_jobs(extracted.read())
+
+
+@query(
+    "p2_extractor_errors",
+    f"""with {SQL_JOBS}
+    select 'https://talk.example.com/' || conv_id || '/' || turn as url, cast(null as varchar) as title,
+        case when turn = 1 then 'ValueError: cannot read https://talk.example.com/' || conv_id || '/' || turn else {SQL_STATUS} end as reason
+    from conversations where turn = 1 or {SQL_STATUS} not in ('ok', 'empty')
+    union all select url, title, null from jobs where pos = 1 and turn <> 1""",
+)
+def parse_past_errors(spark, sf_dir):
+    """P2 with failing pages among good ones: what was stored, and each failed page with its reason."""
+    raw, extracted, failures = parse_tables(spark, "buckets")
+    raw.commit(answer_pages(spark, sf_dir))
+    jobs.parse_to_extracted(raw, extracted, failures, answer_but_first_turns, timestamp(EARLIER), now=zoned(LATER))
+    failed = spark.read.parquet(f"{failures}/*")
+    done = extracted.read().select(F.col("link").alias("url"), "title", F.lit(None).cast("string").alias("reason"))
+    return done.union(failed.select("url", F.lit(None).cast("string"), "reason"))
+
+
 @query("p2_parse_stream", SQL_STORED_JOBS)
 def parse_as_stream(spark, sf_dir):
     raw, extracted, failures = parse_tables(spark)
@@ -887,6 +934,26 @@ def parse_as_stream(spark, sf_dir):
     return shown_jobs(extracted.read())
 
 
+@query(
+    "p2_stream_deletes",
+    f"""select 'https://talk.example.com/' || conv_id || '/' || turn as url, '{LATER}' as fetched_at
+    from conversations where conv_id % 7 = 0""",
+)
+def stream_deletes(spark, sf_dir):
+    """P2 as a stream that deletes used pages: of its raw table those fetched again meanwhile are left."""
+    raw, extracted, failures = parse_tables(spark, "buckets")
+    arrived = answer_pages(spark, sf_dir)
+    arrived.write.parquet(f"{failures}-arrivals")
+    again = F.element_at(F.split("url", "/"), -2).cast("long") % 7 == 0
+    raw.commit(arrived.withColumn("fetched_at", F.when(again, timestamp(LATER)).otherwise(F.col("fetched_at"))))
+    stream = parse_stream(
+        spark, f"{failures}-arrivals", extracted, failures, f"{failures}-checkpoint", answer_with_page, now=zoned(LATER),
+        raw=raw, consumed_path=f"{failures}-consumed",
+    )
+    stream.awaitTermination()
+    return raw.read().select("url", as_text("fetched_at"))
+
+
 @query(
     "p3_cards_to_extracted",
     f"""with cards as (

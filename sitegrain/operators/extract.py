@@ -53,7 +53,7 @@ class SiteConfig:
     root_prefixes: tuple[str, ...] = ()
 
 
-# Selectors and URL rules of the job board this was first written for.
+# Selectors and URL rules of one job board's pages.
 JOB_BOARD = SiteConfig(
     listing_selectors=("a[data-automation='jobTitle']", "a.job-link", "a[data-testid='job-result']"),
     data_selectors=(
@@ -164,6 +164,65 @@ def extract_with(
     return df.mapInPandas(fn, schema)
 
 
+ERROR_CHARS = 2000
+
+
+def extract_apart(
+    df: DataFrame,
+    fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
+    schema: StructType,
+    keys: Sequence[str],
+    error: str = "error",
+) -> DataFrame:
+    """U1 with failures told apart: the extractor's rows and, for each row it fails on, the keys and an ``error``.
+
+    ``fn`` is called with a batch at a time, so a costly set-up belongs in its module. When it raises, the rows it had answered by then
+    are kept, and of the others each half is tried by itself, down to the single rows that fail; the job goes on. A row without an
+    answer is an error too. ``keys`` are columns of ``df`` and of ``schema`` that an answer repeats.
+    """
+    keys, names = list(keys), schema.names
+
+    def told(rows: pd.DataFrame, why: str | None) -> pd.DataFrame:
+        nothing = pd.Series([None] * len(rows), index=rows.index, dtype=object)
+        filled = {name: rows[name] if name in rows else nothing for name in names}
+        return pd.DataFrame({**filled, error: nothing if why is None else nothing.map(lambda _: why[:ERROR_CHARS])})
+
+    def unanswered(batch: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(answers):
+            return batch
+        of = lambda rows: pd.MultiIndex.from_frame(rows[keys].astype(object).where(rows[keys].notna(), None))
+        return batch[~of(batch).isin(of(answers))]
+
+    def attempt(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        answers, failure = [], None
+        try:
+            for answer in fn(iter([batch])):
+                answers.append(answer[names])
+        except Exception as raised:  # whatever a user's function raises concerns its rows alone
+            failure = f"{type(raised).__name__}: {raised}"
+        for answer in answers:
+            yield told(answer, None)
+        left = unanswered(batch, pd.concat(answers)) if answers else batch
+        if failure is None:
+            if len(left):
+                yield told(left[keys], "no answer")
+        elif len(left) == 1:
+            yield told(left[keys], failure)
+        elif len(left) < len(batch):
+            if len(left):
+                yield from attempt(left)
+        else:
+            yield from attempt(batch.iloc[: len(batch) // 2])
+            yield from attempt(batch.iloc[len(batch) // 2 :])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield from attempt(batch)
+
+    return df.mapInPandas(run, StructType([*schema.fields, StructField(error, StringType())]))
+
+
 # Fixed value: the form in which models are asked to answer.
 _FENCED = r"(?s)```json\n?(.*?)\n?```"
 _DECODED = to_arrow_type(DECODED_RESPONSE)
@@ -219,14 +278,20 @@ def explode_page_jobs(pages: DataFrame, jobs: str = "jobs", url: str = "url", li
     return found if link_from == "page" else unescape_links(found)
 
 
-def split_parse_failures(parsed: DataFrame, decoded: str = "decoded") -> tuple[DataFrame, DataFrame]:
+def split_parse_failures(
+    parsed: DataFrame, decoded: str = "decoded", error: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``(parsed, failed)``. A blank block is no failure: it has no records.
 
+    ``error`` names the column of ``extract_apart`` that tells why there is no answer; it then is the ``reason``.
     Both sides read ``parsed``; stage it first when it is costly to compute.
     """
     status = F.col(f"{decoded}.status")
+    if error is not None:
+        status = F.coalesce(F.col(error), status)
     good = status.isin("ok", "empty")
-    return parsed.filter(good), parsed.filter(~good).withColumn("reason", status).drop(decoded)
+    left = [decoded] if error is None else [decoded, error]
+    return parsed.filter(good).drop(*left[1:]), parsed.filter(~good).withColumn("reason", status).drop(*left)
 
 
 def _nodes(*fields: tuple[str, object]) -> ArrayType:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -199,15 +200,30 @@ def dedupe_by_canonical_url(
 ) -> DataFrame:
     """One row per canonical URL, the last by ``order``; adds ``canonical``.
 
-    ``order`` must tell rows apart and hold no NULL. Page bodies stay where they are while the
+    NULL comes before any value. Rows that tie go by their place in their file, so one row is left whatever ``order`` holds.
+    Canonical URLs and row places are staged once; page bodies stay where they are while the
     repeats are found: an aggregate over canonical URLs, which merges copies before its shuffle,
-    gives the rows to keep; all other row ids are staged and then dropped by an anti join, which
-    Spark broadcasts when they are few. Both joins are on row ids, so no key is hot.
-    Rows whose URL does not parse are kept under the URL itself.
+    gives the rows to keep, and all others are dropped by an anti join on row places, which
+    Spark broadcasts when they are few. No key of either join is hot.
+    Rows whose URL does not parse are kept under the URL itself. Rows that don't come from files are staged first.
     """
     key = F.coalesce(canonical_url(url, F.lit(""), ignore_params, root_prefixes), F.col(url))
-    row = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    last = pages.select(key.alias("canonical"), row.alias("_row")).groupBy("canonical").agg(F.max("_row").alias("_row"))
-    last = last.select(F.col("_row").alias(order[0]) if len(order) == 1 else F.col("_row.*"))
-    losers = stage(pages.select(*order).join(last, list(order), "left_anti"), "repeats")
-    return with_udf(pages.join(losers, list(order), "left_anti"), "canonical", key)
+    placed = with_places(pages)
+    names = list(dict.fromkeys(order))
+    ids = stage(placed.select(key.alias("_canonical"), F.struct(*names, *PLACE).alias("_row")), "canonical")
+    last = ids.groupBy("_canonical").agg(F.max("_row").alias("_row"))
+    kept = last.select(*[F.col(f"_row.{name}").alias(name) for name in PLACE])
+    losers = stage(ids.select(*[F.col(f"_row.{name}").alias(name) for name in PLACE]).join(kept, list(PLACE), "left_anti"), "repeats")
+    return with_udf(placed.join(losers, list(PLACE), "left_anti").drop(*PLACE), "canonical", key)
+
+
+PLACE = ("_file", "_file_row")
+
+
+def with_places(rows: DataFrame) -> DataFrame:
+    """Add the file and the row in it that each row comes from: the same whenever and wherever a task runs."""
+    place = [F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1])]
+    try:
+        return rows.select("*", *place)
+    except AnalysisException:  # not the rows of files
+        return stage(rows, "placed").select("*", *place)

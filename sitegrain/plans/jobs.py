@@ -108,22 +108,37 @@ class ParseResult(NamedTuple):
 RESPONSES = StructType([RAW_PAGES["url"], RAW_PAGES["fetched_at"], StructField("response", StringType())])
 
 
+class ExtractorAway(RuntimeError):
+    """An extractor answered none of a run's pages."""
+
+
 def parse_pages(
-    pages: DataFrame, fn: Extractor, use_clean: bool = False, link_from: str = "page"
+    pages: DataFrame, fn: Extractor, use_clean: bool = False, link_from: str = "page", all_may_fail: bool = False
 ) -> ParseResult:
     """The parse step of P2: prompts, responses, decoding, and records apart from failures.
 
     ``fn`` turns batches of ``(url, fetched_at, prompt)`` into ``(url, fetched_at, response)``, one row
     for each. Its answers are decoded and staged before use, so that it is called once per page
-    whatever reads them and whichever executors are lost later.
+    whatever reads them and whichever executors are lost later. A page it raises on, or does not answer, is a failure
+    with the error as its reason; the others go on. When no page at all is answered, the extractor rather than a page is
+    at fault: that raises, before anything is stored, unless ``all_may_fail``.
     """
     prompts = extract.build_prompts(pages, body="raw_content", use_clean=use_clean)
-    responses = extract.extract_with(prompts.select("url", "fetched_at", "prompt"), fn, RESPONSES)
+    asked = prompts.select("url", "fetched_at", "prompt")
+    responses = extract.extract_apart(asked, fn, RESPONSES, ("url", "fetched_at"))
     parsed = stage(extract.parse_model_responses(responses), "parsed")
-    good, failed = extract.split_parse_failures(parsed)
+    pages_n, errors_n, error = parsed.agg(F.count("*"), F.count("error"), F.min("error")).first()
+    if pages_n and pages_n == errors_n and not all_may_fail:
+        raise ExtractorAway(error)
+    good, failed = extract.split_parse_failures(parsed, error="error")
     records = extract.explode_page_jobs(
         good.select("url", "fetched_at", F.col("decoded.jobs").alias("jobs")), link_from=link_from
     )
+    if link_from == "record":
+        # Records without a link of their own stay apart: each gets an id from its page and place.
+        own = F.when(F.btrim("link") != "", F.col("link"))
+        place = links.page_id(F.col("url"), F.lit(""), F.lit(None).cast("string"), [F.col("pos")])
+        records = records.withColumn("link", F.coalesce(own, place))
     return ParseResult(records, failed, parsed.select("url", "fetched_at"))
 
 
@@ -139,6 +154,7 @@ def parse_to_extracted(
     use_clean: bool = False,
     link_from: str = "page",
     now: Column | None = None,
+    all_may_fail: bool = False,
 ) -> int:
     """Parse the pages fetched since ``start``, merge the records, then delete the used pages.
 
@@ -147,7 +163,7 @@ def parse_to_extracted(
     gives the same. Failures go to a folder named as the version read. Returns the number of pages used.
     """
     read = raw.versions()
-    parsed = parse_pages(scan_since(raw.read(), start), fn, use_clean, link_from)
+    parsed = parse_pages(scan_since(raw.read(), start), fn, use_clean, link_from, all_may_fail)
     used = parsed.used.count()
     if not used:
         return 0

@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from extractors import answer, fail
+from extractors import answer, answer_without_links, fail
 from sitegrain.operators import extract, merge
 from sitegrain.plans import jobs
 from sitegrain.schemas import EXTRACTED_JOBS, RAW_PAGES
+from sitegrain.sources.buckets import BucketTable
 from sitegrain.sources.snapshots import SnapshotTable
 from sitegrain.streaming.parse_stream import parse_stream
 
@@ -155,3 +156,46 @@ def test_cards_without_a_link_stay_apart(spark):
     pages = spark.createDataFrame([(f"https://h/{i}", card % "Baker" + card % "Cook", i) for i in range(3)], "url string, html string, page_id int")
     target = spark.createDataFrame([], EXTRACTED_JOBS)
     assert jobs.cards_to_extracted(pages, target, ["page_id"]).select("link").distinct().count() == 6
+
+
+def test_records_without_a_link_stay_apart(spark, stores):
+    raw, extracted, failures = stores
+    raw.commit(raw_pages(spark, *[(f"u{i}", "one+two", T1) for i in range(3)]))
+    jobs.parse_to_extracted(raw, extracted, failures, answer_without_links, T0, link_from="record", now=now(T2))
+    got = {r.link for r in extracted.read().collect()}
+    assert len(got) == 6 and all(link.startswith("u") for link in got)
+
+
+def test_a_replayed_batch_deletes_once_and_only_as_read(spark, stores, tmp_path):
+    _, extracted, failures = stores
+    raw = BucketTable(spark, str(tmp_path / "pages"), RAW_PAGES, "url", buckets=4)
+    folder, checkpoint = str(tmp_path / "in"), tmp_path / "checkpoint"
+
+    def run():
+        parse_stream(
+            spark, folder, extracted, failures, str(checkpoint), answer, now=now(T2), raw=raw, consumed_path=str(tmp_path / "used")
+        ).awaitTermination()
+
+    pages = [("u1", "one", T1), ("u2", "two", T1), ("u3", "bad?", T1)]
+    raw.commit(raw_pages(spark, *pages, ("u9", "kept", T1)))
+    raw_pages(spark, *pages).write.parquet(folder)
+    run()
+    assert rows(raw.read(), "url") == [("u9",)] and rows(extracted.read(), "link") == [("u1",), ("u2",)]
+    # u1 is fetched again; then the stream forgets that its batch was done, as after a crash.
+    raw.append(raw_pages(spark, ("u1", "newer", T2), ("u2", "two", T1)))
+    versions = raw.versions()
+    for name in ("0", ".0.crc"):
+        (checkpoint / "commits" / name).unlink()
+    run()
+    assert raw.versions() == versions and rows(raw.read(), "url") == [("u1",), ("u2",), ("u9",)]
+    # A crash between storing records and deleting: the list is there, the deletion runs from it, and spares what is newer.
+    tag = next(name.split("-", 1)[1] for _, name in versions if "-" in name)
+    fresh = BucketTable(spark, str(tmp_path / "pages2"), RAW_PAGES, "url", buckets=4)
+    fresh.commit(raw_pages(spark, ("u1", "newer", T2), ("u2", "two", T1), ("u3", "bad?", T1)))
+    (checkpoint / "commits" / "0").unlink()
+    (checkpoint / "commits" / ".0.crc").unlink()
+    raw = fresh
+    run()
+    assert rows(fresh.read(), "url") == [("u1",)] and fresh.has(tag)
+    with pytest.raises(ValueError):
+        parse_stream(spark, folder, extracted, failures, str(checkpoint), answer, raw=raw)

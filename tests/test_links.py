@@ -76,3 +76,29 @@ def test_bytes_that_are_not_text_do_not_stop_a_job(spark):
     for frame in (pages, as_text):
         assert rows(links.resolve_links(links.extract_links(frame)), "dst") == [("https://h/%EF%BF%BD",)]
         assert rows(extract.clean_html_text(frame), "text") == [("x\ufffd",)]
+
+
+def test_dedupe_keeps_one_row_whatever_the_order_holds(spark, tmp_path):
+    data = [
+        ("https://h/a", 1, "x"), ("https://h/a/", 1, "y"), ("https://h/a#f", 1, "z"),  # ties
+        ("https://h/b", None, "x"), ("https://h/b", None, "y"),  # NULLs alone
+        ("https://h/c", None, "x"), ("https://h/c", 2, "y"), ("https://h/c", 1, "z"),
+        ("https://h/same", 3, "s"), ("https://h/same", 3, "s"),  # equal rows
+        (None, 1, "n"), ("%zz", 1, "p"),
+    ]
+    frame = spark.createDataFrame(data, "url string, n int, body string")
+    for pages in (frame, spark.read.schema(frame.schema).parquet(save(frame.repartition(3), tmp_path))):
+        got = links.dedupe_by_canonical_url(pages, order=["n"])
+        assert got.columns == ["url", "n", "body", "canonical"]
+        kept = [tuple(r) for r in got.collect()]
+        assert sorted(r[3] or "" for r in kept) == ["", "%zz", "https://h/a", "https://h/b", "https://h/c", "https://h/same"]
+        assert next(r for r in kept if r[3] == "https://h/c")[1:3] == (2, "y")
+    # Twice the same, though rows tie.
+    stored = spark.read.parquet(f"{tmp_path}/pages")
+    one, two = (sorted(map(str, links.dedupe_by_canonical_url(stored, order=["n"]).collect())) for _ in range(2))
+    assert one == two
+
+
+def save(frame, folder):
+    frame.write.mode("overwrite").parquet(f"{folder}/pages")
+    return f"{folder}/pages"
