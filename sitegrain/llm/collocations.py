@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitegrain.llm.words import fingerprints, mix, windows
+from sitegrain.llm.words import bitmap, fingerprints, is_set, mix, windows
 from sitegrain.session import stage
 
 LONGEST = 5
@@ -95,7 +95,7 @@ def _grams(lang: str, words: list[bytes], sizes: tuple[int, ...], passed: np.nda
         fine = fine & inside[k : len(fine) + k]
     prints = windows(fingerprints(names)[ids], part)
     slots = _slots(lang, prints)
-    fine = fine[: len(slots)] & ((passed[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1)
+    fine = fine[: len(slots)] & is_set(passed, slots)
     # Equal numbers in ``rank`` are equal words up to the length reached.
     rank = ids
     for size in range(2, sizes[-1] + 1):
@@ -130,20 +130,14 @@ def _counted(docs: DataFrame, sizes: tuple[int, ...], passed, least: int) -> Dat
 
 
 def _filter(frequent: DataFrame, size: int) -> np.ndarray:
-    """Bitmap of the phrases of ``size`` words, gathered in parts of 4 kB: 1,024 rows at most reach the driver."""
+    """Bitmap of the phrases of ``size`` words."""
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            # One more, as positions count from one.
-            found = [int(_slots(lang, windows(fingerprints(phrase.encode("utf-8", "surrogatepass").split(b" ")), size))[0]) + 1 for lang, phrase in zip(b["lang"], b["phrase"])]
+            found = [_slots(lang, windows(fingerprints(phrase.encode("utf-8", "surrogatepass").split(b" ")), size))[0] for lang, phrase in zip(b["lang"], b["phrase"])]
             yield pd.DataFrame({"slot": np.array(found, np.int64)})
 
-    slots = frequent.filter("phrase != ''").select("lang", "phrase").mapInPandas(number, "slot long")
-    parts = slots.groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    out = np.zeros((1 << _BITS) // 8, np.uint8)
-    for r in parts.collect():
-        out[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return out
+    return bitmap(frequent.filter("phrase != ''").select("lang", "phrase").mapInPandas(number, "slot long"), _BITS)
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100) -> DataFrame:

@@ -21,11 +21,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegrain.llm.words import bitmap, is_set
 from sitegrain.session import stage
 
 BITS = 17
 SIZES = (3, 4, 5, 6)
 _STEP = 1 << 20
+_LABEL_BITS = 25
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,9 +126,20 @@ def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 800, sample_chars: int = 20_000) -> Model:
     """``labels(doc_id, toxic)``; learns from the ids that ``docs`` holds."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("label"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id")
+    known = stage(known, "labels")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _LABEL_BITS))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(known.select(slot.alias("slot")), _LABEL_BITS))
+
+    @F.pandas_udf("boolean")
+    def may_be_labelled(slots: pd.Series) -> pd.Series:
+        return pd.Series(is_set(bits.value, slots.to_numpy(np.int64)))
+
+    # The texts of few rows beside the labelled ones are moved to meet their labels, at every size in the same way.
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("doc_id is not null").filter(may_be_labelled(slot))
+    rows = texts.join(known.hint("merge"), "doc_id")
     drawn = F.xxhash64("doc_id", F.lit(5))
-    places = stage(rows.select("doc_id", "label", drawn.alias("k"), (F.coalesce(F.length("text"), F.lit(0)) > sample_chars).alias("long")), "labelled")
+    long = (F.coalesce(F.length("text"), F.lit(0)) > sample_chars).alias("long")
+    places = stage(texts.select("doc_id", long).join(known, "doc_id").withColumn("k", drawn), "labelled")
     totals = {r["label"]: r["count"] for r in places.groupBy("label").count().collect()}
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     chosen = [places.filter(F.col("label") == label).orderBy("long", "k", "doc_id").limit(per_label).select("doc_id") for label in totals]
@@ -137,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 800, sample_chars:
     if len(chosen) < 2:
         return fit_model(counts, [], [], share)
     ids = [r[0] for r in chosen[0].union(chosen[1]).distinct().collect()]  # 2 * per_label at most
-    mine = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isin(ids))
+    mine = texts.filter(F.col("doc_id").isin(ids))
     marked = known.filter(F.col("doc_id").isin(ids))
     sample = mine.join(marked, "doc_id").select(drawn.alias("k"), "label", "text").mapInPandas(_found, "k long, label int, features array<int>")
     got = sorted(((r["k"], r["label"], np.array(r["features"], np.int32)) for r in sample.toLocalIterator()), key=lambda r: (r[0], len(r[2])))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -63,3 +65,18 @@ def windows(values: np.ndarray, size: int) -> np.ndarray:
             part = part[:n] * power + part[width : width + n]
             width *= 2
             power = power * power
+
+
+def bitmap(slots: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap of 2^``bits`` bits of the numbers in the column ``slot``, by bytes: parts of 4 kB reach the driver, 2^(bits - 15) at most."""
+    one = slots.select((F.col("slot") + 1).alias("slot"))  # Spark counts positions from one
+    parts = one.groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in parts.collect():
+        out[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def is_set(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    slots = slots.astype(np.uint64)
+    return (bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
