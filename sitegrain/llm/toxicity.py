@@ -123,7 +123,7 @@ def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"k": b["k"], "label": b["label"], "features": [find.of(t) for t in b["text"]]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 800, sample_chars: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 500, sample_chars: int = 20_000) -> Model:
     """``labels(doc_id, toxic)``; learns from the ids that ``docs`` holds."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("label"))
     known = stage(known, "labels")
