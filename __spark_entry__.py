@@ -526,6 +526,15 @@ def select_page_content(spark, sf_dir):
     return found.select("page_id", "listing_pos", "data_pos", "content_id", "body", "status")
 
 
+@query("e8_split_page_content", _SQL["e8_select_page_content"])
+def split_page_content(spark, sf_dir):
+    """E8 as listings and content, joined again."""
+    site = extract.SiteConfig(listing_selectors=("a.job-link", "nav a"), data_selectors=("article h1", ".ad", "#job"))
+    found = extract.split_page_content(pages_of(spark, sf_dir), site)
+    joined = found.listings.join(found.content, "data_id")
+    return joined.select("page_id", "listing_pos", "data_pos", "content_id", "body", "status")
+
+
 @query(
     "e9_select_title_links",
     f"""with texts as (

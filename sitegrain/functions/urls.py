@@ -246,30 +246,55 @@ def _form_encode(text: Column) -> Column:
     return F.replace(encoded, F.lit("%7E"), F.lit("~"))
 
 
+def _by_escape(text: Column, plain, escape) -> Column:
+    """The parts of form-encoded text joined: ``plain`` of text without escapes, ``escape`` of an escape's two digits."""
+
+    def part(value: Column, i: Column) -> Column:
+        byte, after = F.upper(F.substr(value, F.lit(1), F.lit(2))), F.substr(value, F.lit(3))
+        return F.when(i == 0, plain(value)).otherwise(F.concat(escape(byte), plain(after)))
+
+    spaced = F.replace(text, F.lit("+"), F.lit(" "))
+    return F.when(F.contains(spaced, F.lit("%")), F.array_join(F.transform(F.split(spaced, "%"), part), "")).otherwise(plain(spaced))
+
+
+def _form_hex(text: Column) -> Column:
+    """Hexadecimal digits of the bytes that form-encoded text stands for, whether they are UTF-8 or not; they sort as the bytes do."""
+    return _by_escape(text, F.hex, lambda byte: byte)
+
+
+def _form_again(text: Column) -> Column:
+    """Form-encoded text, encoded again: bytes that need no escape lose it, and digits are upper case."""
+
+    def escape(byte: Column) -> Column:
+        code = F.conv(byte, 16, 10).cast("int")
+        return F.when(code < 128, _form_encode(F.char(code))).otherwise(F.concat(F.lit("%"), byte))
+
+    return _by_escape(text, _form_encode, escape)
+
+
 def strip_tracking_params(query: Column, ignore_params: Iterable[str] = ()) -> Column:
-    """Query string without tracking and ignored keys, sorted by key and encoded again."""
+    """Query string without tracking and ignored keys, sorted by key and encoded again, byte by byte."""
     dropped = sorted(ignored_names(ignore_params))
 
     def usable(text: Column) -> Column:
         return (text != "") & ~F.contains(text, F.lit(";")) & ~text.rlike(_BAD_ESCAPE)
 
     def kept(pair: Column) -> Column:
-        name = F.lower(pair["key"])
+        name = F.lower(F.make_valid_utf8(F.unhex(pair["key"]).cast("string")))
         return ~F.startswith(name, F.lit(TRACKING_PREFIX)) & ~name.isin(dropped)
 
     def by_key(left: Column, right: Column) -> Column:
         return F.when(left["key"] < right["key"], -1).when(left["key"] > right["key"], 1).otherwise(0)
 
-    def decoded(text: Column) -> Column:
+    def parts(text: Column) -> Column:
         at = F.instr(text, "=")
         key = F.when(at > 0, F.substr(text, F.lit(1), at - 1)).otherwise(text)
         value = F.when(at > 0, F.substr(text, at + 1)).otherwise(F.lit(""))
-        return F.struct(F.url_decode(key).alias("key"), F.url_decode(value).alias("value"))
+        return F.struct(_form_hex(key).alias("key"), F.concat(_form_again(key), F.lit("="), _form_again(value)).alias("text"))
 
-    pairs = F.transform(F.filter(F.split(query, "&"), usable), decoded)
+    pairs = F.transform(F.filter(F.split(query, "&"), usable), parts)
     pairs = F.array_sort(F.filter(pairs, kept), by_key)
-    encoded = F.transform(pairs, lambda p: F.concat(_form_encode(p["key"]), F.lit("="), _form_encode(p["value"])))
-    return F.array_join(encoded, "&")
+    return F.array_join(F.transform(pairs, lambda p: p["text"]), "&")
 
 
 def query_of(url: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from html import unescape
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +19,7 @@ from sitegrain.functions.responses import decode_records
 from sitegrain.functions.selectors import compile_selector, select
 from sitegrain.operators.links import explode_udf, page_id, readable, with_udf
 from sitegrain.schemas import DECODED_RESPONSE
+from sitegrain.session import stage
 
 
 @dataclass(frozen=True)
@@ -308,14 +310,8 @@ _CONTENT = StructType(
 )
 
 
-def select_page_content(pages: DataFrame, site: SiteConfig, url: str = "url", body: str = "html") -> DataFrame:
-    """For each listing of a page, the text of every data element, under the listing's id.
-
-    The first listing selector that matches decides which elements are the page's listings. Ids are
-    made as by L10. A page's listings and data leave Python as two arrays and are crossed by two
-    explodes of that row, as each listing shows all of the page's content: nothing is shuffled.
-    Result: the other columns, ``listing_pos, data_pos, href, page_id, body, status``.
-    """
+def _content_of(site: SiteConfig, url: str, body: str) -> Column:
+    """A page's listings and data as one struct, found in one pass."""
     dropped, prefixes = urls.ignored_names(site.ignore_params), site.root_prefixes
     listing_selectors, data_selectors = site.listing_selectors, site.data_selectors
     for selector in listing_selectors + data_selectors:
@@ -350,18 +346,34 @@ def select_page_content(pages: DataFrame, site: SiteConfig, url: str = "url", bo
             )
         return pa.array(rows, arrow_type)
 
-    others = [name for name in pages.columns if name != body]
-    found = pages.select(*others, content(readable(url), readable(body)).alias("_content"))
-    listed = found.select(*others, F.explode_outer("_content.listings").alias("_listing"), F.col("_content.data").alias("_data"))
-    identified = listed.filter("_listing is not null").select(
+    return content(readable(url), readable(body))
+
+
+def _listings(found: DataFrame, others: Sequence[str], more: Sequence[str], url: str) -> DataFrame:
+    """A row for each listing of ``_content``, with the id under which its content is stored."""
+    listed = found.select(*others, *more, F.explode_outer("_content.listings").alias("_listing"))
+    return listed.filter("_listing is not null").select(
         *others,
-        "_data",
+        *more,
         F.col("_listing.listing_pos").alias("listing_pos"),
         F.col("_listing.href").alias("href"),
         page_id(
             F.col(url), F.col("_listing.href"), F.col("_listing.canonical"), [F.col("_listing.listing_pos")]
         ).alias("page_id" if "page_id" not in others else "content_id"),
     )
+
+
+def select_page_content(pages: DataFrame, site: SiteConfig, url: str = "url", body: str = "html") -> DataFrame:
+    """For each listing of a page, the text of every data element, under the listing's id.
+
+    The first listing selector that matches decides which elements are the page's listings. Ids are
+    made as by L10. A page's listings and data leave Python as two arrays and are crossed by two
+    explodes of that row, as each listing shows all of the page's content: nothing is shuffled.
+    Result: the other columns, ``listing_pos, data_pos, href, page_id, body, status``.
+    """
+    others = [name for name in pages.columns if name != body]
+    found = pages.select(*others, _content_of(site, url, body).alias("_content"))
+    identified = _listings(found.withColumn("_data", F.col("_content.data")), others, ["_data"], url)
     kept = [name for name in identified.columns if name != "_data"]
     return identified.select(*kept, F.explode_outer("_data").alias("_item")).select(
         *kept,
@@ -371,6 +383,28 @@ def select_page_content(pages: DataFrame, site: SiteConfig, url: str = "url", bo
     )
 
 
+class PageContent(NamedTuple):
+    listings: DataFrame
+    content: DataFrame
+
+
+def split_page_content(pages: DataFrame, site: SiteConfig, url: str = "url", body: str = "html") -> PageContent:
+    """E8 as two related tables, so that a page's text is stored once and not once for each listing.
+
+    ``listings`` has the other columns, ``listing_pos, href, page_id, status`` and ``data_id``; ``content`` has ``data_id, data_pos,
+    body``, once for each different content. Joined on ``data_id`` they give the rows of ``select_page_content``. Both come from one staged
+    pass over the pages and are together no longer than these.
+    """
+    others = [name for name in pages.columns if name != body]
+    found = pages.select(*others, F.explode_outer(F.array(_content_of(site, url, body))).alias("_content"))
+    texts = F.transform("_content.data", lambda item: F.concat(F.length(item["body"]).cast("string"), F.lit(":"), item["body"]))
+    found = stage(found.withColumn("data_id", F.sha2(F.array_join(texts, ""), 256)), "page-content")
+    listings = _listings(found, others, ["data_id"], url).withColumn("status", F.lit(200))
+    some = found.filter(F.size("_content.listings") > 0).select("data_id", F.col("_content.data").alias("_data"))
+    content = some.dropDuplicates(["data_id"]).select("data_id", F.explode("_data").alias("_item"))
+    return PageContent(listings, content.select("data_id", "_item.data_pos", "_item.body"))
+
+
 def select_title_links(pages: DataFrame, selector: str = TITLE_LINK, url: str = "url", body: str = "html") -> DataFrame:
     """One row per title link: the page's URL and the link's text."""
     compile_selector(selector)

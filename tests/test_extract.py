@@ -167,3 +167,16 @@ def test_title_links(spark):
 def test_extract_with(spark):
     got = extract.extract_with(page_frame(spark, "abc", ""), count_letters, "url string, n long")
     assert rows(got) == [("https://h/0", 3), ("https://h/1", 0)]
+
+
+def test_listings_and_content_apart_store_each_text_once(spark):
+    page = "<a class=j href='/1'>1</a><a class=j href='/2'>2</a><a class=j href='/3'>3</a><div id=d>first</div><div id=d>second</div>"
+    data = [("https://h/a", page, 1), ("https://h/b", page, 2), ("https://h/c", "<a class=j href='/4'>", 3), ("https://h/d", None, 4), ("https://h/e", page.replace("first", "x" * 50_000), 5)]
+    pages = spark.createDataFrame(data, "url string, html string, page_id int")
+    site = extract.SiteConfig(("a.j",), ("#d",))
+    apart = extract.split_page_content(pages, site)
+    assert apart.listings.columns == ["url", "page_id", "data_id", "listing_pos", "href", "content_id", "status"]
+    assert apart.content.columns == ["data_id", "data_pos", "body"] and apart.content.count() == 4 and apart.listings.count() == 9
+    whole = extract.select_page_content(pages, site)
+    assert rows(apart.listings.join(apart.content, "data_id").select(*whole.columns)) == rows(whole)
+    assert sum(len(r.body) for r in apart.content.collect()) < 50_100 < sum(len(r.body) for r in whole.collect()) / 2
