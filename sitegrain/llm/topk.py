@@ -5,8 +5,8 @@ a batch of queries the slices of a component's multiples are made by adding shif
 into the slices of the scores. The top rows are picked from the most significant slice downward; of the rows at the boundary,
 equal in all slices, the least ids are taken.
 
-Blocks are searched in rounds, each sixteen times as many as before. A query brings the score it has to beat from the rounds
-before: of a block only rows that reach it come out, and a block whose greatest and least components can't reach it is not scored. So a
+Blocks are searched in rounds, each sixteen times as many as before. A query brings the last of its best rows from the rounds
+before: of a block only rows that go before it come out, and a block whose greatest and least components can't reach it is not scored. So a
 query has few candidates however many blocks there are, and none is lost.
 
 Vectors that are null or hold null or non-finite components take no part. Vectors meet those of their own length only. Rows that repeat
@@ -29,7 +29,7 @@ from sitegrain.session import stage
 ROWS, QUERIES, TOGETHER, STEP = 16_384, 512, 32, 16
 _NONE = -(1 << 63)
 _BLOCK = "part int, dim int, rows int, ids binary, bits int, slices binary, least binary, most binary"
-_ASKED = "dim int, q_ids binary, q binary, beat binary"
+_ASKED = "dim int, q_ids binary, q binary, beat binary, beat_id binary"
 
 
 def slices(values: np.ndarray, bits: int) -> np.ndarray:
@@ -141,13 +141,13 @@ def _askers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: dict[int, list] = {}
 
     def block(dim: int, rows: list) -> pd.DataFrame:
-        ids, beat = (np.array([r[i] for r in rows], np.int64) for i in (0, 2))
-        return pd.DataFrame([(dim, ids.tobytes(), np.stack([r[1] for r in rows]).tobytes(), beat.tobytes())], columns=["dim", "q_ids", "q", "beat"])
+        ids, beat, beat_id = (np.array([r[i] for r in rows], np.int64).tobytes() for i in (0, 2, 3))
+        return pd.DataFrame([(dim, ids, np.stack([r[1] for r in rows]).tobytes(), beat, beat_id)], columns=["dim", "q_ids", "q", "beat", "beat_id"])
 
     for b in batches:
-        for q_id, v, beat in zip(b["query_id"], b["v"], b["beat"]):
+        for q_id, v, beat, beat_id in zip(b["query_id"], b["v"], b["beat"], b["beat_id"]):
             rows = held.setdefault(len(v), [])
-            rows.append((q_id, np.asarray(v, np.int64), beat))
+            rows.append((q_id, np.asarray(v, np.int64), beat, beat_id))
             if len(rows) == QUERIES:
                 yield block(len(v), held.pop(len(v)))
     for dim, rows in held.items():
@@ -160,7 +160,7 @@ def _search_block(k: int):
             for r in b.itertuples():
                 ids, (least, most) = np.frombuffer(r.ids, np.int64), (np.frombuffer(x, np.int64) for x in (r.least, r.most))
                 index = np.frombuffer(r.slices, np.uint64).reshape(r.dim, r.bits, -(-r.rows // 64))
-                q_ids, beat = (np.frombuffer(x, np.int64) for x in (r.q_ids, r.beat))
+                q_ids, beat, beat_id = (np.frombuffer(x, np.int64) for x in (r.q_ids, r.beat, r.beat_id))
                 q = np.frombuffer(r.q, np.int64).reshape(len(q_ids), r.dim)
                 may = np.flatnonzero(np.maximum(q * least, q * most).sum(axis=1) >= beat)
                 every, out = slices(np.ones(r.rows, np.int64), 1)[0], []
@@ -178,7 +178,8 @@ def _search_block(k: int):
                         sums = np.ascontiguousarray(total[:, j])
                         rows = top(sums, ids, k, live)
                         got = values(sums, rows) + more[j]
-                        rows, got = rows[got >= beat[i]], got[got >= beat[i]]
+                        better = (got > beat[i]) | (got == beat[i]) & (ids[rows] < beat_id[i])
+                        rows, got = rows[better], got[better]
                         out.append(pd.DataFrame({"query_id": np.full(len(rows), q_ids[i]), "vec_id": ids[rows], "score": got}))
                 if out:
                     yield pd.concat(out)
@@ -219,9 +220,10 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
         mine = blocks.filter(in_round(F.col("part")))
         here = mine.select("part").distinct().count()
         if here:
-            beat = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("beat"))
-            asked = queries.join(beat, "query_id", "left").withColumn("beat", F.coalesce("beat", F.lit(_NONE)))
-            asked = asked.repartition(batches, "query_id").mapInPandas(_askers, _ASKED)
+            last = F.when(F.count("*") >= k, F.min(F.struct("score", (-F.col("vec_id")).alias("less"))))
+            asked = queries.join(best.groupBy("query_id").agg(last.alias("last")), "query_id", "left")
+            asked = asked.withColumns({"beat": F.coalesce("last.score", F.lit(_NONE)), "beat_id": F.coalesce(-F.col("last.less"), F.lit(0))})
+            asked = asked.repartition(batches).mapInPandas(_askers, _ASKED)
             # While blocks are few, each is searched by several tasks.
             shares = max(1, -(-spark.sparkContext.defaultParallelism // here))
             wanted = F.filter(F.sequence(F.lit(0), F.lit(parts - 1)), in_round)

@@ -94,8 +94,8 @@ def test_blocks_that_cannot_reach_the_score_to_beat_are_passed_over(monkeypatch)
 
     x = np.full((10, 2), -3)
     index = np.stack([topk.slices(x[:, c], 3) for c in range(2)])
-    row = {"part": 0, "dim": 2, "rows": 10, "ids": np.arange(10).tobytes(), "bits": 3, "slices": index.tobytes(), "least": x[0].tobytes(), "most": x[0].tobytes(), "q_ids": np.array([50, 51]).tobytes(), "q": np.array([[1, 1], [-1, -1]]).tobytes(), "beat": np.array([0, 6]).tobytes()}
+    row = {"part": 0, "dim": 2, "rows": 10, "ids": np.arange(10).tobytes(), "bits": 3, "slices": index.tobytes(), "least": x[0].tobytes(), "most": x[0].tobytes(), "q_ids": np.array([50, 51]).tobytes(), "q": np.array([[1, 1], [-1, -1]]).tobytes(), "beat": np.array([0, 6]).tobytes(), "beat_id": np.array([0, 4]).tobytes()}
     asked, scored = [], topk.scores
     monkeypatch.setattr(topk, "scores", lambda index, q, *a: asked.append(q.tolist()) or scored(index, q, *a))
     (got,) = topk._search_block(20)(iter([pd.DataFrame([row])]))
-    assert asked == [[[-1, -1]]] and got["score"].tolist() == [6] * 10 and set(got["query_id"]) == {51}
+    assert asked == [[[-1, -1]]] and got["score"].tolist() == [6] * 4 and set(got["query_id"]) == {51}
