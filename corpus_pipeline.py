@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages, each over all that its predecessor kept.
 
 Language ID drops rows without a language, near-dedup keeps one row a group, decontamination drops rows that hold a benchmark item,
-personal data is replaced by its kind, and the texts left are encoded and decoded. Extra columns pass through.
+personal data is replaced by its kind, and the texts left are encoded and decoded. Columns that documents do not have are left out.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitegrain.llm import decontaminate, language, minhash, pieces, private
+from sitegrain.operators.links import PLACE, with_places
 from sitegrain.session import configure, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -16,20 +17,38 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def known_language(spark, docs, sf_dir):
     configure(spark)
-    return language.identify(docs).filter("lang_pred != 'und'").drop("held_out", "lang_pred", "score")
+    return language.identify(docs.select(*COLUMNS)).filter("lang_pred != 'und'").select(*COLUMNS)
+
+
+def _text_key():
+    """Tells texts apart whatever their rows' ids: a null or repeated id names no text."""
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return F.struct(F.xxhash64(text).alias("h"), F.crc32(text).alias("c"))
 
 
 def one_of_each_group(spark, docs, sf_dir):
-    """Rows that repeat a kept row's id and text stay one."""
+    """Of rows with the same text one stays, whatever their ids: one with an id if there is, the least. Rows without words all stay.
+
+    Rows without an id are compared by whole texts only.
+    """
     configure(spark)
     kept = stage(minhash.near_duplicates(docs, size=5).filter("kept").select("doc_id").distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    left = with_places(docs).join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *PLACE)
+    ids = stage(left.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(_text_key().alias("text"), row.alias("row")), "texts")
+    first = ids.groupBy("text").agg(F.min("row").alias("row")).select(*[F.col(f"row.{name}").alias(name) for name in PLACE])
+    repeats = ids.select(*[F.col(f"row.{name}").alias(name) for name in PLACE]).join(first, list(PLACE), "left_anti")
+    return left.join(stage(repeats, "repeats"), list(PLACE), "left_anti").select(*docs.columns)
 
 
 def without_benchmark(spark, docs, sf_dir):
+    """Rows are judged by their texts, with or without an id."""
     configure(spark)
-    found = stage(decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "leaks")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("_key", _text_key())
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = decontaminate.leaks(keyed.select(F.col("_key").alias("doc_id"), "text"), bench)
+    found = stage(leaks.select(F.col("doc_id").alias("_key")).distinct(), "leaks")
+    return keyed.join(found, "_key", "left_anti").select(*docs.columns)
 
 
 def without_personal_data(spark, docs, sf_dir):
