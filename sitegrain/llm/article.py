@@ -199,13 +199,15 @@ def extract(pages: DataFrame, share: float = 0.5) -> DataFrame:
         return pd.Series([[{"token": k, "text": t, "inside": i, "noisy": n} for k, t, i, n in blocks(p)] for p in column], dtype=object)
 
     found = rows.select("page_id", "url", "host", cut("html").alias("found"))
-    texts, tokens = F.filter("found", lambda b: b["text"].isNotNull()), F.transform("found", lambda b: b["token"])
-    parts = stage(found.select("page_id", "url", "host", F.xxhash64(tokens).alias("page"), tokens.alias("tokens"), texts.alias("blocks")), "blocks")
+    tokens, texts = F.transform("found", lambda b: b["token"]), F.filter("found", lambda b: b["text"].isNotNull())
+    clean = F.filter(texts, lambda b: ~b["noisy"])
+    article = F.filter(clean, lambda b: b["inside"])
+    # Only blocks that may be chosen are kept.
+    kept = F.transform(F.when(F.size(article) > 0, article).otherwise(clean), lambda b: F.struct(b["token"].alias("token"), b["text"].alias("text")))
+    parts = found.select("page_id", "url", "host", F.xxhash64(tokens).alias("page"), tokens.alias("tokens"), kept.alias("blocks"), (F.size(article) > 0).alias("inside"))
+    parts = stage(parts, "blocks")
     known = stage(template(parts.select("host", "page", "tokens"), share), "template")  # of known size, so that a small one is broadcast and the blocks stay in place
     both = parts.join(known, "host", "left")
-    clean = F.filter("blocks", lambda b: ~b["noisy"])
-    article = F.filter(clean, lambda b: b["inside"])
-    every = F.when(F.size(article) > 0, article).otherwise(clean)
-    own = F.filter(every, lambda b: ~F.coalesce(F.array_contains("template", b["token"]), F.lit(False)))
-    chosen = F.when((F.size(own) > 0) | (F.size(article) == 0), own).otherwise(every)
+    own = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("template", b["token"]), F.lit(False)))
+    chosen = F.when((F.size(own) > 0) | ~F.col("inside"), own).otherwise(F.col("blocks"))
     return both.select("page_id", "url", F.array_join(F.transform(chosen, lambda b: b["text"]), " ").alias("text"))
