@@ -69,7 +69,7 @@ class Coder:
     def fit(self, left: str, right: str) -> bool:
         got = self.fits.get((left, right))
         if got is None:
-            if len(self.fits) > 500_000:
+            if len(self.fits) > 250_000:
                 self.fits.clear()
             got = self.fits[left, right] = self.merged(left + right) == [left, right]
         return got
@@ -218,7 +218,7 @@ class Coder:
         for w in fresh:
             part.append(w)
             size += len(w)
-            if size > 400_000:
+            if size > 200_000:
                 self.learn(part)
                 size, part = 0, []
         if part:

@@ -20,3 +20,23 @@ def test_pipeline(spark, tmp_path):
     assert set(got) == {*range(40), 55}
     assert got[55].text == docs[-1][1].replace("me@here.example", "<EMAIL>")
     assert all(got[i].text == docs[i][1] and got[i].n_ids == len(got[i].ids) for i in range(40))
+
+
+def test_repeated_and_null_ids_and_other_columns(spark, tmp_path):
+    draw = random.Random(7)
+    say = lambda n: " ".join("".join(draw.choice(["ka", "to", "mi", "re"]) for _ in range(3)) for _ in range(n))
+    item, copy, other = say(20), say(60), say(50)
+    docs = [(i, say(60), "aa", "s", 1, "x", 2, "p") for i in range(20)]
+    docs += [(100, copy, "aa", "s", 1, "x", 2, "p")] * 2 + [(None, copy, "aa", "s", 1, "x", 2, "p")] * 2
+    docs += [(None, other, "aa", "s", 1, "x", 2, "p")] * 3
+    docs += [(None, f"{say(20)} {item}", "aa", "s", 1, "x", 2, "p"), (3, f"{item} {say(40)}", "aa", "s", 1, "x", 2, "p")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, _key int, pii string"
+    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str)
+    want = sorted([(d[0], d[1]) for d in docs[:20]] + [(100, copy), (None, other)], key=str)
+    assert got == want
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        frame = step(spark, frame, str(tmp_path))
+        assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars"]
