@@ -69,7 +69,7 @@ class Coder:
     def fit(self, left: str, right: str) -> bool:
         got = self.fits.get((left, right))
         if got is None:
-            if len(self.fits) > 250_000:
+            if len(self.fits) > 500_000:
                 self.fits.clear()
             got = self.fits[left, right] = self.merged(left + right) == [left, right]
         return got
@@ -210,7 +210,7 @@ class Coder:
         split = [None if t is None else [] if t == "" else self.split(t.replace("\0", "\0\0").replace(MARK, "\0\1")) for t in texts]
         spell = lambda s: np.array([self.bytes[b] for b in s.encode()], "<i4").tobytes()
         zero, literal = spell("\0"), spell(MARK)
-        if len(self.known) > 500_000:
+        if len(self.known) > 400_000:
             self.known.clear()
         self.known["\n"] = np.array([self.ids.get("\n", self.bytes[10])], "<i4").tobytes()
         fresh = sorted({w for s in split if s for w in s if w not in self.known and w != "\0"})
@@ -218,7 +218,7 @@ class Coder:
         for w in fresh:
             part.append(w)
             size += len(w)
-            if size > 200_000:
+            if size > 400_000:
                 self.learn(part)
                 size, part = 0, []
         if part:
