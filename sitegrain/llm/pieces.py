@@ -52,6 +52,55 @@ class Coder:
         points = np.frombuffer("".join(p.ljust(self.longest, "\0") for p in many).encode("utf-32-le"), "<u4")
         self.points, at = np.unique(points, return_inverse=True)  # code points of the pieces, and where each stands
         self.at, self.filled = at.reshape(len(many), -1), points.reshape(len(many), -1) != 0
+        self.known_pairs()
+
+    def known_pairs(self) -> None:
+        """For every piece its place in the order of merges and the two parts it is last merged from; for every two parts of a piece that place."""
+        splits = [(self.number(p[:i]), self.number(p[i:]), k, len(p)) for p, k in zip(self.ids, map(self.number, self.ids)) for i in range(1, len(p)) if (i == 1 or p[:i] in self.ids) and (i == len(p) - 1 or p[i:] in self.ids)]
+        left, right, whole, width = np.array(splits, np.int64).reshape(-1, 4).T
+        self.numbered = len(self.names)
+        _, order = np.unique([-self.scores.get(n, 0.0) for n in self.names], return_inverse=True)
+        # One number more stands for all characters that come later; they are in no piece.
+        self.order = np.where(np.array([*self.widths, 1]) > 1, np.append(order, -1), -1)
+        self.first, self.second = np.full((2, self.numbered + 1), -1, np.int64)
+        self.made = self.order < 0
+        keys = left << 32 | right
+        by_key = np.argsort(keys)
+        self.pairs, self.pair_order = np.append(-1, keys[by_key]), np.append(-1, self.order[whole[by_key]])  # no pair is -1
+        for size in range(2, self.longest + 1):
+            at = np.flatnonzero(width == size)
+            at = at[self.apart(left[at], right[at], True)]
+            self.first[whole[at]], self.second[whole[at]], self.made[whole[at]] = left[at], right[at], True
+        # Learnt pieces are merged from parts of an earlier place. Others, such as runs of marks that all have one score, go by ``fit``.
+        self.learnt, widths = self.order < 0, np.array([*self.widths, 1])
+        for size in range(2, self.longest + 1):
+            own = np.flatnonzero((widths == size) & (self.first >= 0))
+            a, b = self.first[own], self.second[own]
+            self.learnt[own] = self.learnt[a] & self.learnt[b] & (np.maximum(self.order[a], self.order[b]) < self.order[own])
+
+    def apart(self, left: np.ndarray, right: np.ndarray, parts: bool = False) -> np.ndarray:
+        """``fit`` for arrays: merges on both sides are undone, the latest first, and no pair over the edge may have come before one of them.
+
+        With ``parts`` the pair itself may be a piece.
+        """
+        left, right = np.minimum(left, self.numbered), np.minimum(right, self.numbered)
+        never = np.iinfo(np.int64).max
+        ok = self.made[left] & self.made[right]
+        live = np.flatnonzero(ok)
+        limit = np.full(len(left), -1 if parts else never)
+        while len(live):
+            a, b = left[live], right[live]
+            key = a << 32 | b
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            early = (self.pairs[at] == key) & (self.pair_order[at] < limit[live])
+            ok[live[early]] = False
+            go = ~early & ((self.order[a] >= 0) | (self.order[b] >= 0))
+            live, a, b = live[go], a[go], b[go]
+            # Of equal merges the one further left comes first.
+            undo = self.order[a] > self.order[b]
+            limit[live] = np.where(undo, self.order[a], self.order[b] + 1)
+            left[live[undo]], right[live[~undo]] = self.second[a[undo]], self.first[b[~undo]]
+        return ok
 
     def merged(self, text: str) -> list[str]:
         parts, score, none = list(text), self.scores.get, -np.inf
@@ -69,7 +118,7 @@ class Coder:
     def fit(self, left: str, right: str) -> bool:
         got = self.fits.get((left, right))
         if got is None:
-            if len(self.fits) > 500_000:
+            if len(self.fits) > 50_000:
                 self.fits.clear()
             got = self.fits[left, right] = self.merged(left + right) == [left, right]
         return got
@@ -147,10 +196,10 @@ class Coder:
         ok[hit] |= self.fitted[slot[hit]]
         rest = np.flatnonzero(~hit & ~ok)
         if len(rest):
-            new, back = np.unique(keys[rest], return_inverse=True)
-            names = self.names
-            got = np.array([self.fit(names[k >> 32], names[k & 0xFFFFFFFF]) for k in new.tolist()], bool)
-            ok[rest] = got[back]
+            learnt = self.learnt[np.minimum(left[rest], self.numbered)] & self.learnt[np.minimum(right[rest], self.numbered)]
+            ok[rest[learnt]] = self.apart(left[rest[learnt]], right[rest[learnt]])
+            for i in rest[~learnt].tolist():
+                ok[i] = self.fit(self.names[left[i]], self.names[right[i]])
             self.tried[slot[rest]], self.fitted[slot[rest]] = keys[rest], ok[rest]
             clash = self.tried[slot[rest]] != keys[rest]  # two new pairs in one slot: the last one written stays
             self.fitted[slot[rest[~clash]]] = ok[rest[~clash]]

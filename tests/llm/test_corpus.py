@@ -169,6 +169,20 @@ def test_pieces_equal_the_library_and_round_trip(spark):
             assert r.ids == model.encode(r.text), r.text
 
 
+def test_pairs_of_pieces_fit_as_merging_says():
+    coder = pieces.coder(pieces.VOCABULARY)
+    draw = np.random.default_rng(5)
+    short = np.array([k for k in range(coder.numbered) if coder.widths[k] <= 3 and coder.learnt[k]])
+    of_pieces = coder.pairs[1:][:: len(coder.pairs) // 3000]
+    left = np.concatenate([draw.integers(0, coder.numbered, 4000), draw.choice(short, 8000), of_pieces >> 32, draw.permutation(of_pieces >> 32), [len(coder.names) + 5]])
+    right = np.concatenate([draw.integers(0, coder.numbered, 4000), draw.choice(short, 8000), *[of_pieces & 0xFFFFFFFF] * 2, [short[0]]])
+    both = coder.learnt[np.minimum(left, coder.numbered)] & coder.learnt[np.minimum(right, coder.numbered)]
+    left, right = left[both], right[both]
+    assert both.mean() > 0.9 and coder.apart(left, right)[-1]
+    names = [(coder.names[a], coder.names[b]) for a, b in zip(left[:-1].tolist(), right[:-1].tolist())]
+    assert coder.apart(left, right)[:-1].tolist() == [coder.merged(a + b) == [a, b] for a, b in names]
+
+
 def test_shards_hold_every_row_once(docs):
     got = shards.shuffled(docs, 7, bucket_bytes=2000).toPandas()
     assert len(got) == docs.count()
