@@ -184,11 +184,52 @@ def test_pairs_of_pieces_fit_as_merging_says():
 
 
 def test_shards_hold_every_row_once(docs):
-    got = shards.shuffled(docs, 7, bucket_bytes=2000).toPandas()
-    assert len(got) == docs.count()
+    more = docs.withColumn("_salt", F.lit("mine")).withColumn("_bucket", F.lit(None).cast("int")).withColumn("_slot", F.lit("gone"))
+    frame = shards.shuffled(more, 7, bucket_bytes=2000)
+    assert frame.columns == [*DOCS.replace(" long", "").replace(" string", "").split(", "), "_salt", "_bucket", "_size", "_shard", "_slot"]
+    got = frame.toPandas()
+    assert sorted(map(str, zip(got["doc_id"].fillna(-1).astype(int), got["text"], got["_salt"]))) == sorted(str((-1 if r.doc_id is None else r.doc_id, r.text, "mine")) for r in docs.collect())
+    assert [r["_size"] for _, r in got.iterrows()] == [16 + len((t or "").encode()) for t in got["text"]]
     assert got.groupby("_shard")["_slot"].apply(lambda s: sorted(s) == list(range(len(s)))).all()
     counts = got.groupby("_shard").size()
-    assert counts.max() - counts.min() <= 1
+    assert counts.max() - counts.min() <= 1 and len(counts) == 7
+
+
+def test_shards_of_copies_few_rows_and_none(spark):
+    for n in (0, 1, 3, 500):
+        same = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.lit("copy").alias("text"))
+        got = shards.shuffled(same, 4, bucket_bytes=100).toPandas()
+        assert len(got) == n and got.groupby("_shard").size().tolist() == [c for c in (n // 4 + (k < n % 4) for k in range(4)) if c]
+        assert all(sorted(s) == list(range(len(s))) for _, s in got.groupby("_shard")["_slot"])
+
+
+def test_shards_do_not_depend_on_splits_and_are_written_in_order(spark, docs, tmp_path):
+    docs.coalesce(1).write.parquet(str(tmp_path / "docs"))
+    table = spark.read.parquet(str(tmp_path / "docs"))
+    first = shards.shuffled(table, 5, bucket_bytes=2000)
+    want = sorted(first.collect(), key=str)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        assert sorted(shards.shuffled(table, 5, bucket_bytes=2000).collect(), key=str) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(shards.shuffled(table, 5, seed=2, bucket_bytes=2000).collect(), key=str) != want
+    shards.write(first, str(tmp_path / "out"))
+    for k in range(5):
+        for file in (tmp_path / "out" / f"_shard={k}").glob("*.parquet"):
+            slots = [r._slot for r in spark.read.parquet(str(file)).collect()]
+            assert slots == sorted(slots)
+    assert sorted(spark.read.parquet(str(tmp_path / "out")).select(first.columns).collect(), key=str) == want
+
+
+def test_places_are_uniform(spark):
+    """Each of 300 rows comes to each tenth of the sequence about as often as the others."""
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    seen = np.zeros((10, 10))
+    for seed in range(3):
+        for r in shards.shuffled(rows, 10, seed, bucket_bytes=1000).collect():
+            seen[r.doc_id // 30, r._shard] += 1
+    assert ((seen - 9) ** 2 / 9).sum() < 140  # chi square, 81 degrees
 
 
 def test_search_equals_brute_force(spark):
