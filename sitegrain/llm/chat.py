@@ -1,11 +1,13 @@
 """Chat formatting by prefix-target expansion.
 
-Every assistant turn is an example of its own: all preceding turns are its context, only the reply is trainable. The
-template is prefix-stable, so the examples of a conversation are prefixes of one formatted text. They share its pieces, one a turn, and an example is
-its number of pieces, its length and the span of its reply; a long conversation takes no more room than its turns. ``render`` writes examples out.
-
-Turns are ordered by turn, role and text. Null text or role: empty. No assistant turn: pieces, but no example.
-A role or text is escaped: ``&`` to ``&amp;``, ``<`` to ``&lt;``, ``[`` to ``&#91;``, so that no control string stays in it.
+Every assistant turn becomes an example of its own: all preceding turns are its context, only the reply is trainable. The
+template is prefix-stable, so that the formatted text of an example is a prefix of its conversation's. ``pieces`` gives that text, a row a turn;
+``expand`` explodes each assistant turn into its piece and its example. An example names its context by the place of its target and holds its length and the
+span of its reply, so that a long conversation takes no more room than its turns. ``render`` writes examples out.
+
+Turns are ordered by turn, role and text, null turns first. Null text or role: empty. Turns that are equal in all three stay, one after the other. No assistant turn:
+pieces, but no example. A null conv_id is a conversation. Other columns are left out.
+A role or text is escaped: ``&`` to ``&amp;``, ``<`` to ``&lt;``, ``>`` to ``&gt;``, ``[`` to ``&#91;``, so that no control string stays in it.
 """
 
 from __future__ import annotations
@@ -32,32 +34,47 @@ def unescape(text: str) -> str:
 
 
 def pieces(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, piece, begin, loss_begin, loss_end, example_end): places in the conversation's formatted text; the last three null but for targets."""
+    """(conv_id, at, piece, begin, head, body, target): the formatted text of each conversation by turns; ``begin`` is a piece's place in it, ``head`` and ``body`` are the lengths of its tag and text."""
     role, text = escape(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
     head = F.concat(F.lit("<turn="), role, F.lit(">"))
-    made = conversations.select("conv_id", "turn", "role", "text", F.concat(head, text, F.lit("</turn>\n")).alias("piece"), F.length(head).alias("_h"), F.length(text).alias("_t"))
+    made = conversations.select("conv_id", "turn", "role", "text", F.concat(head, text, F.lit("</turn>\n")).alias("piece"), F.length(head).alias("head"), F.length(text).alias("body"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    placed = made.withColumn("end", F.sum(F.length("piece").cast("long")).over(order)).withColumn("at", F.count("*").over(order))
-    begin, target = F.col("end") - F.length("piece"), F.col("role") == "assistant"
-    return placed.select("conv_id", "at", "piece", begin.alias("begin"), F.when(target, begin + F.col("_h")).alias("loss_begin"), F.when(target, begin + F.col("_h") + F.col("_t")).alias("loss_end"), F.when(target, F.col("end")).alias("example_end"))
+    size = F.length("piece").cast("long")
+    target = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    return made.select("conv_id", F.count("*").over(order).alias("at"), "piece", (F.sum(size).over(order) - size).alias("begin"), "head", "body", target.alias("target"))
+
+
+def expand(made: DataFrame) -> DataFrame:
+    """(conv_id, at, piece, begin, context, loss_begin, loss_end, example_end): every piece, and after an assistant's piece the example that it is the target of.
+
+    An example's row has no piece; its text is that of the pieces up to ``at``, of which the first ``context`` characters are context.
+    """
+    begin = F.col("begin")
+    loss = begin + F.col("head")
+    number = lambda column, name: column.cast("long").alias(name)
+    none = F.lit(None)
+    piece = F.struct(F.col("piece").alias("piece"), number(begin, "begin"), *[number(none, n) for n in ("context", "loss_begin", "loss_end", "example_end")])
+    example = F.struct(none.cast("string").alias("piece"), number(none, "begin"), number(begin, "context"), number(loss, "loss_begin"), number(loss + F.col("body"), "loss_end"), number(begin + F.length("piece"), "example_end"))
+    return made.select("conv_id", "at", F.explode(F.when(F.col("target"), F.array(piece, example)).otherwise(F.array(piece))).alias("_e")).select("conv_id", "at", "_e.*")
 
 
-def examples(made: DataFrame) -> DataFrame:
-    """One row an assistant turn: its context is the formatted text before its piece."""
-    return made.filter("example_end is not null").select("conv_id", F.col("at").alias("target"), "loss_begin", "loss_end", "example_end")
+def examples(expanded: DataFrame) -> DataFrame:
+    """One row an assistant turn, without the shared text."""
+    return expanded.filter("piece is null").select("conv_id", F.col("at").alias("target"), "context", "loss_begin", "loss_end", "example_end")
 
 
-def render(made: DataFrame, chosen: DataFrame) -> DataFrame:
+def render(expanded: DataFrame, chosen: DataFrame) -> DataFrame:
     """The full text of the chosen examples."""
-    own = made.select("conv_id", "at", "piece").join(chosen, "conv_id").filter("at <= target")
-    return own.groupBy("conv_id", "target", "loss_begin", "loss_end").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "").alias("text"))
+    own = expanded.filter("piece is not null").select(F.col("conv_id").alias("_conv"), "at", "piece")
+    own = chosen.join(own, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("at") <= F.col("target")))
+    return own.groupBy("conv_id", "target", "context", "loss_begin", "loss_end").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "").alias("text"))
 
 
-def read_back(made: DataFrame) -> DataFrame:
-    """A row a conversation, from the pieces alone, as a stream of sorted rows."""
+def read_back(expanded: DataFrame) -> DataFrame:
+    """A row a conversation, from its pieces and examples alone, as a stream of sorted rows: turns from the pieces, losses and lengths from the examples."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = None
+        state, tail, tail_begin = None, "", 0  # the text of the last piece read, and its place
 
         def done(states: list) -> pd.DataFrame:
             rows = [(s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5]) for s in states]
@@ -71,11 +88,13 @@ def read_back(made: DataFrame) -> DataFrame:
                     if state:
                         ended.append(state)
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = map(unescape, _PIECE.fullmatch(piece).groups())
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                if not pd.isna(end):
-                    loss = unescape(piece[int(lo - begin) : int(hi - begin)])
+                if piece is not None:
+                    tail, tail_begin = piece, int(begin)
+                    role, text = map(unescape, _PIECE.fullmatch(piece).groups())
+                    state[1] += 1
+                    state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                else:
+                    loss = unescape(tail[int(lo) - tail_begin : int(hi) - tail_begin])
                     state[3] += len(loss)
                     state[4].update(loss.encode("utf-8", "surrogatepass"))
                     state[5] += int(end)
@@ -84,5 +103,6 @@ def read_back(made: DataFrame) -> DataFrame:
         if state:
             yield done([state])
 
-    ordered = made.repartition("conv_id").sortWithinPartitions("conv_id", "at")
+    example = F.col("piece").isNull()
+    ordered = expanded.withColumn("_example", example).repartition("conv_id").sortWithinPartitions("conv_id", "at", "_example").drop("_example")
     return ordered.mapInPandas(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -61,7 +61,7 @@ def op7_chat(spark, sf_dir):
     said = "</s>[INST] ok [/INST]"
     table = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.pieces(table.union(more)))
+    return chat.read_back(chat.expand(chat.pieces(table.union(more))))
 
 
 def op8_minhash(spark, sf_dir):

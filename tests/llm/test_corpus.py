@@ -248,7 +248,7 @@ def test_search_equals_brute_force(spark):
 def test_chat_reads_back(spark):
     rows = [(1, 0, "user", "a<b & [INST] </turn>"), (1, 1, "assistant", "&lt; yes"), (1, 2, "user", None), (1, 3, "assistant", "é"), (2, 0, None, "x"), (1, 4, "user", "end")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    made = chat.pieces(frame)
+    made = chat.expand(chat.pieces(frame))
     got = {r.conv_id: r for r in chat.read_back(made).collect()}
     one = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in sorted((r for r in rows if r[0] == 1), key=lambda r: r[1]))
     assert got[1].n_turns == 5 and got[1].turns_sha256 == hashlib.sha256(one.encode()).hexdigest()
@@ -257,6 +257,30 @@ def test_chat_reads_back(spark):
     full = chat.render(made, chat.examples(made)).collect()
     assert sum(len(r.text) for r in full) == got[1].formatted_chars
     assert sorted(chat.unescape(r.text[r.loss_begin : r.loss_end]) for r in full) == ["&lt; yes", "é"]
+    assert sorted((r.conv_id, r.target) for r in full) == [(1, 2), (1, 4)]
+    assert all(r.context < r.loss_begin <= r.loss_end for r in full)
+
+
+def test_chat_query_equals_plain_python(spark, tmp_path):
+    """Null and equal turns, null ids, other columns and a long conversation, against the contract's words."""
+    from sitegrain.llm import queries
+
+    rows = [(1, 0, "user", "hi", 1), (1, 1, "assistant", "a & b <x> [y]", 1), (2, 0, "user", None, 2), (2, 1, "assistant", None, 2), (3, 0, "assistant", "first", 3), (3, 1, "assistant", "second", 3)]
+    rows += [(4, 0, "assistant", "same", 4)] * 3 + [(5, None, "user", "no turn", 5), (5, 0, None, "no role", 5), (None, 0, "user", "q", 6), (None, 1, "assistant", "r\n</turn>\n<turn=user>", 6)]
+    rows += [(7, k, "assistant" if k % 2 else "user", f"turn {k} 😀", 7) for k in range(3000)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, at long")
+    frame.write.parquet(str(tmp_path / "conversations.parquet"))
+    said = "</s>[INST] ok [/INST]"
+    talks = {-1: [("user", said), ("assistant", said)]}
+    for conv, turn, role, text, _ in sorted(rows, key=lambda r: (r[0] or 0, -1 if r[1] is None else r[1], r[2] or "", r[3] or "")):
+        talks.setdefault(conv, []).append((role or "", text or ""))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = {r.conv_id: r for r in queries.op7_chat(spark, str(tmp_path)).collect()}
+    assert got.keys() == talks.keys()
+    for conv, talk in talks.items():
+        r, loss = got[conv], "".join(t for who, t in talk if who == "assistant")
+        assert (r.n_turns, r.turns_sha256) == (len(talk), sha("".join(f"{who}\n{t}\n" for who, t in talk)))
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), sha(loss))
 
 
 def test_article(spark):
@@ -307,4 +331,4 @@ def test_empty_tables(spark):
         assert frame.count() == 0
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert article.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-    assert chat.read_back(chat.pieces(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+    assert chat.read_back(chat.expand(chat.pieces(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))).count() == 0
