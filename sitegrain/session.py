@@ -65,15 +65,16 @@ def staging_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/sitegrain/{spark.sparkContext.applicationId}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the staging folder and read it back.
 
     This cuts the lineage, computes costly columns once, survives lost executors and
     gives the planner true sizes, by which it chooses or refuses broadcast joins.
+    ``codec`` is a Parquet codec other than the session's, such as ``zstd`` for long texts.
     """
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
