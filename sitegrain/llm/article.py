@@ -205,7 +205,7 @@ def extract(pages: DataFrame, share: float = 0.5) -> DataFrame:
     # Only blocks that may be chosen are kept.
     kept = F.transform(F.when(F.size(article) > 0, article).otherwise(clean), lambda b: F.struct(b["token"].alias("token"), b["text"].alias("text")))
     parts = found.select("page_id", "url", "host", F.xxhash64(tokens).alias("page"), tokens.alias("tokens"), kept.alias("blocks"), (F.size(article) > 0).alias("inside"))
-    parts = stage(parts, "blocks")
+    parts = stage(parts, "blocks", "zstd")
     known = stage(template(parts.select("host", "page", "tokens"), share), "template")  # of known size, so that a small one is broadcast and the blocks stay in place
     both = parts.join(known, "host", "left")
     own = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("template", b["token"]), F.lit(False)))
