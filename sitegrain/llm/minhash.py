@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.llm.words import fingerprints, mix, windows, words
-from sitegrain.session import stage
+from sitegrain.operators.links import PLACE, rows_at, with_places
+from sitegrain.session import fits_broadcast, stage
 
 SLOTS, ROWS = 128, 4
 COUNTERS = 1 << 16  # of shingles, by their first 16 bits: half a megabyte, whatever the input
@@ -58,7 +59,8 @@ def _many(elements: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """One row a document: id, set size, key of the whole set, key of each band, signature."""
+    """One row a document: id, set size, key of the whole set, key of each band, signature, and its other columns but the text."""
+    others = [name for name in docs.columns if name not in ("doc_id", "text")]
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(ROWS)], np.uint64)
@@ -74,21 +76,20 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     bits = low.view(np.uint64).reshape(-1, ROWS)
                     bands = mix((mix(bits) * powers).sum(1) + np.arange(len(bits), dtype=np.uint64)).view(np.int64)
                     whole = f"{len(s)}:{int(s.sum()):x}:{int(mix(s).sum()):x}"
-                out.append((doc, len(s), whole, bands, low.astype(np.float32).tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "whole", "bands", "sig"])
+                out.append((doc, len(s), whole, bands, low.astype(np.float32)))
+            made = pd.DataFrame(out, columns=["doc_id", "n_shingles", "whole", "bands", "sig"])
+            yield made.assign(**{name: list(b[name]) for name in others})
 
-    return docs.mapInPandas(sketch, "doc_id long, n_shingles long, whole string, bands array<long>, sig binary")
+    kinds = "".join(f", {name} {kind}" for name, kind in docs.dtypes if name in others)
+    return docs.mapInPandas(sketch, f"doc_id long, n_shingles long, whole string, bands array<long>, sig array<float>{kinds}")
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     """Pairs whose signatures agree in enough slots; the bound leaves six standard deviations below the threshold."""
 
-    @F.pandas_udf("double")
-    def agree(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([float((np.frombuffer(a, np.float32) == np.frombuffer(b, np.float32)).mean()) for a, b in zip(x, y)], dtype=float)
-
     both = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("_x")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("_y")), "b")
-    return both.filter(agree("_x", "_y") >= least).select("a", "b")
+    agree = F.size(F.filter(F.zip_with("_x", "_y", lambda x, y: x == y), lambda same: same))
+    return both.filter(agree >= least * SLOTS).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -108,6 +109,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return both.filter(linked("_s", "_t")).select("a", "b")
 
 
+def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Staged pairs that are links. While the documents they name are few enough to broadcast, signatures and texts of these alone move."""
+    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "named")
+    if fits_broadcast(ids):
+        sigs, texts = (rows.join(ids, "doc_id", "left_semi") for rows in (sigs, texts))
+    likely = stage(_likely(pairs, sigs, percent / 100 - 0.21), "likely")
+    return stage(_verified(likely, texts, size, percent), "links")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root): the least vertex each one reaches. Labels travel along edges and are then shortened, until they stay."""
     both = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select(F.col("b").alias("v"), F.col("a").alias("w")))
@@ -123,6 +133,17 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("v", "root")
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` after more links: only components that they join are labelled anew."""
+    of = lambda v, to: roots.withColumnsRenamed({"v": v, "root": to})
+    ends = links.join(of("a", "_p"), "a", "left").join(of("b", "_q"), "b", "left")
+    ends = ends.select(F.coalesce("_p", "a").alias("a"), F.coalesce("_q", "b").alias("b"))
+    new = stage(components(ends.distinct()), "joined")
+    old = roots.join(new.select(F.col("v").alias("root"), F.col("root").alias("_up")), "root", "left")
+    fresh = new.join(roots.select("v"), "v", "left_anti")
+    return stage(old.select("v", F.coalesce("_up", "root").alias("root")).union(fresh.select("v", "root")), "labels")
+
+
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     """(band, doc_id, root, _n) of the bands whose members are in several components."""
     rest = members.join(roots.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
@@ -187,19 +208,23 @@ def _rare_pairs(members: DataFrame, docs: DataFrame, size: int, percent: int) ->
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, crowd: int = 64, hubs: int = 3) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``; a null id keeps to itself."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``; a null id keeps to itself.
+
+    Of rows with one id, one stands for it in comparisons. Signatures and texts are picked by the rows' places and do not move for it.
+    """
+    docs = with_places(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *PLACE)
     sigs = stage(signatures(docs, size), "signatures")
-    heads = stage(sigs.filter("whole is not null and doc_id is not null").groupBy("whole").agg(F.min("doc_id").alias("head")), "heads")
-    own = stage(sigs.join(heads.select(F.col("head").alias("doc_id"), "whole"), ["doc_id", "whole"]).dropDuplicates(["doc_id"]), "classes")
-    bands = own.select("doc_id", F.explode("bands").alias("band"))
+    first = sigs.filter("whole is not null and doc_id is not null").groupBy("whole").agg(F.min(F.struct("doc_id", *PLACE)).alias("_row"))
+    heads = stage(first.select("whole", F.col("_row.doc_id").alias("head"), F.struct(*[f"_row.{name}" for name in PLACE]).alias("_at")), "heads")
+    own = stage(heads.groupBy(F.col("head").alias("doc_id")).agg(F.min("_at").alias("_at")).select("doc_id", "_at.*"), "classes")
+    bands = rows_at(sigs, own).select("doc_id", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("_m")).filter("b != _m").select("band", "b")
     members = stage(bands.join(shared, "band"), "bands")
-    texts = docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = stage(texts, "texts")
-    star = members.filter("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct()
-    edges = stage(_verified(_likely(star, own, percent / 100 - 0.21), texts, size, percent), "links")
-    roots = components(edges)
+    inside = stage(own.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select(*PLACE), "inside")
+    texts = stage(rows_at(docs, inside).select("doc_id", "text"), "texts")
+    sketches = stage(rows_at(sigs, inside).select("doc_id", "sig"), "sketches")
+    star = stage(members.filter("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct(), "star")
+    roots = components(_links(star, sketches, texts, size, percent))
     tried = star
     for turn in range(1, hubs + 1):
         # Another member of each larger band that still holds several components is its hub, the same one in many bands.
@@ -211,10 +236,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, crowd: in
         if pairs.isEmpty():
             break
         tried = stage(tried.union(pairs), "tried")
-        more = stage(_verified(_likely(pairs, own, percent / 100 - 0.21), texts, size, percent), "links")
+        more = _links(pairs, sketches, texts, size, percent)
         if not more.isEmpty():
-            edges = stage(edges.union(more), "links")
-            roots = components(edges)
+            roots = _joined(roots, more)
     rest = _mixed(members, roots)
     few = rest.filter(F.col("_n") <= crowd).select("band", "doc_id", "root")
     x, y = few.select("band", F.col("doc_id").alias("a"), F.col("root").alias("_p")), few.select("band", F.col("doc_id").alias("b"), F.col("root").alias("_q"))
@@ -224,8 +248,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, crowd: in
         close = close.union(_rare_pairs(many, texts, size, percent))
     pairs = stage(close.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
-        more = stage(_verified(_likely(pairs, own, percent / 100 - 0.21), texts, size, percent), "links")
-        roots = components(edges.union(more))
+        more = _links(pairs, sketches, texts, size, percent)
+        if not more.isEmpty():
+            roots = _joined(roots, more)
     by_class = heads.join(roots.withColumnRenamed("v", "head"), "head", "left").select("whole", F.coalesce("root", "head").alias("root"))
     out = sigs.select("doc_id", "n_shingles", "whole").join(by_class, "whole", "left")
     found = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("root", "doc_id"))

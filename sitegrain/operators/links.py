@@ -227,3 +227,16 @@ def with_places(rows: DataFrame) -> DataFrame:
         return rows.select("*", *place)
     except AnalysisException:  # not the rows of files
         return stage(rows, "placed").select("*", *place)
+
+
+def rows_at(placed: DataFrame, places: DataFrame, wanted: bool = True) -> DataFrame:
+    """Of rows with their places those that are listed, or are not; they stay where they lie.
+
+    The list becomes a bit for each row of a file, so that one of millions of rows is still broadcast. A row may be listed several times.
+    """
+    block, bit = F.bitmap_bucket_number(PLACE[1]), F.bitmap_bit_position(PLACE[1])
+    marks = stage(places.groupBy(PLACE[0], block.alias("_block")).agg(F.bitmap_construct_agg(bit).alias("_marks")), "marks")
+    byte = F.conv(F.hex(F.substring("_marks", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    found = placed.withColumn("_block", block).join(marks, [PLACE[0], "_block"], "left")
+    return found.filter(marked if wanted else ~marked).select(*placed.columns)

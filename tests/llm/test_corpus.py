@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitegrain.llm import article, chat, decontaminate, language, minhash, pieces, private, shards, substrings, topk
+from sitegrain.operators import links
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -94,6 +95,27 @@ def test_crowded_bands_lose_no_link(spark):
     assert got == {i: i - i % 4 for i in range(60)}
 
 
+def test_components_joined_by_more_links_and_unchanged_without(spark):
+    first, more = [(2, 1), (3, 2), (6, 5), (9, 8)], [(6, 3), (20, 9), (31, 30), (2, 1)]
+    frame = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    roots = minhash.components(frame(first))
+    got = minhash._joined(roots, frame(more))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, minhash.components(frame(first + more)).collect()))
+    assert sorted(map(tuple, minhash._joined(roots, frame([(3, 1)])).collect())) == sorted(map(tuple, roots.collect()))
+
+
+def test_rows_at_places_and_all_others(spark, tmp_path):
+    spark.range(70_000).coalesce(1).write.parquet(f"{tmp_path}/a")
+    spark.range(70_000, 70_100).repartition(3).write.parquet(f"{tmp_path}/b")
+    placed = links.with_places(spark.read.parquet(f"{tmp_path}/a", f"{tmp_path}/b"))
+    wanted = [0, 1, 7, 8, 32767, 32768, 32769, 65535, 65536, 69999, 70001, 70050]
+    listed = placed.filter(F.col("id").isin(wanted)).select(*links.PLACE)
+    for some in (listed, listed.union(listed)):
+        assert sorted(r.id for r in links.rows_at(placed, some).collect()) == wanted
+        assert sorted(r.id for r in links.rows_at(placed, some, wanted=False).collect()) == sorted(set(range(70_100)) - set(wanted))
+    assert links.rows_at(placed, listed.filter("false")).count() == 0
+
+
 PRIVATE = [
     "mail a.b+c@x-y.example.org, a@b.c_x@d.e and 1.2.3.4 or 1.2.3.999 or 1.2.3.4.5.6.7.8",
     "card 4111 1111 1111 1111 not 4111 1111 1111 1112; +49 (30) 123-4567 and +1 2 +123456789012345678",
