@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitegrain.llm import decontaminate, language, minhash, pieces, private
-from sitegrain.operators.links import PLACE, with_places
+from sitegrain.operators.links import PLACE, rows_at, with_places
 from sitegrain.session import configure, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,16 +29,19 @@ def _text_key():
 def one_of_each_group(spark, docs, sf_dir):
     """Of rows with the same text one stays, whatever their ids: one with an id if there is, the least. Rows without words all stay.
 
-    Rows without an id are compared by whole texts only.
+    Rows without an id are compared by whole texts only. Keys and places move, and texts do not.
     """
     configure(spark)
     kept = stage(minhash.near_duplicates(docs, size=5).filter("kept").select("doc_id").distinct(), "kept")
-    left = with_places(docs).join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    placed = with_places(docs)
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = stage(placed.select("doc_id", words.alias("words"), _text_key().alias("text"), *PLACE), "texts")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *PLACE)
-    ids = stage(left.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(_text_key().alias("text"), row.alias("row")), "texts")
-    first = ids.groupBy("text").agg(F.min("row").alias("row")).select(*[F.col(f"row.{name}").alias(name) for name in PLACE])
-    repeats = ids.select(*[F.col(f"row.{name}").alias(name) for name in PLACE]).join(first, list(PLACE), "left_anti")
-    return left.join(stage(repeats, "repeats"), list(PLACE), "left_anti").select(*docs.columns)
+    left = rows.join(kept, rows["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select("words", "text", row.alias("row"))
+    left = stage(left, "left")
+    first = left.filter("words").groupBy("text").agg(F.min("row").alias("row")).select("row")
+    stay = first.union(left.filter("not words").select("row"))
+    return rows_at(placed, stay.select(*[f"row.{name}" for name in PLACE])).select(*docs.columns)
 
 
 def without_benchmark(spark, docs, sf_dir):

@@ -40,3 +40,19 @@ def test_repeated_and_null_ids_and_other_columns(spark, tmp_path):
     for _, step in corpus_pipeline.STAGES[:-1]:
         frame = step(spark, frame, str(tmp_path))
         assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_near_dedup_leaves_texts_where_they_lie(spark, tmp_path):
+    draw = random.Random(9)
+    say = lambda n: " ".join("".join(draw.choice(["ka", "to", "mi", "re"]) for _ in range(3)) for _ in range(n))
+    texts = [say(6) for _ in range(3000)]
+    docs = [(draw.getrandbits(60), t, "aa", "s", 1) for t in texts + texts[:50]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")  # less than the ids that are kept
+    try:
+        kept = corpus_pipeline.one_of_each_group(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+        assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.text for r in kept.collect()) == sorted(texts)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
