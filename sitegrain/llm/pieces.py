@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -20,9 +21,18 @@ from pyspark.sql import functions as F
 VOCABULARY = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 WIDE = 128
+MANY = 400_000  # words kept from batch to batch
 _loaded: dict[str, Coder] = {}
 
 
+class Words(dict):
+    """Numbers of words, in order of their first appearance."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Coder:
     def __init__(self, path: str):
         import sentencepiece
@@ -40,7 +50,10 @@ class Coder:
                 self.ids[piece], self.scores[piece] = i, model.get_score(i)
                 self.out.append(piece.replace(MARK, " ").encode())
         self.longest = max(map(len, self.ids))
-        self.known: dict[str, bytes] = {}
+        # ``\\0\\0`` and ``\\0\\1`` stand for a zero character and for a literal mark; no word looks like them.
+        own = [[self.ids.get("\n", self.bytes[10])], [self.bytes[0]], [self.bytes[b] for b in MARK.encode()]]
+        self.known = Words({"\n": 0, "\0\0": 1, "\0\1": 2})
+        self.flat, self.ends, self.uses = np.array(sum(own, []), "<i4"), np.cumsum([0, *map(len, own)]), np.full(3, 2)
         self.fits: dict[tuple[str, str], bool] = {}
         self.numbers: dict[str, int] = {}
         self.names: list[str] = []
@@ -205,20 +218,20 @@ class Coder:
             self.fitted[slot[rest[~clash]]] = ok[rest[~clash]]
         return ok
 
-    def learn(self, fresh: list[str]) -> None:
-        """Encode words: edges of their joined text, sorted by position within the word, are relaxed for all words at a time."""
+    def learn(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, joined, and how many each has: edges of their joined text, sorted by position within the word, are relaxed for all words at a time."""
         text = "\n".join(fresh) + "\n"
         sizes = np.array([len(w) for w in fresh])
         begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         end, length, which = self.edges(text)
-        word = np.searchsorted(begin, end - 1, "right") - 1
+        word = np.repeat(np.arange(len(fresh)), sizes + 1)[end - 1]
         depth = end - begin[word]
         # Beyond WIDE characters few words are left, and one step for each position would cost more than it saves.
         wide = sizes[word] > WIDE
         last = np.full(len(text) + 1, -1, np.int64)
         within = (depth <= sizes[word]) & (end - length >= begin[word])
         inside = np.flatnonzero(within & ~wide)
-        inside = inside[np.argsort(depth[inside], kind="stable")]
+        inside = inside[np.argsort(depth[inside].astype(np.uint8), kind="stable")]
         bounds = np.searchsorted(depth[inside], np.arange(1, WIDE + 2))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             if a == b:
@@ -241,59 +254,80 @@ class Coder:
             at[live] -= widths[piece]
             live = live[at[live] > begin[live]]
         owner, piece = (np.concatenate([x[i] for x in path[::-1]]) for i in (0, 1))
-        order = np.argsort(owner, kind="stable")
+        order = np.argsort(owner.astype(np.uint16) if len(fresh) <= 1 << 16 else owner, kind="stable")
         owner, piece = owner[order], piece[order]
         ids, sizes = np.concatenate(self.spelt), np.array([len(x) for x in self.spelt])
         long = sizes[piece]
         edge = np.concatenate([[0], np.cumsum(long)])
-        flat = ids[np.repeat((np.cumsum(sizes) - sizes)[piece] - edge[:-1], long) + np.arange(edge[-1])].astype("<i4").tobytes()
-        cuts = (edge[np.searchsorted(owner, np.arange(len(fresh) + 1))] * 4).tolist()
-        for w, a, b in zip(fresh, cuts[:-1], cuts[1:]):
-            self.known[w] = flat[a:b]
+        flat = ids[np.repeat((np.cumsum(sizes) - sizes)[piece] - edge[:-1], long) + np.arange(edge[-1])]
+        return flat, np.diff(edge[np.searchsorted(owner, np.arange(len(fresh) + 1))])
 
-    def split(self, text: str) -> list[str]:
-        """Words with the mark before them, runs of marks and single odd characters; no piece reaches over their edges."""
-        return re.findall(f"\n|\0|{MARK}+(?=[^{MARK}\n\0])[^{MARK}\n\0]+|{MARK}+|[^{MARK}\n\0]+", MARK + text.replace(" ", MARK))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        split = [None if t is None else [] if t == "" else self.split(t.replace("\0", "\0\0").replace(MARK, "\0\1")) for t in texts]
-        spell = lambda s: np.array([self.bytes[b] for b in s.encode()], "<i4").tobytes()
-        zero, literal = spell("\0"), spell(MARK)
-        if len(self.known) > 400_000:
-            self.known.clear()
-        self.known["\n"] = np.array([self.ids.get("\n", self.bytes[10])], "<i4").tobytes()
-        fresh = sorted({w for s in split if s for w in s if w not in self.known and w != "\0"})
-        size, part = 0, []
+    def spell(self, fresh: list[str]) -> None:
+        """Put the ids of words numbered last into the table."""
+        size, part, made = 0, [], []
         for w in fresh:
             part.append(w)
             size += len(w)
             if size > 400_000:
-                self.learn(part)
+                made.append(self.learn(part))
                 size, part = 0, []
         if part:
-            self.learn(part)
-
-        def escaped(s: list[str]) -> list[bytes]:
-            """``\\0`` and what follows it stand for a zero character or for a literal mark and the rest of a word."""
-            parts, k = [], 0
-            while k < len(s):
-                if s[k] != "\0":
-                    parts.append(self.known[s[k]])
-                    k += 1
-                    continue
-                after = s[k + 1]
-                if after == "\0":
-                    parts.append(zero)
-                else:
-                    parts.append(literal)
-                    if after[1:]:
-                        if after[1:] not in self.known:
-                            self.learn([after[1:]])
-                        parts.append(self.known[after[1:]])
-                k += 2
-            return parts
-
-        return [None if s is None else np.frombuffer(b"".join(escaped(s) if "\0" in s else map(self.known.__getitem__, s)), "<i4") for s in split]
+            made.append(self.learn(part))
+        if made:
+            self.flat = np.concatenate([self.flat, *[m[0] for m in made]]).astype("<i4")
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate([m[1] for m in made]))])
+            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
+
+    def gathered(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by number, joined, and where each word's begin, and the last one's end."""
+        long = np.diff(self.ends)[codes]
+        edge = np.concatenate([[0], np.cumsum(long)])
+        return self.flat[np.repeat(self.ends[codes] - edge[:-1], long) + np.arange(edge[-1])], edge
+
+    def forget(self) -> None:
+        """Keep words that several batches had, the most common if these are many."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > MANY // 2:
+            first = keep[:3]
+            keep = np.union1d(first, keep[np.argsort(-self.uses[keep], kind="stable")[: MANY // 2]])
+        flat, edge = self.gathered(keep)
+        names = np.array(list(self.known), object)[keep].tolist()
+        self.known, self.flat, self.ends = Words(zip(names, range(len(names)))), flat, edge
+        self.uses = np.where(np.arange(len(keep)) < 3, 2, 1)
+
+    def split(self, text: str) -> list[str]:
+        """Words with the mark before them, runs of marks and single odd characters; no piece reaches over their edges."""
+        return re.findall(f"\n|\0|{MARK}+(?=[^{MARK}\n\0])[^{MARK}\n\0]+|{MARK}+|[^{MARK}\n\0]+", MARK + text.replace(" ", MARK))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        split = [None if t is None else [] if t == "" else self.split(t.replace("\0", "\0\0").replace(MARK, "\0\1")) for t in texts]
+        split = [self.marked(s) if s and "\0" in s else s for s in split]
+        if len(self.known) > MANY:
+            self.forget()
+        before, sizes = len(self.known), [len(s or ()) for s in split]
+        codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(s for s in split if s)), np.int64, sum(sizes))
+        self.spell(list(islice(self.known, before, None)))
+        met = np.zeros(len(self.uses), bool)
+        met[codes] = True
+        self.uses += met
+        flat, edge = self.gathered(codes)
+        cuts = edge[np.cumsum([0, *sizes])].tolist()
+        return [None if s is None else flat[a:b] for s, a, b in zip(split, cuts[:-1], cuts[1:])]
+
+    def marked(self, s: list[str]) -> list[str]:
+        """``\\0`` and what follows it as a word of their own, for a zero character or a literal mark, and the rest of a word."""
+        parts, k = [], 0
+        while k < len(s):
+            if s[k] != "\0":
+                parts.append(s[k])
+                k += 1
+                continue
+            after = s[k + 1]
+            parts.append("\0\0" if after == "\0" else "\0\1")
+            if after != "\0" and after[1:]:
+                parts.append(after[1:])
+            k += 2
+        return parts
 
     def decode(self, ids: np.ndarray | None) -> str | None:
         if ids is None:

@@ -191,6 +191,20 @@ def test_pieces_equal_the_library_and_round_trip(spark):
             assert r.ids == model.encode(r.text), r.text
 
 
+def test_common_words_stay_known_and_ids_do_not_change(monkeypatch):
+    monkeypatch.setattr(pieces, "MANY", 40)
+    coder, learnt = pieces.Coder(pieces.VOCABULARY), []
+    learn = coder.learn
+    monkeypatch.setattr(coder, "learn", lambda fresh: learnt.extend(fresh) or learn(fresh))
+    batches = [[f"the same words \u2581{i}x\0\n {i * 7919}", None, "", " ".join(f"w{i}v{j}" for j in range(30))] for i in range(12)]
+    for batch in batches:
+        got = coder.encode(batch)
+        fresh = pieces.Coder(pieces.VOCABULARY).encode(batch)
+        assert [None if x is None else x.tolist() for x in got] == [None if x is None else x.tolist() for x in fresh]
+        assert [coder.decode(x) for x in got] == batch
+    assert learnt.count("\u2581same") == 1 and len(coder.known) < 120
+
+
 def test_pairs_of_pieces_fit_as_merging_says():
     coder = pieces.coder(pieces.VOCABULARY)
     draw = np.random.default_rng(5)
