@@ -38,7 +38,11 @@ _PLAIN_PATH = re.compile(r"[A-Za-z0-9._~!$&'()*+,;=:@/\[\]%-]*")
 _PLAIN_FRAGMENT = re.compile(r"[A-Za-z0-9._~!$&'()*+,;=:@/?\[\]%-]*")
 _PATH_SAFE = "$&+,/:;=@"
 _FRAGMENT_SAFE = "$&+,/:;=?@!()*"
-_ROOTED = re.compile(r"(?:/[A-Za-z0-9_~,-][A-Za-z0-9._~,-]*)+/?(?:\?[^#\x00-\x1f\x7f]*)?")
+_PLAIN_REST = r"(?:/[A-Za-z0-9_~,-][A-Za-z0-9._~,-]*)+/?(?:\?[^#\x00-\x1f\x7f]*)?"
+_ROOTED = re.compile(_PLAIN_REST)
+_OTHER_HOST = re.compile(r"//[A-Za-z0-9.-]+" + _PLAIN_REST)
+_UPWARD = re.compile(r"\.\." + _PLAIN_REST)
+_PLAIN_BASE = re.compile(r"(https?)(://[A-Za-z0-9.-]+)(/[A-Za-z0-9._~,/-]*)?")
 
 
 class Url(NamedTuple):
@@ -141,12 +145,22 @@ def to_text(url: Url) -> str:
 
 @lru_cache(maxsize=1024)
 def _origin(base: str) -> str | None:
+    plain = _PLAIN_BASE.fullmatch(base)
+    if plain is not None:
+        return plain[1] + plain[2]
     url = _split_base(base)
     if url is None or url.opaque or not url.scheme or not url.host:
         return None
     return f"{url.scheme}://{_authority(url.user, url.host, url.port)}"
 
 
+@lru_cache(maxsize=1024)
+def _above(base: str) -> str | None:
+    """What ``..`` stands for on a page, without the slash behind it; None when the page is no URL."""
+    parent = _split_base(base)
+    return None if parent is None else to_text(join(parent, split_url("../")))[:-1]
+
+
 def resolve(base: str, href: str) -> str:
     """Absolute form of ``href`` on page ``base``; absolute and unparseable hrefs come back as they are."""
     if _ROOTED.fullmatch(href):  # most links: nothing to normalise or encode in the path
@@ -155,6 +169,13 @@ def resolve(base: str, href: str) -> str:
             return origin + href
     if _ABSOLUTE.match(href):
         return href
+    if _UPWARD.fullmatch(href):
+        above = _above(base)
+        return href if above is None else above + href[2:]
+    if _OTHER_HOST.fullmatch(href):
+        plain = _PLAIN_BASE.fullmatch(base)
+        if plain is not None:
+            return plain[1] + ":" + href
     parent, ref = _split_base(base), split_url(href)
     return href if parent is None or ref is None else to_text(join(parent, ref))
 

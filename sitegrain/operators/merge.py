@@ -38,9 +38,9 @@ def split_incomplete(rows: DataFrame, required: Sequence[str]) -> tuple[DataFram
 
 
 def upsert_raw_pages(
-    target: DataFrame, rows: DataFrame, order: Sequence[str], now: Column | None = None
+    target: DataFrame | None, rows: DataFrame, order: Sequence[str], now: Column | None = None
 ) -> DataFrame:
-    """K1: ``raw_pages`` after inserting ``rows(url, content_type, raw_content)`` or replacing by URL.
+    """K1: ``raw_pages``, new ones if None, after inserting ``rows(url, content_type, raw_content)`` or replacing by URL.
 
     The last row by ``order`` wins within the batch. Rows without URL or content are left out;
     ``split_incomplete`` gives them.
@@ -53,15 +53,23 @@ def upsert_raw_pages(
     """
     complete, _ = split_incomplete(rows, ("url", "raw_content"))
     complete = complete.select("url", "content_type", "raw_content", *order)
-    counted = stage(complete.groupBy("url").count(), "batch-urls")
-    repeated = stage(counted.filter("count > 1").select("url"), "repeated-urls")
+    if target is None:
+        # No URL is looked for in the table, so hashes will do: that a few more rows go through the aggregate changes nothing.
+        key, hashed = "_hash", complete.withColumn("_hash", F.xxhash64("url"))
+        counted = hashed.groupBy(key).count()
+    else:
+        key, hashed = "url", complete
+        counted = stage(complete.groupBy(key).count(), "batch-urls")
+    repeated = stage(counted.filter("count > 1").select(key), "repeated-urls")
     if fits_broadcast(repeated):
-        several = latest_per_key(complete.join(repeated, "url", "left_semi"), "url", order)
-        last = complete.join(repeated, "url", "left_anti").unionByName(several)
+        several = latest_per_key(hashed.join(repeated, key, "left_semi").select(*complete.columns), "url", order)
+        last = hashed.join(repeated, key, "left_anti").select(*complete.columns).unionByName(several)
     else:
         last = latest_per_key(complete, "url", order)
     fetched = (utc_now() if now is None else now).cast("timestamp_ntz")
     fresh = last.select("url", "content_type", "raw_content", fetched.alias("fetched_at"))
+    if target is None:
+        return fresh
     kept = rows_without_keys(target.select(*RAW_PAGES.names), counted, ["url"])
     return kept.unionByName(fresh)
 

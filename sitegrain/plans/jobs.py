@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from sitegrain.operators import crawl, extract, links, merge, stored
 from sitegrain.operators.visits import VisitedSet
 from sitegrain.schemas import RAW_PAGES
-from sitegrain.session import empty_table, fits_broadcast, stage
+from sitegrain.session import fits_broadcast, stage
 from sitegrain.sources.layout import Layout, lay_out
 from sitegrain.sources.tables import scan_since
 
@@ -92,8 +92,7 @@ def crawl_to_raw(
         stored.upsert_raw_pages(target, complete, by, now)
         merged = target.read()
     else:
-        before = empty_table(seeds.sparkSession, RAW_PAGES) if target is None else target
-        merged = merge.upsert_raw_pages(before, complete, by, now)
+        merged = merge.upsert_raw_pages(target, complete, by, now)
     if known is not None:
         known.add(visited)
     return CrawlResult(merged, visited, incomplete.drop(*by))

@@ -153,3 +153,17 @@ def test_a_failed_write_leaves_the_table_as_it_was(spark, stored, tmp_path):
     with pytest.raises(Exception, match="boom"):
         table.commit(broken)
     assert rows(table.read()) == rows(stored)
+
+
+def test_new_raw_pages_are_deduplicated_without_moving_urls(spark, tmp_path):
+    batch = [("a", "t", "1", 1), ("b", "t", "2", 1), ("a", "t", "3", 2), (None, "t", "4", 1), ("c", "t", None, 1), ("b", "t", "2", 1)]
+    spark.createDataFrame(batch, "url string, content_type string, raw_content string, n int").write.parquet(f"{tmp_path}/batch")
+    new = spark.read.parquet(f"{tmp_path}/batch")
+    for limit in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            made = merge.upsert_raw_pages(None, new, ["n"], F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+            assert made.columns == RAW_PAGES.names
+            assert rows(made, "url", "raw_content") == [("a", "3"), ("b", "2")]
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

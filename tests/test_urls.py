@@ -160,3 +160,22 @@ def test_queries_are_the_same_by_columns_and_by_bytes(spark):
     got = frame.select("q", urls.strip_tracking_params(F.col("q"), IGNORED).alias("s")).collect()
     assert {r.q: r.s for r in got} == {q: urls._encode_query(q, urls.ignored_names(IGNORED)) for q in queries}
     assert {r.q: r.s for r in got}["x=%FF"] == "x=%FF"
+
+
+def test_common_links_are_not_split_and_joined(monkeypatch):
+    """Links to another host and links upward resolve without a full parse; results are those of the full one."""
+    links_of = ["//other.example.com/a/b.c?d=e", "../part/17", "../x/?q=1", "/rooted/1", "https://h/1"]
+    bases = ["https://shop.example.com/supplier/4", "http://h.example/a/b/../c/", "http://h.example", "http://u@h.example:81/a/b?q#f"]
+    full = lambda base, href: urls.to_text(urls.join(urls.split_url(base), urls.split_url(href)))
+    assert [[urls.resolve(b, h) for h in links_of] for b in bases] == [[full(b, h) for h in links_of] for b in bases]
+    assert urls.resolve("http://h/%zz", "../a") == "../a" and urls.resolve("", "//h/a") == "//h/a"
+    parsed = []
+    monkeypatch.setattr(urls, "split_url", lambda text: parsed.append(text))
+    for href in links_of:
+        urls.resolve(bases[0], href)
+    assert not parsed
+
+
+def test_above_of_odd_bases():
+    for base in ("mailto:x", "a/b/c", "", "//h/x/y", "http:///a", "http://h/..", "x:/a//b/"):
+        assert urls.resolve(base, "../a") == urls.resolve(base, "./../a"), base
