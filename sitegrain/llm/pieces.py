@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 VOCABULARY = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 WIDE = 128
-MANY = 400_000  # words kept from batch to batch
+MANY = 250_000  # words kept from batch to batch
 _loaded: dict[str, Coder] = {}
 
 
