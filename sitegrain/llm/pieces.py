@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 VOCABULARY = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 WIDE = 128
-MANY = 250_000  # words kept from batch to batch
+MANY = 150_000  # words kept from batch to batch
+PART = 1_000_000  # characters of a batch split into words at a time
 _loaded: dict[str, Coder] = {}
 
 
@@ -300,10 +301,19 @@ class Coder:
         return re.findall(f"\n|\0|{MARK}+(?=[^{MARK}\n\0])[^{MARK}\n\0]+|{MARK}+|[^{MARK}\n\0]+", MARK + text.replace(" ", MARK))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """The ids of each text. Part by part, so that what a worker holds does not grow with a batch; between them it keeps ``MANY`` words at most."""
+        ends = np.cumsum([len(t or "") for t in texts]) // PART
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            out += self.part(texts[a:b])
+            if len(self.known) > MANY:
+                self.forget()
+        return out
+
+    def part(self, texts: list[str | None]) -> list[np.ndarray | None]:
         split = [None if t is None else [] if t == "" else self.split(t.replace("\0", "\0\0").replace(MARK, "\0\1")) for t in texts]
         split = [self.marked(s) if s and "\0" in s else s for s in split]
-        if len(self.known) > MANY:
-            self.forget()
         before, sizes = len(self.known), [len(s or ()) for s in split]
         codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(s for s in split if s)), np.int64, sum(sizes))
         self.spell(list(islice(self.known, before, None)))

@@ -15,7 +15,7 @@ class _Fingerprints(dict):
     """64-bit fingerprint of each word met by this worker; emptied when full, so that it stays small."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         value = xxhash.xxh64_intdigest(word)
         self[word] = value = value - (1 << 64) if value >> 63 else value

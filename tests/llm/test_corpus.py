@@ -205,6 +205,19 @@ def test_common_words_stay_known_and_ids_do_not_change(monkeypatch):
     assert learnt.count("\u2581same") == 1 and len(coder.known) < 120
 
 
+def test_parts_of_a_batch_bound_the_table_of_words(monkeypatch):
+    """What stays after a batch does not grow with it, and ids are those of an unbounded table."""
+    batch = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(60)]
+    batch[5:5] = [None, "", " ", "w1x1 " * 400]
+    want = pieces.Coder(pieces.VOCABULARY).encode(batch)
+    monkeypatch.setattr(pieces, "MANY", 100)
+    monkeypatch.setattr(pieces, "PART", 500, raising=False)
+    coder = pieces.Coder(pieces.VOCABULARY)
+    got = coder.encode(batch)
+    assert [None if x is None else x.tolist() for x in got] == [None if x is None else x.tolist() for x in want]
+    assert len(coder.known) <= 100 and len(coder.encode([])) == 0
+
+
 def test_pairs_of_pieces_fit_as_merging_says():
     coder = pieces.coder(pieces.VOCABULARY)
     draw = np.random.default_rng(5)
