@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.llm.words import fingerprints, windows, words
+from sitegrain.operators.links import PLACE, rows_at, with_places
 from sitegrain.session import stage
 
 ANCHOR = 20
@@ -92,9 +93,11 @@ def factors(docs: DataFrame, window: int = 50) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) for each row; ``kept`` is the words left, joined by a space."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = factors(docs, window).groupBy("doc_id").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
+    """(doc_id, n_words, n_removed, kept) for each row; ``kept`` is the words left, joined by a space. Texts without repeats stay where they lie."""
+    placed = with_places(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *PLACE)
+    docs = placed.select("doc_id", "text")
+    spans = stage(factors(docs, window).groupBy("doc_id").agg(F.collect_set(F.struct("start", "length")).alias("spans")), "spans")
+    held = stage(placed.select("doc_id", *PLACE).join(spans.select("doc_id"), "doc_id", "left_semi").select(*PLACE), "held")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -108,4 +111,6 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                 out.append((doc, len(w), int((~kept).sum()), left.decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept"]).astype({"doc_id": "Int64"})
 
-    return docs.join(spans, "doc_id", "left").mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept string")
+    some = rows_at(placed, held).select("doc_id", "text").join(spans, "doc_id")
+    none = rows_at(placed, held, False).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return some.union(none).mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept string")

@@ -62,6 +62,18 @@ def test_substrings_equal_brute_force(docs):
     assert sum(r[2] for r in got) > 500
 
 
+def test_texts_without_repeats_stay_where_they_lie(spark, tmp_path):
+    """Only rows of an id with a repeat are joined to their spans; null and repeated ids keep every row."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, "a " + passage), (2, passage + " b"), (3, "own"), (3, passage), (None, passage), (None, None), (4, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    made = substrings.without_repeats(spark.read.parquet(str(tmp_path / "d")))
+    assert not re.search(r"Join LeftOuter, \(doc_id#", made._jdf.queryExecution().optimizedPlan().toString())
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in made.collect()), key=str)
+    want = [(1, 61, 0, "a " + passage), (2, 61, 60, "b"), (3, 1, 1, ""), (3, 60, 60, ""), (None, 60, 0, passage), (None, 0, 0, ""), (4, 0, 0, ""), (5, 0, 0, "")]
+    assert got == sorted(want, key=str)
+
+
 def sets(t, size):
     w = split("".join(c.lower() if c.isascii() else c for c in t or ""))
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
