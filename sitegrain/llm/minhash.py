@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.llm.words import fingerprints, mix, windows, words
@@ -21,6 +21,7 @@ from sitegrain.operators.links import PLACE, rows_at, with_places
 from sitegrain.session import fits_broadcast, stage
 
 SLOTS, ROWS = 128, 4
+SLACK = 0.21  # six standard deviations of the share of slots that agree
 COUNTERS = 1 << 16  # of shingles, by their first 16 bits: half a megabyte, whatever the input
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -58,8 +59,14 @@ def _many(elements: np.ndarray) -> np.ndarray:
     return np.min(parts, axis=0)
 
 
+def _brief(low: np.ndarray) -> np.ndarray:
+    """Four bits of each slot, 16 slots a number: equal slots have equal bits."""
+    bits = (mix(low.view(np.uint32).astype(np.uint64)) & np.uint64(15)).astype(np.uint8)
+    return (bits[::2] | bits[1::2] << 4).view("<i8")
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """One row a document: id, set size, key of the whole set, key of each band, signature, and its other columns but the text."""
+    """One row a document: id, set size, key of the whole set, key of each band, signature, four bits of each slot, and its other columns but the text."""
     others = [name for name in docs.columns if name not in ("doc_id", "text")]
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,19 +76,32 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             for doc, text in zip(b["doc_id"], b["text"]):
                 s = shingles(text, size)
                 if not len(s):
-                    out.append((doc, 0, None, None, None))
+                    out.append((doc, 0, None, None, None, None))
                     continue
                 low = _many(s)
                 with np.errstate(over="ignore"):
                     bits = low.view(np.uint64).reshape(-1, ROWS)
                     bands = mix((mix(bits) * powers).sum(1) + np.arange(len(bits), dtype=np.uint64)).view(np.int64)
                     whole = f"{len(s)}:{int(s.sum()):x}:{int(mix(s).sum()):x}"
-                out.append((doc, len(s), whole, bands, low.astype(np.float32)))
-            made = pd.DataFrame(out, columns=["doc_id", "n_shingles", "whole", "bands", "sig"])
+                low = low.astype(np.float32)
+                out.append((doc, len(s), whole, bands, low, _brief(low)))
+            made = pd.DataFrame(out, columns=["doc_id", "n_shingles", "whole", "bands", "sig", "brief"])
             yield made.assign(**{name: list(b[name]) for name in others})
 
     kinds = "".join(f", {name} {kind}" for name, kind in docs.dtypes if name in others)
-    return docs.mapInPandas(sketch, f"doc_id long, n_shingles long, whole string, bands array<long>, sig array<float>{kinds}")
+    return docs.mapInPandas(sketch, f"doc_id long, n_shingles long, whole string, bands array<long>, sig array<float>, brief array<long>{kinds}")
+
+
+def _may(x: str, y: str, least: float) -> Column:
+    """Whether as many slots as ``_likely`` asks for may agree, by the bits of two ``brief`` columns. No pair that it would keep fails."""
+
+    def differ(i: int) -> Column:
+        bits = F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
+        return F.bit_count(bits.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return SLOTS - sum(differ(i) for i in range(SLOTS // 16)) >= least * SLOTS
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -114,7 +134,7 @@ def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, size: int, perce
     ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "named")
     if fits_broadcast(ids):
         sigs, texts = (rows.join(ids, "doc_id", "left_semi") for rows in (sigs, texts))
-    likely = stage(_likely(pairs, sigs, percent / 100 - 0.21), "likely")
+    likely = stage(_likely(pairs, sigs, percent / 100 - SLACK), "likely")
     return stage(_verified(likely, texts, size, percent), "links")
 
 
@@ -144,11 +164,11 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return stage(old.select("v", F.coalesce("_up", "root").alias("root")).union(fresh.select("v", "root")), "labels")
 
 
-def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(band, doc_id, root, _n) of the bands whose members are in several components."""
+def _mixed(members: DataFrame, roots: DataFrame, briefs: DataFrame) -> DataFrame:
+    """(band, doc_id, root, _n, brief) of the bands whose members are in several components."""
     rest = members.join(roots.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     mixed = rest.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_n")).filter("_lo != _hi and _n > 2")
-    return stage(rest.join(mixed.select("band", "_n"), "band"), "rest")
+    return stage(rest.join(mixed.select("band", "_n"), "band").join(briefs, "doc_id"), "rest")
 
 
 def _rare_pairs(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -223,26 +243,28 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, crowd: in
     inside = stage(own.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select(*PLACE), "inside")
     texts = stage(rows_at(docs, inside).select("doc_id", "text"), "texts")
     sketches = stage(rows_at(sigs, inside).select("doc_id", "sig"), "sketches")
+    briefs = stage(rows_at(sigs, inside).select("doc_id", "brief"), "briefs")
     star = stage(members.filter("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct(), "star")
     roots = components(_links(star, sketches, texts, size, percent))
-    tried = star
+    tried, least = star, percent / 100 - SLACK
     for turn in range(1, hubs + 1):
         # Another member of each larger band that still holds several components is its hub, the same one in many bands.
-        rest = _mixed(members, roots)
+        rest = _mixed(members, roots, briefs)
         rank = F.xxhash64("doc_id", F.lit(turn))
-        hub = rest.filter(F.col("_n") > 8).groupBy("band").agg(F.min(F.struct(rank.alias("_k"), "doc_id", "root")).alias("h"))
-        both = rest.join(hub, "band").filter("root != h.root").select(F.greatest("doc_id", "h.doc_id").alias("a"), F.least("doc_id", "h.doc_id").alias("b"))
+        hub = rest.filter(F.col("_n") > 8).groupBy("band").agg(F.min(F.struct(rank.alias("_k"), "doc_id", "root", "brief")).alias("h"))
+        both = rest.join(hub, "band").filter("root != h.root").filter(_may("brief", "h.brief", least)).select(F.greatest("doc_id", "h.doc_id").alias("a"), F.least("doc_id", "h.doc_id").alias("b"))
         pairs = stage(both.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            break
+            continue
         tried = stage(tried.union(pairs), "tried")
         more = _links(pairs, sketches, texts, size, percent)
         if not more.isEmpty():
             roots = _joined(roots, more)
-    rest = _mixed(members, roots)
-    few = rest.filter(F.col("_n") <= crowd).select("band", "doc_id", "root")
-    x, y = few.select("band", F.col("doc_id").alias("a"), F.col("root").alias("_p")), few.select("band", F.col("doc_id").alias("b"), F.col("root").alias("_q"))
-    close = x.join(y, "band").filter("a > b and _p != _q").select("a", "b")
+    rest = _mixed(members, roots, briefs)
+    few = rest.filter(F.col("_n") <= crowd).select("band", "doc_id", "root", "brief")
+    x, y = few.alias("x"), few.alias("y")
+    fits = (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") > F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
+    close = x.join(y, fits & _may("x.brief", "y.brief", least)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
     many = stage(rest.filter(F.col("_n") > crowd).select("doc_id", "root").distinct(), "crowded")
     if not many.isEmpty():
         close = close.union(_rare_pairs(many, texts, size, percent))

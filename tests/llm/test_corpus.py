@@ -107,6 +107,37 @@ def test_crowded_bands_lose_no_link(spark):
     assert got == {i: i - i % 4 for i in range(60)}
 
 
+def test_unlike_members_of_a_band_are_not_paired(spark, monkeypatch):
+    """Pairs whose signatures cannot agree in enough slots make no rows; of those that can none is lost."""
+    draw = random.Random(5)
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join(common + [f"w{draw.randrange(10**9)}" for _ in range(50)])) for i in range(50)]
+    frame, pairs, told = spark.createDataFrame(rows, "doc_id long, text string"), [], minhash._links
+
+    def links(found, sigs, *rest):
+        near = minhash._likely(found, sigs, 0.59)
+        pairs.append((found.count(), near.count()))
+        return told(found, sigs, *rest)
+
+    monkeypatch.setattr(minhash, "_links", links)
+    assert all(r.kept for r in minhash.near_duplicates(frame).collect())
+    after = pairs[1:]  # the first are those with a band's least member
+    assert sum(n for n, _ in after) <= 4 * sum(n for _, n in after) + 40
+
+
+def test_brief_signatures_lose_no_likely_pair(spark):
+    draw = np.random.default_rng(3)
+    rows = []
+    for i in range(200):
+        x = draw.random(minhash.SLOTS).astype(np.float32)
+        y = np.where(draw.random(minhash.SLOTS) < i / 200, x, draw.random(minhash.SLOTS)).astype(np.float32)
+        rows.append((i, minhash._brief(x).tolist(), minhash._brief(y).tolist(), float((x == y).mean())))
+    frame = spark.createDataFrame(rows, "i long, x array<long>, y array<long>, share double")
+    got = {r.i: r.may for r in frame.select("i", minhash._may("x", "y", 0.59).alias("may")).collect()}
+    assert all(got[i] for i, _, _, share in rows if share >= 0.59)
+    assert not any(got[i] for i, _, _, share in rows if share < 0.4)
+
+
 def test_components_joined_by_more_links_and_unchanged_without(spark):
     first, more = [(2, 1), (3, 2), (6, 5), (9, 8)], [(6, 3), (20, 9), (31, 30), (2, 1)]
     frame = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
