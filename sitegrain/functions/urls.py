@@ -145,9 +145,6 @@ def to_text(url: Url) -> str:
 
 @lru_cache(maxsize=1024)
 def _origin(base: str) -> str | None:
-    plain = _PLAIN_BASE.fullmatch(base)
-    if plain is not None:
-        return plain[1] + plain[2]
     url = _split_base(base)
     if url is None or url.opaque or not url.scheme or not url.host:
         return None
@@ -163,19 +160,30 @@ def _above(base: str) -> str | None:
 
 def resolve(base: str, href: str) -> str:
     """Absolute form of ``href`` on page ``base``; absolute and unparseable hrefs come back as they are."""
-    if _ROOTED.fullmatch(href):  # most links: nothing to normalise or encode in the path
-        origin = _origin(base)
-        if origin is not None:
-            return origin + href
-    if _ABSOLUTE.match(href):
+    # Most links need nothing normalised or encoded in the path, and most pages' parts are seen at once: small pages are many, so
+    # their bases are not worth a place in a cache.
+    start = href[:2]
+    if start == "//":
+        if _OTHER_HOST.fullmatch(href):
+            plain = _PLAIN_BASE.fullmatch(base)
+            if plain is not None:
+                return f"{plain[1]}:{href}"
+    elif start[:1] == "/":
+        if _ROOTED.fullmatch(href):
+            plain = _PLAIN_BASE.fullmatch(base)
+            origin = _origin(base) if plain is None else plain[1] + plain[2]
+            if origin is not None:
+                return origin + href
+    elif start == "..":
+        if _UPWARD.fullmatch(href):
+            plain = _PLAIN_BASE.fullmatch(base)
+            folder = None if plain is None else (plain[3] or "").rpartition("/")[0]
+            if folder is None or "." in folder:
+                above = _above(base)
+                return href if above is None else above + href[2:]
+            return f"{plain[1]}{plain[2]}{folder.rpartition('/')[0]}{href[2:]}"
+    elif _ABSOLUTE.match(href):
         return href
-    if _UPWARD.fullmatch(href):
-        above = _above(base)
-        return href if above is None else above + href[2:]
-    if _OTHER_HOST.fullmatch(href):
-        plain = _PLAIN_BASE.fullmatch(base)
-        if plain is not None:
-            return plain[1] + ":" + href
     parent, ref = _split_base(base), split_url(href)
     return href if parent is None or ref is None else to_text(join(parent, ref))
 

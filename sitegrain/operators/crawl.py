@@ -12,7 +12,7 @@ from sitegrain.functions import urls
 from sitegrain.operators.keys import rows_with_keys
 from sitegrain.operators.links import with_allowed, with_udf
 from sitegrain.operators.visits import VisitedSet
-from sitegrain.session import stage
+from sitegrain.session import fits_broadcast, stage
 from sitegrain.sources.layout import lay_out
 
 
@@ -90,11 +90,13 @@ def walk(
     max_depth: int,
     visited: DataFrame | None = None,
     known: VisitedSet | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """L7 with any source of links: ``children`` gives the ``url`` that the pages of a frontier ``(url)`` link to.
 
     It is called once a hop, with URLs of that hop alone. Each hop is one job written to the staging folder, so plans stay short and the
-    sizes of frontier and visited set are known to the planner. ``pages(url)`` are those that exist.
+    sizes of frontier and visited set are known to the planner. ``pages(url)`` are those that exist; ``once`` tells that
+    each is listed once, so that a long frontier is compared with them but one time.
     """
     domains = allowed_domains if isinstance(allowed_domains, DataFrame) else list(allowed_domains)
 
@@ -117,7 +119,10 @@ def walk(
         levels.append(level)
     reached = reduce(DataFrame.unionByName, levels)
     to_fetch = reached.filter((F.col("hop") < max_depth) & F.col("allowed")).select("url")
-    found = rows_with_keys(pages.select("url"), to_fetch, ["url"]).distinct().withColumn("_found", F.lit(True))
+    found = pages.select("url")
+    if not once or fits_broadcast(to_fetch):
+        found = rows_with_keys(found, to_fetch, ["url"]).distinct()
+    found = found.withColumn("_found", F.lit(True))
     outcome = (
         F.when(F.col("hop") >= max_depth, "depth_exhausted")
         .when(~F.col("allowed"), "off_domain")

@@ -11,14 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from sitegrain.functions import html, urls
+from sitegrain.functions.targets import page_targets as page_targets_of
 from sitegrain.session import stage
 
 _STRINGS = pa.list_(pa.string())
 
 
+def _texts(column: pa.Array) -> list[str | None]:
+    """``to_pylist`` of strings, which makes no Arrow scalar of each."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 @F.arrow_udf(ArrayType(StringType()))
 def _hrefs(pages: pa.Array) -> pa.Array:
-    return pa.array([None if page is None else html.hrefs(page) for page in pages.to_pylist()], _STRINGS)
+    return pa.array([None if page is None else html.hrefs(page) for page in _texts(pages)], _STRINGS)
 
 
 @F.arrow_udf(StringType())
@@ -26,7 +32,7 @@ def _resolve(bases: pa.Array, hrefs: pa.Array) -> pa.Array:
     return pa.array(
         [
             None if href is None else href if base is None else urls.resolve(base, href)
-            for base, href in zip(bases.to_pylist(), hrefs.to_pylist())
+            for base, href in zip(_texts(bases), _texts(hrefs))
         ],
         pa.string(),
     )
@@ -36,10 +42,8 @@ def _resolve(bases: pa.Array, hrefs: pa.Array) -> pa.Array:
 def _targets(bases: pa.Array, pages: pa.Array) -> pa.Array:
     return pa.array(
         [
-            None
-            if base is None or page is None
-            else list(dict.fromkeys(urls.resolve(base, href) for href in html.hrefs(page)))
-            for base, page in zip(bases.to_pylist(), pages.to_pylist())
+            None if base is None or page is None else page_targets_of(base, page)
+            for base, page in zip(_texts(bases), _texts(pages))
         ],
         _STRINGS,
     )
@@ -133,7 +137,7 @@ def canonical_url(
         return pa.array(
             [
                 None if base is None or href is None else urls.canonicalize(base, href, dropped, prefixes)
-                for base, href in zip(bases.to_pylist(), hrefs.to_pylist())
+                for base, href in zip(_texts(bases), _texts(hrefs))
             ],
             pa.string(),
         )

@@ -30,18 +30,21 @@ class CrawlResult(NamedTuple):
     rejected: DataFrame
 
 
-def _rows_of(results: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A function that gives the rows of a list of distinct URLs.
+def _rows_of(results: DataFrame, urls: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function that gives the rows of a list of distinct URLs; ``urls`` holds each URL of ``results`` once, staged.
 
-    While the URLs, or those of them that have rows, are few enough to broadcast, rows are picked where they lie. The first
-    list beyond that has the rows laid out by URL, once; from then on only lists move.
+    While the URLs, those of them that have rows, or those with rows that are not listed are few enough to broadcast, rows are picked
+    where they lie. The first list beyond that has the rows laid out by URL, once; from then on only lists move.
     """
     laid: list[Layout] = []
 
     def rows(wanted: DataFrame) -> DataFrame:
         if not fits_broadcast(wanted) and not laid:
-            wanted = stage(results.select("url").distinct().join(wanted, "url", "left_semi"), "urls-hit")
+            wanted = stage(urls.join(wanted, "url", "left_semi"), "urls-hit")
             if not fits_broadcast(wanted):
+                others = stage(urls.join(wanted, "url", "left_anti"), "urls-left")
+                if fits_broadcast(others):
+                    return results.filter(F.col("url").isNotNull()).join(others, "url", "left_anti")
                 laid.append(lay_out(results, "url", "results"))
         return laid[0].joined(wanted) if laid else results.join(wanted, "url", "left_semi")
 
@@ -71,28 +74,32 @@ def crawl_to_raw(
     """
     if "result_url" not in results.columns:
         results = results.withColumn("result_url", F.col("url"))
-    rows_of, links_of = _rows_of(results), targets or (lambda pages: links.page_targets(pages, body="body"))
+    # Rows are far more than URLs, and each hop would else compare the URLs of all rows.
+    urls = stage(results.select("url").filter("url is not null").distinct(), "result-urls")
+    rows_of, links_of = _rows_of(results, urls), targets or (lambda pages: links.page_targets(pages, body="body"))
 
     def children(active: DataFrame) -> DataFrame:
         found = links.explode_udf(links_of(rows_of(active)), F.col("dsts"), "pos", "_to")
         return found.select(F.col("_to").alias("url"))
 
-    walked = crawl.walk(seeds, children, results.select("url"), allowed_domains, max_depth, known=known)
+    walked = crawl.walk(seeds, children, urls, allowed_domains, max_depth, known=known, once=True)
     visited = stage(walked, "visited")
     fetched = rows_of(visited.filter("outcome = 'fetched'").select("url"))
     by = [f"_order_{i}" for i in range(len(order))]
     rows = fetched.select(
         F.col("result_url").alias("url"),
         F.lit(PAGE_CONTENT_TYPE).alias("content_type"),
-        links.readable("body").alias("raw_content"),
+        F.col("body").alias("raw_content"),
         *[F.col(name).alias(alias) for name, alias in zip(order, by)],
     )
-    complete, incomplete = merge.split_incomplete(rows, ("url", "raw_content"))
+    # Bodies are made readable behind the split, so that the test for NULL does not do it too.
+    split = merge.split_incomplete(rows, ("url", "raw_content"))
+    complete, incomplete = (part.withColumn("raw_content", links.readable("raw_content")) for part in split)
     if isinstance(target, stored.Table):
         stored.upsert_raw_pages(target, complete, by, now)
         merged = target.read()
     else:
-        merged = merge.upsert_raw_pages(target, complete, by, now)
+        merged = merge.upsert_complete_pages(target, complete, by, now)
     if known is not None:
         known.add(visited)
     return CrawlResult(merged, visited, incomplete.drop(*by))
