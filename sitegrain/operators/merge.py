@@ -59,14 +59,17 @@ def upsert_raw_pages(
 
 
 def upsert_complete_pages(
-    target: DataFrame | None, rows: DataFrame, order: Sequence[str], now: Column | None = None
+    target: DataFrame | None, rows: DataFrame, order: Sequence[str], now: Column | None = None, urls: DataFrame | None = None
 ) -> DataFrame:
-    """``upsert_raw_pages`` of rows that all have URL and content."""
+    """``upsert_raw_pages`` of rows that all have URL and content.
+
+    ``urls(url)`` holds a row for each of them, and may hold more: it is what new pages are counted by, so that no content is read for that.
+    """
     complete = rows.select("url", "content_type", "raw_content", *order)
     if target is None:
         # No URL is looked for in the table, so hashes will do: that a few more rows go through the aggregate changes nothing.
         key, hashed = "_hash", complete.withColumn("_hash", F.xxhash64("url"))
-        counted = hashed.groupBy(key).count()
+        counted = (complete if urls is None else urls).select(F.xxhash64("url").alias(key)).groupBy(key).count()
     else:
         key, hashed = "url", complete
         counted = stage(complete.groupBy(key).count(), "batch-urls")

@@ -99,7 +99,7 @@ def crawl_to_raw(
         stored.upsert_raw_pages(target, complete, by, now)
         merged = target.read()
     else:
-        merged = merge.upsert_complete_pages(target, complete, by, now)
+        merged = merge.upsert_complete_pages(target, complete, by, now, rows.select("url"))
     if known is not None:
         known.add(visited)
     return CrawlResult(merged, visited, incomplete.drop(*by))
